@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lidarlake.functions.keys import Key, key_names
 from lidarlake.operators.ids import number_runs, sorted_runs
@@ -81,27 +82,56 @@ def split_heavy(
     return keyed.join(listed, same, "left_anti"), keyed.join(listed, same, "left_semi")
 
 
-def point_order(points: DataFrame, order: Sequence[str] | None, dims: Sequence[str]) -> list[str]:
+def point_order(order: Sequence[str] | None, dims: Sequence[str]) -> list[str]:
     """Time, place, then every other dimension: only equal points are left tied."""
     first = list(order) if order else [d for d in STAT_DIMS if d in dims]
     return first + [d for d in dims if d not in first]
 
 
-def _numbered(
+def _by_group(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One shuffle by a hash of the key, in ``_g``, that later steps can build on.
+
+    Spark rewrites floating-point keys in windows and aggregates, each in its own way,
+    and would shuffle again between the two; a whole number it leaves alone.
+    """
+    parts = []
+    for name in names:
+        floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+        # Adding zero turns -0.0, which equals 0.0, into it.
+        parts.append(F.col(name) + F.lit(0.0) if floating else F.col(name))
+    return df.withColumn("_g", F.xxhash64(*parts)).repartition("_g")
+
+
+def _chunked(
     keyed: DataFrame,
     names: Sequence[str],
     order: Sequence[str],
-    heavy: DataFrame | None,
+    max_points: int,
     split_rows: int,
-) -> DataFrame:
-    window = Window.partitionBy(*names).orderBy(*order)
-    if heavy is None:
-        return keyed.withColumn("_rn", F.row_number().over(window).cast("long"))
-    ordinary, large = split_heavy(keyed, names, heavy)
-    rows = heavy.agg(F.sum("_n")).first()[0]
-    runs = sorted_runs(large, [*names, *order], 1 + rows // split_rows, distinct_order=False)
-    light = ordinary.withColumn("_rn", F.row_number().over(window).cast("long"))
-    return light.unionByName(number_runs(runs, names, "_rn"))
+) -> list[DataFrame]:
+    """The rows with ``chunk``, laid out by ``_g``: ordinary groups, then heavy ones."""
+    largest, heavy = heavy_groups(keyed, names, split_rows)
+    if largest <= max_points:
+        return [_by_group(keyed, names).withColumn("chunk", F.lit(0).cast("long"))]
+    chunk = F.floor((F.col("_rn") - 1) / F.lit(max_points)).cast("long")
+    ordinary = keyed
+    branches = []
+    if heavy is not None:
+        ordinary, large = split_heavy(keyed, names, heavy)
+        rows = heavy.agg(F.sum("_n")).first()[0]
+        runs = sorted_runs(large, [*names, *order], 1 + rows // split_rows, distinct_order=False)
+        numbered = number_runs(runs, names, "_rn").withColumn("chunk", chunk).drop("_rn")
+        branches.append(_by_group(numbered, [*names, "chunk"]))
+    window = Window.partitionBy("_g", *names).orderBy(*order)
+    numbered = _by_group(ordinary, names).withColumn("_rn", F.row_number().over(window))
+    return [numbered.withColumn("chunk", chunk).drop("_rn"), *branches]
+
+
+def _union(branches: Sequence[DataFrame]) -> DataFrame:
+    whole = branches[0]
+    for branch in branches[1:]:
+        whole = whole.unionByName(branch)
+    return whole
 
 
 def capped_points(
@@ -115,13 +145,9 @@ def capped_points(
     if max_points < 1:
         raise ValueError("max_points must be at least 1")
     keyed, names = with_key(points, key)
-    largest, heavy = heavy_groups(keyed, names, split_rows)
-    if largest <= max_points:
-        return keyed.withColumn("chunk", F.lit(0).cast("long")), names
-    full_order = point_order(points, order, [c for c in points.columns if c not in names])
-    numbered = _numbered(keyed, names, full_order, heavy, split_rows)
-    chunk = F.floor((F.col("_rn") - 1) / F.lit(max_points)).cast("long")
-    return numbered.withColumn("chunk", chunk).drop("_rn"), names
+    full_order = point_order(order, [c for c in points.columns if c not in names])
+    branches = _chunked(keyed, names, full_order, max_points, split_rows)
+    return _union(branches).drop("_g"), names
 
 
 def build_patches(
@@ -142,19 +168,25 @@ def build_patches(
     stats = [s for s in stats if s in points.columns]
     if dims is not None:
         keyed = keyed.select(*dict.fromkeys([*names, *dims, *stats]))
-    by_name = [F.col(n) for n in names]
-    numbered, _ = capped_points(keyed, by_name, max_points, order, split_rows)
+    if max_points < 1:
+        raise ValueError("max_points must be at least 1")
+    values = [c for c in keyed.columns if c not in names]
     dims = [c for c in (dims or points.columns) if c not in names]
-    in_order = point_order(points, order, dims)
-    grouped = numbered.groupBy(*names, "chunk").agg(
-        F.count(F.lit(1)).alias("n"),
-        *range_aggregates(keyed, stats),
-        F.sort_array(F.collect_list(F.struct(*in_order))).alias("_points"),
-    )
+    branches = _chunked(keyed, names, point_order(order, values), max_points, split_rows)
     ranges = [f"{stat_prefix(s)}_{end}" for s in stats for end in ("min", "max")]
     tag = [F.lit(pcid).alias("pcid")] if pcid is not None else []
     arrays = [F.col(f"_points.{d}").alias(d) for d in dims]
-    return grouped.select(*tag, *names, "chunk", "n", *ranges, *arrays)
+    built = [
+        branch.groupBy("_g", *names, "chunk")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *range_aggregates(keyed, stats),
+            F.sort_array(F.collect_list(F.struct(*point_order(order, dims)))).alias("_points"),
+        )
+        .select(*tag, *names, "chunk", "n", *ranges, *arrays)
+        for branch in branches
+    ]
+    return _union(built)
 
 
 def regroup(patches: DataFrame, key: Key, keep: Sequence[str] = (), **options) -> DataFrame:

@@ -36,8 +36,8 @@ def _level(sides: Sides) -> Column:
     return F.least(F.greatest(level, floor_), F.lit(_HIGHEST))
 
 
-def _cell(value: Column) -> Column:
-    return F.floor(value / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
 
 
 def _on_ladder(df: DataFrame, sides: Sides, own: str, others: Sequence[int]) -> DataFrame:
@@ -46,11 +46,27 @@ def _on_ladder(df: DataFrame, sides: Sides, own: str, others: Sequence[int]) ->
     # At its own level a box meets those that are no larger.
     meets_smaller = F.lit(min(others)) <= F.col(own)
     levels = F.when(meets_smaller, F.concat(F.array(own), coarser)).otherwise(coarser)
-    placed = df.withColumn("_level", F.explode(levels))
-    for i, (lo, hi) in enumerate(sides):
-        cells = F.sequence(_cell(F.col(lo)), _cell(F.col(hi)))
-        placed = placed.withColumn(f"_c{i}", F.explode(cells))
-    return placed
+    cells = F.explode(F.flatten(F.transform(levels, lambda level: _cells(level, sides))))
+    names = ["_level", *[f"_c{i}" for i in range(len(sides))]]
+    placed = df.select("*", cells.alias("_at"))
+    return placed.select(*df.columns, *[F.col(f"_at.{n}").alias(n) for n in names])
+
+
+def _cells(level: Column, sides: Sides) -> Column:
+    """The cells of one level that a box touches, as an array of structs."""
+    first, *more = [
+        F.sequence(_cell(F.col(lo), level), _cell(F.col(hi), level)) for lo, hi in sides
+    ]
+    if not more:
+        return F.transform(first, lambda a: F.struct(level.alias("_level"), a.alias("_c0")))
+
+    def row(a: Column) -> Column:
+        return F.transform(
+            more[0],
+            lambda b: F.struct(level.alias("_level"), a.alias("_c0"), b.alias("_c1")),
+        )
+
+    return F.flatten(F.transform(first, row))
 
 
 def box_join(
@@ -69,9 +85,15 @@ def box_join(
     left = _proper(patches, patch_sides).withColumn("_lp", _level(patch_sides))
     right = _proper(areas, area_sides).withColumn("_la", _level(area_sides))
     # At most 83 levels exist, so these lists are short.
-    in_left = [r[0] for r in left.select("_lp").distinct().collect()]
-    per_level = right.groupBy("_la").count().collect()
-    in_right = [r[0] for r in per_level]
+    ends = [f(c).alias(c) for lo, hi in area_sides for f, c in ((F.min, lo), (F.max, hi))]
+    per_level = right.groupBy("_la").agg(F.count(F.lit(1)).alias("count"), *ends).collect()
+    in_right = [r["_la"] for r in per_level]
+    for (p_lo, p_hi), (a_lo, a_hi) in zip(patch_sides, area_sides, strict=True):
+        # Outside all areas nothing can match; these tests reach the scan of the patches.
+        if per_level:
+            left = left.where(F.col(p_lo) <= max(r[a_hi] for r in per_level))
+            left = left.where(F.col(p_hi) >= min(r[a_lo] for r in per_level))
+    in_left = [r[0] for r in left.select("_lp").distinct().collect()] if per_level else []
     joined_columns = [*patches.columns, *areas.columns]
     if not in_left or not in_right:
         # No cells to share: the same columns and no rows.
@@ -88,7 +110,7 @@ def box_join(
     keep = F.col("_level") == F.greatest("_lp", "_la")
     for i, ((p_lo, p_hi), (a_lo, a_hi)) in enumerate(zip(patch_sides, area_sides, strict=True)):
         keep = keep & (F.col(p_lo) <= F.col(a_hi)) & (F.col(p_hi) >= F.col(a_lo))
-        keep = keep & (F.col(f"_c{i}") == _cell(F.greatest(p_lo, a_lo)))
+        keep = keep & (F.col(f"_c{i}") == _cell(F.greatest(p_lo, a_lo), F.col("_level")))
     return pairs.where(keep).select(*joined_columns)
 
 
@@ -125,14 +147,13 @@ def blocked_join(
         own = F.pmod(F.xxhash64(*plain), F.coalesce(f"_{mine}s", F.lit(1)))
         other = F.sequence(F.lit(0).cast("long"), F.coalesce(f"_{theirs}s", F.lit(1)) - 1)
         return (
-            marked.withColumn(f"_{mine}", own)
-            .withColumn(f"_{theirs}", F.explode(other))
+            marked.withColumn(f"_{mine}block", own)
+            .withColumn(f"_{theirs}block", F.explode(other))
             .drop(*heavy.columns)
         )
 
-    return (
-        cut(left, "l", "r").join(cut(right, "r", "l"), [*on, "_l", "_r"]).drop("_l", "_r")
-    )
+    blocks = ["_lblock", "_rblock"]
+    return cut(left, "l", "r").join(cut(right, "r", "l"), [*on, *blocks]).drop(*blocks)
 
 
 def _heavy_keys(

@@ -4,47 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lidarlake.functions.text import c_number
 
-_NAN = "^[+-]?nan$"
+# C prints a NaN with or without a sign; Spark's parser knows one spelling.
+_ANY_NAN = "(?i)[+-]?nan"
+_CORRUPT = "_corrupt_record"
 
 
-def _value(word: Column, kind: str) -> Column:
-    if kind in ("double", "float"):
-        # Spark's own casts know no signed nan.
-        is_nan = F.lower(word).rlike(_NAN)
-        return F.when(is_nan, F.lit("NaN")).otherwise(word).try_cast(kind)
-    return word.try_cast(kind)
-
-
-def parse_points(lines: DataFrame, columns: Sequence[tuple[str, str]], mode: str = "FAILFAST"):
+def parse_points(
+    lines: DataFrame, columns: Sequence[tuple[str, str]], mode: str = "FAILFAST"
+) -> DataFrame:
     """Points of a ``value`` column of text lines; columns are bound by position.
 
-    FAILFAST stops at a line with another count of values or one that is not of its
-    type. PERMISSIVE keeps every line: what cannot be read is null, and the whole
-    line is then in ``_corrupt_record``.
+    An empty word is a missing value. FAILFAST stops at a line with another count of
+    values or one that is not of its type. PERMISSIVE keeps every line: what cannot
+    be read is null, and the whole line is then in ``_corrupt_record``.
     """
-    words = F.split("value", " ")
-    split = lines.select("value", words.alias("_w"))
-    wrong_count = F.size("_w") != len(columns)
-    values, bad = [], wrong_count
-    for i, (name, kind) in enumerate(columns):
-        # An empty word is a missing value.
-        word = F.nullif(F.get(F.col("_w"), F.lit(i)), F.lit(""))
-        value = _value(word, kind)
-        values.append(value.alias(name))
-        bad = bad | (word.isNotNull() & value.isNull())
+    fields = [f"`{name}` {kind}" for name, kind in columns]
     if mode == "PERMISSIVE":
-        return split.select(*values, F.when(bad, F.col("value")).alias("_corrupt_record"))
-    if mode != "FAILFAST":
+        fields.append(f"{_CORRUPT} string")
+    elif mode != "FAILFAST":
         raise ValueError("mode is FAILFAST or PERMISSIVE")
-    message = F.concat(F.lit("not a point line: "), F.col("value"))
-    checked = split.where(F.when(bad, F.raise_error(message)).otherwise(F.lit(True)))
-    return checked.select(*values)
+    options = {"sep": " ", "nanValue": "nan", "mode": mode, "columnNameOfCorruptRecord": _CORRUPT}
+    plain = F.regexp_replace("value", _ANY_NAN, "nan")
+    return lines.select(F.from_csv(plain, ", ".join(fields), options).alias("p")).select("p.*")
 
 
 def read_points_text(
