@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lidarlake.functions.rounding import round_half_away
+from lidarlake.functions.zorder import morton
 
 Key = list[Column]
 
@@ -59,6 +60,16 @@ def per_file(key: Key, source: str = "source_file") -> Key:
     return [F.col(source), *key]
 
 
+def along_curve(cell_size: float = 1.0, x: str = "cx", y: str = "cy") -> Column:
+    """Place of a spatial group on a Z-curve over its cell."""
+    return morton(F.col(x), F.col(y), cell_size)
+
+
+def along_time(name: str = "tbin") -> Column:
+    """Place of a time bin in time."""
+    return F.col(name).try_cast("long")
+
+
 def key_names(df, key: Key) -> list[str]:
     """Names the key columns take when selected from ``df``."""
     return df.select(*key).columns

@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DAY = 86_400_000_000
-_HOUR = 3_600_000_000
-_MINUTE = 60_000_000
+_SECOND = 1_000_000
 
 
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970-01-01 of a TIMESTAMP_NTZ wall-clock value, as double.
 
-    Built from date and time fields: a cast to TIMESTAMP would move the value by
-    the zone the session happens to use.
+    A cast to TIMESTAMP moves the value by the offset of the session's zone. Offsets are
+    whole seconds, so the cast is right for the fraction; ``unix_timestamp`` takes the
+    whole seconds of the wall clock itself, cut off towards 1970.
     """
-    seconds = F.extract(F.lit("SECOND"), ts)
-    micros = (
-        F.unix_date(ts.cast("date")).cast("long") * F.lit(_DAY)
-        + F.hour(ts).cast("long") * F.lit(_HOUR)
-        + F.minute(ts).cast("long") * F.lit(_MINUTE)
-        + (seconds * F.lit(1_000_000)).cast("long")
-    )
-    return micros / F.lit(1e6)
+    fraction = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(_SECOND))
+    cut_up = (ts < F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) & (fraction > 0)
+    whole = F.unix_timestamp(ts) - F.when(cut_up, F.lit(1)).otherwise(F.lit(0))
+    return (whole * F.lit(_SECOND) + fraction) / F.lit(1e6)
 
 
 def to_timestamp(seconds: Column) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,11 @@ SPLIT_ROWS = 1_000_000
 # broadcast; a group left out of a full list has less than 1/100,000 of the rows.
 HEAVY_LIMIT = 100_000
 
+# Laying out along a place: cells of the place told apart, and rows of a task.
+PLACE_CELLS = 50_000
+FEWEST_ROWS = 20_000
+MOST_ROWS = 5_000_000
+
 
 def with_key(points: DataFrame, key: Key) -> tuple[DataFrame, list[str]]:
     """Points with their key columns. A key named like a column is that column."""
@@ -54,14 +60,18 @@ def group_stats(
     return keyed.groupBy(*names).agg(*aggregates)
 
 
+def group_sizes(keyed: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows per group, ``_n``: reads the key columns alone, and combines before the shuffle."""
+    return keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def heavy_groups(
-    keyed: DataFrame, names: Sequence[str], split_rows: int
+    sizes: DataFrame, names: Sequence[str], split_rows: int
 ) -> tuple[int, DataFrame | None]:
     """Size of the largest group, and the groups above ``split_rows`` if any.
 
-    Runs one count over the key columns alone. The list has at most HEAVY_LIMIT rows.
+    The list has at most HEAVY_LIMIT rows.
     """
-    sizes = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     over = F.col("_n") > split_rows
     largest, count = sizes.agg(F.max("_n"), F.count_if(over)).first()
     if not count:
@@ -88,18 +98,74 @@ def point_order(order: Sequence[str] | None, dims: Sequence[str]) -> list[str]:
     return first + [d for d in dims if d not in first]
 
 
-def _by_group(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One shuffle by a hash of the key, in ``_g``, that later steps can build on.
+class _Spread:
+    """How rows are sent to tasks so that all steps of grouping need one shuffle.
 
-    Spark rewrites floating-point keys in windows and aggregates, each in its own way,
-    and would shuffle again between the two; a whole number it leaves alone.
+    They go by a hash of the key, ``_g``. Spark rewrites floating-point keys in windows
+    and in aggregates, each in its own way, and would shuffle again between the two; a
+    whole number it leaves alone.
     """
-    parts = []
-    for name in names:
-        floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-        # Adding zero turns -0.0, which equals 0.0, into it.
-        parts.append(F.col(name) + F.lit(0.0) if floating else F.col(name))
-    return df.withColumn("_g", F.xxhash64(*parts)).repartition("_g")
+
+    by: tuple[str, ...] = ("_g",)
+
+    def hashed(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        parts = []
+        for name in names:
+            floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+            # Adding zero turns -0.0, which equals 0.0, into it.
+            parts.append(F.col(name) + F.lit(0.0) if floating else F.col(name))
+        return df.withColumn("_g", F.xxhash64(*parts))
+
+    def send(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        return self.hashed(df, names).repartition("_g")
+
+
+def _place_sums(placed: DataFrame) -> tuple[int, list[tuple[int, int]]]:
+    """Rows per cell of the place, in order, and the shift that makes these cells.
+
+    Cells grow until there are at most PLACE_CELLS of them; never more are collected.
+    """
+    for shift in range(0, 64, 6):
+        cell = F.shiftright("_at", shift).alias("_cell")
+        sums = placed.groupBy(cell).agg(F.sum("_n")).limit(PLACE_CELLS + 1).collect()
+        if len(sums) <= PLACE_CELLS:
+            break
+    return shift, sorted(map(tuple, sums))
+
+
+class _SpreadAlong(_Spread):
+    """The same, but tasks take consecutive stretches of a ``place``.
+
+    The stretches come from the counted sizes of the groups, gathered into at most
+    PLACE_CELLS cells of equal length; a range partitioner would read all points once
+    more to draw its sample. A cell with the rows of several tasks goes to that many.
+    """
+
+    by = ("_part", "_at", "_g")
+
+    def __init__(self, sizes: DataFrame, place: Column):
+        self.place = F.coalesce(place.cast("long"), F.lit(-1).cast("long"))
+        self.shift, sums = _place_sums(sizes.select(self.place.alias("_at"), "_n"))
+        rows = sum(n for _, n in sums)
+        wanted = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.parts = max(1, min(wanted, rows // FEWEST_ROWS), rows // MOST_ROWS)
+        stretches, before = [], 0
+        for at, n in sums:
+            first, end = (k * self.parts // rows for k in (before, before + n))
+            stretches.append((at, first, max(end - first, 1)))
+            before += n
+        types = {"_cell": pa.int64(), "_first": pa.int32(), "_tasks": pa.int32()}
+        columns = zip(*stretches, strict=True) if stretches else ((), (), ())
+        arrays = [pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)]
+        table = pa.table(arrays, list(types))
+        self.stretches = sizes.sparkSession.createDataFrame(table)
+
+    def send(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        cell = F.shiftright("_at", self.shift)
+        placed = self.hashed(df, names).withColumn("_at", self.place).withColumn("_cell", cell)
+        part = F.col("_first") + F.pmod("_g", "_tasks").cast("int")
+        sent = placed.join(F.broadcast(self.stretches), "_cell").withColumn("_part", part)
+        return sent.drop("_cell", "_first", "_tasks").repartitionById(self.parts, "_part")
 
 
 def _chunked(
@@ -108,11 +174,17 @@ def _chunked(
     order: Sequence[str],
     max_points: int,
     split_rows: int,
-) -> list[DataFrame]:
-    """The rows with ``chunk``, laid out by ``_g``: ordinary groups, then heavy ones."""
-    largest, heavy = heavy_groups(keyed, names, split_rows)
+    place: Column | None = None,
+) -> tuple[list[DataFrame], _Spread]:
+    """The rows with ``chunk``, sent to their tasks: ordinary groups, then heavy ones."""
+    sizes = group_sizes(keyed, names).persist()
+    try:
+        largest, heavy = heavy_groups(sizes, names, split_rows)
+        spread = _Spread() if place is None else _SpreadAlong(sizes, place)
+    finally:
+        sizes.unpersist()
     if largest <= max_points:
-        return [_by_group(keyed, names).withColumn("chunk", F.lit(0).cast("long"))]
+        return [spread.send(keyed, names).withColumn("chunk", F.lit(0).cast("long"))], spread
     chunk = F.floor((F.col("_rn") - 1) / F.lit(max_points)).cast("long")
     ordinary = keyed
     branches = []
@@ -121,10 +193,10 @@ def _chunked(
         rows = heavy.agg(F.sum("_n")).first()[0]
         runs = sorted_runs(large, [*names, *order], 1 + rows // split_rows, distinct_order=False)
         numbered = number_runs(runs, names, "_rn").withColumn("chunk", chunk).drop("_rn")
-        branches.append(_by_group(numbered, [*names, "chunk"]))
-    window = Window.partitionBy("_g", *names).orderBy(*order)
-    numbered = _by_group(ordinary, names).withColumn("_rn", F.row_number().over(window))
-    return [numbered.withColumn("chunk", chunk).drop("_rn"), *branches]
+        branches.append(spread.send(numbered, [*names, "chunk"]))
+    window = Window.partitionBy(*spread.by, *names).orderBy(*order)
+    numbered = spread.send(ordinary, names).withColumn("_rn", F.row_number().over(window))
+    return [numbered.withColumn("chunk", chunk).drop("_rn"), *branches], spread
 
 
 def _union(branches: Sequence[DataFrame]) -> DataFrame:
@@ -146,8 +218,8 @@ def capped_points(
         raise ValueError("max_points must be at least 1")
     keyed, names = with_key(points, key)
     full_order = point_order(order, [c for c in points.columns if c not in names])
-    branches = _chunked(keyed, names, full_order, max_points, split_rows)
-    return _union(branches).drop("_g"), names
+    branches, spread = _chunked(keyed, names, full_order, max_points, split_rows)
+    return _union(branches).drop(*spread.by), names
 
 
 def build_patches(
@@ -159,10 +231,14 @@ def build_patches(
     max_points: int = MAX_POINTS,
     split_rows: int = SPLIT_ROWS,
     pcid: int | None = None,
+    place: Column | None = None,
 ) -> DataFrame:
     """Group points into patches: the aggregate that makes patches from points.
 
     ``dims`` limits the stored arrays; by default every column that is not a key.
+    ``place`` is a whole number made from key columns (see ``functions.keys``): the
+    points are then shuffled straight to where their patch lies along it, which lays
+    out the table without a second shuffle.
     """
     keyed, names = with_key(points, key)
     stats = [s for s in stats if s in points.columns]
@@ -172,20 +248,22 @@ def build_patches(
         raise ValueError("max_points must be at least 1")
     values = [c for c in keyed.columns if c not in names]
     dims = [c for c in (dims or points.columns) if c not in names]
-    branches = _chunked(keyed, names, point_order(order, values), max_points, split_rows)
+    full_order = point_order(order, values)
+    branches, spread = _chunked(keyed, names, full_order, max_points, split_rows, place)
     ranges = [f"{stat_prefix(s)}_{end}" for s in stats for end in ("min", "max")]
     tag = [F.lit(pcid).alias("pcid")] if pcid is not None else []
     arrays = [F.col(f"_points.{d}").alias(d) for d in dims]
-    built = [
-        branch.groupBy("_g", *names, "chunk")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *range_aggregates(keyed, stats),
-            F.sort_array(F.collect_list(F.struct(*point_order(order, dims)))).alias("_points"),
-        )
-        .select(*tag, *names, "chunk", "n", *ranges, *arrays)
-        for branch in branches
+    whole = [
+        F.count(F.lit(1)).alias("n"),
+        *range_aggregates(keyed, stats),
+        F.sort_array(F.collect_list(F.struct(*point_order(order, dims)))).alias("_points"),
     ]
+    built = []
+    for branch in branches:
+        patches = branch.groupBy(*spread.by, *names, "chunk").agg(*whole)
+        if place is not None:
+            patches = patches.sortWithinPartitions(*spread.by, "chunk")
+        built.append(patches.select(*tag, *names, "chunk", "n", *ranges, *arrays))
     return _union(built)
 
 
@@ -259,7 +337,8 @@ def multiscale_points(
     """
     both, names = _both_scales(points, fine, coarse)
     fine_names = [f"_f_{n}" for n in names]
-    _, heavy = heavy_groups(both, fine_names, max(split_rows, threshold))
+    sizes = group_sizes(both, fine_names)
+    _, heavy = heavy_groups(sizes, fine_names, max(split_rows, threshold))
     counted = Window.partitionBy(*fine_names)
     if heavy is None:
         sized = both.withColumn("_n_fine", F.count(F.lit(1)).over(counted))

@@ -10,14 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidarlake.functions.keys import cubic_metre, period
+from lidarlake.functions.keys import along_curve, along_time, cubic_metre, period
 from lidarlake.operators.grouping import build_patches
-from lidarlake.operators.layout import (
-    cluster_by_range,
-    cluster_by_space,
-    read_patches,
-    write_patches,
-)
+from lidarlake.operators.layout import read_patches, write_patches
 from lidarlake.plans.views import events, points
 from lidarlake.session import fresh_path
 from lidarlake.sources import ply
@@ -42,8 +37,8 @@ def cube_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cloud in cubic-metre patches, laid out by place."""
 
     def write(path: str) -> None:
-        patches = build_patches(points(spark, sf_dir), cubic_metre(), pcid=2)
-        write_patches(cluster_by_space(patches), path)
+        cloud = points(spark, sf_dir)
+        write_patches(build_patches(cloud, cubic_metre(), pcid=2, place=along_curve()), path)
 
     return read_patches(spark, once(spark, sf_dir, "cubes", write))
 
@@ -52,8 +47,8 @@ def week_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cloud in weekly patches, laid out by time."""
 
     def write(path: str) -> None:
-        patches = build_patches(points(spark, sf_dir), period(WEEK), pcid=2)
-        write_patches(cluster_by_range(patches), path)
+        cloud = points(spark, sf_dir)
+        write_patches(build_patches(cloud, period(WEEK), pcid=2, place=along_time()), path)
 
     return read_patches(spark, once(spark, sf_dir, "weeks", write))
 

@@ -218,7 +218,29 @@ def test_row_ids_follow_the_order(cloud, rows):
     assert sorted(r.gid for r in numbered.select("gid").collect()) == list(range(1, len(rows) + 1))
 
 
-def test_building_shuffles_points_once(cloud, capsys):
-    built = grouping.build_patches(cloud, keys.cubic_metre(), max_points=64)
-    built.explain()
-    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+@pytest.mark.parametrize("split_rows", [1_000_000, 50])
+@pytest.mark.parametrize("max_points", [4096, 64])
+def test_laid_out_patches_are_the_same(cloud, max_points, split_rows):
+    limits = {"max_points": max_points, "split_rows": split_rows}
+    plain = grouping.build_patches(cloud, keys.cubic_metre(), **limits)
+    laid = grouping.build_patches(cloud, keys.cubic_metre(), place=keys.along_curve(), **limits)
+    assert sorted(laid.collect()) == sorted(plain.collect())
+
+
+def test_laid_out_partitions_do_not_overlap(cloud):
+    laid = grouping.build_patches(cloud, keys.period(1), place=keys.along_time(), max_points=64)
+    spans = laid.groupBy(F.spark_partition_id()).agg(F.min("tbin"), F.max("tbin")).collect()
+    ends = sorted((r[1], r[2]) for r in spans)
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+@pytest.mark.parametrize("place", [None, keys.along_curve])
+@pytest.mark.parametrize("max_points", [4096, 64])
+def test_building_shuffles_points_once(cloud, capsys, max_points, place):
+    where = place and place()
+    grouping.build_patches(
+        cloud.coalesce(1), keys.cubic_metre(), max_points=max_points, place=where
+    ).explain()
+    plan = capsys.readouterr().out
+    # The fixture's own repartition is one more.
+    assert plan.count("- Exchange ") == 2

@@ -2,6 +2,7 @@
 
 import os
 import struct
+from datetime import datetime, timezone
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lidarlake.functions import keys
 from lidarlake.functions.text import c_number
+from lidarlake.functions.times import epoch_seconds
 from lidarlake.operators import grouping, layout, patch
 from lidarlake.operators import points as pt
 from lidarlake.sources import ply, registry, schemas, text
@@ -346,6 +348,20 @@ def test_validation(spark):
         pt.require_valid(df, limits).collect()
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_epoch_seconds_in_any_zone(spark, zone):
+    times = ["2024-03-10 02:30:00.123456", "1969-12-31 23:59:59.5", "1950-07-01 12:00:00.25", "1900-01-01 00:00:00"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in times], "t string")
+        got = [r[0] for r in df.select(epoch_seconds(F.col("t").cast("timestamp_ntz"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    wall = [datetime.fromisoformat(t).replace(tzinfo=timezone.utc) for t in times]
+    assert got == [pytest.approx(w.timestamp(), abs=1e-7) for w in wall]
+
+
 def test_attach_by_position(spark):
     df = spark.createDataFrame([(1.5, 7)], "range double, n int")
     named = pt.attach_schema(df, [("echo_range", "float"), ("fiber", "smallint")])
