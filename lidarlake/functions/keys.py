@@ -50,7 +50,12 @@ def period(seconds: float, time: str = "gps_time", name: str = "tbin") -> Key:
 
 
 def attribute(dim: str, name: str | None = None, step: float | None = None) -> Key:
-    """Equal values of an attribute, or equal bins of it when ``step`` is given."""
+    """Equal values of an attribute, or equal bins of it when ``step`` is given.
+
+    With its own name, ``name=dim``, the attribute moves from the points to the key.
+    """
+    if step is None and name == dim:
+        return [F.col(dim)]
     value = F.col(dim) if step is None else snapped(F.col(dim), step)
     return [value.alias(name or f"{dim}_key")]
 

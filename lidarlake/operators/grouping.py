@@ -35,6 +35,9 @@ SPLIT_ROWS = 1_000_000
 # broadcast; a group left out of a full list has less than 1/100,000 of the rows.
 HEAVY_LIMIT = 100_000
 
+# Tasks that heavy groups are cut over; their starts are broadcast too.
+MOST_RUNS = 100_000
+
 # Laying out along a place: cells of the place told apart, and rows of a task.
 PLACE_CELLS = 50_000
 FEWEST_ROWS = 20_000
@@ -42,9 +45,14 @@ MOST_ROWS = 5_000_000
 
 
 def with_key(points: DataFrame, key: Key) -> tuple[DataFrame, list[str]]:
-    """Points with their key columns. A key named like a column is that column."""
+    """Points with their key columns. A key named like a column must be that column."""
     names = key_names(points, key)
-    added = {n: k for n, k in zip(names, key, strict=True) if n not in points.columns}
+    added = {}
+    for name, column in zip(names, key, strict=True):
+        if name not in points.columns:
+            added[name] = column
+        elif str(column) != f"Column<'{name}'>":
+            raise ValueError(f"key {name} needs a name of its own")
     return (points.withColumns(added) if added else points), names
 
 
@@ -163,8 +171,10 @@ class _SpreadAlong(_Spread):
     def send(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
         cell = F.shiftright("_at", self.shift)
         placed = self.hashed(df, names).withColumn("_at", self.place).withColumn("_cell", cell)
-        part = F.col("_first") + F.pmod("_g", "_tasks").cast("int")
-        sent = placed.join(F.broadcast(self.stretches), "_cell").withColumn("_part", part)
+        # A row that came after the count belongs to no known cell.
+        tasks = F.coalesce("_tasks", F.lit(1))
+        part = F.coalesce("_first", F.lit(0)) + F.pmod(F.col("_g"), tasks).cast("int")
+        sent = placed.join(F.broadcast(self.stretches), "_cell", "left").withColumn("_part", part)
         return sent.drop("_cell", "_first", "_tasks").repartitionById(self.parts, "_part")
 
 
@@ -191,7 +201,8 @@ def _chunked(
     if heavy is not None:
         ordinary, large = split_heavy(keyed, names, heavy)
         rows = heavy.agg(F.sum("_n")).first()[0]
-        runs = sorted_runs(large, [*names, *order], 1 + rows // split_rows, distinct_order=False)
+        count = min(1 + rows // split_rows, MOST_RUNS)
+        runs = sorted_runs(large, [*names, *order], count, distinct_order=False)
         numbered = number_runs(runs, names, "_rn").withColumn("chunk", chunk).drop("_rn")
         branches.append(spread.send(numbered, [*names, "chunk"]))
     window = Window.partitionBy(*spread.by, *names).orderBy(*order)

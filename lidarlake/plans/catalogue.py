@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidarlake.functions import keys
+from lidarlake.functions import keys, sql
 from lidarlake.operators import grouping, ids, joins, layout, patch, perpatch, report, retrieve
 from lidarlake.operators import points as pt
 from lidarlake.operators.retrieve import Ball, Box, Disc, Span
@@ -262,6 +262,20 @@ def retrieve_time_space(spark, sf_dir):
     return retrieve.retrieve(weeks, YEAR_1998, DISC, echoes, dims=XYZT)
 
 
+def retrieve_sql(spark, sf_dir):
+    """The question of retrieve_space_time without echoes, in SQL."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT p.gps_time, p.x, p.y, p.z
+           FROM {cubes}
+           LATERAL VIEW inline(arrays_zip(gps_time, x, y, z)) p AS gps_time, x, y, z
+           WHERE range_overlaps(t_min, t_max, 883612800, 915148800)
+             AND box_near(x_min, y_min, x_max, y_max, 25, 5, 2)
+             AND in_range(p.gps_time, 883612800, 915148800) AND point_near(p.x, p.y, 25, 5, 2)""",
+        cubes=stored.cube_patches(spark, sf_dir),
+    )
+
+
 def limit_patches(spark, sf_dir):
     cubes = stored.cube_patches(spark, sf_dir).select(*CUBE, "chunk", "n")
     return retrieve.first_rows(cubes, [*CUBE, "chunk"], 10)
@@ -483,6 +497,7 @@ _ALL: list[Query] = [
     retrieve_box,
     retrieve_space_time,
     retrieve_time_space,
+    retrieve_sql,
     limit_patches,
     build_patch_stats,
     group_m3,

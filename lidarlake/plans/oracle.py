@@ -171,6 +171,7 @@ _QUERIES = {
     "retrieve_time_space": f"""
       SELECT gps_time, x, y, z FROM pts
       WHERE {_IN_DISC} AND {_IN_1998} AND num_echo BETWEEN 2 AND 4""",
+    "retrieve_sql": f"SELECT gps_time, x, y, z FROM pts WHERE {_IN_DISC} AND {_IN_1998}",
     "limit_patches": "SELECT cx, cy, cz, chunk, n FROM vox ORDER BY cx, cy, cz, chunk LIMIT 10",
     "build_patch_stats": """
       SELECT round(x) AS cx, round(y) AS cy, round(z) AS cz, count(*) AS n,

@@ -39,11 +39,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def areas(spark: SparkSession) -> DataFrame:
     """Three discs to ask for."""
-    rows = [(1, 25.0, 5.0, 2.0), (2, 10.0, 1.0, 1.5), (3, 40.0, 4.0, 3.0)]
-    return spark.createDataFrame(rows, "area_id int, cx double, cy double, r double")
+    return spark.sql(
+        """SELECT * FROM VALUES (1, 25D, 5D, 2D), (2, 10D, 1D, 1.5D), (3, 40D, 4D, 3D)
+           AS areas(area_id, cx, cy, r)"""
+    )
 
 
 def windows(spark: SparkSession) -> DataFrame:
     """Three time windows to ask for: a year, a week, and one before all points."""
-    rows = [(1, 883612800.0, 915148800.0), (2, 915148800.0, 915753600.0), (3, 0.0, 1.0)]
-    return spark.createDataFrame(rows, "win_id int, lo double, hi double")
+    return spark.sql(
+        """SELECT * FROM VALUES (1, 883612800D, 915148800D), (2, 915148800D, 915753600D),
+           (3, 0D, 1D) AS windows(win_id, lo, hi)"""
+    )

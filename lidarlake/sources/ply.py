@@ -54,6 +54,7 @@ _ORDERS = {"binary_little_endian": "<", "binary_big_endian": ">", "ascii": "="}
 _HEADER_STEP = 64 * 1024
 _HEADER_LIMIT = 64 * 1024 * 1024
 _BLOCK_BYTES = 8 * 1024 * 1024
+_LINE_STEP = 4096
 _BATCH_ROWS = 64 * 1024
 
 _INT_WORD = r"[+-]?\d+"
@@ -224,7 +225,10 @@ class PlyDataSource(DataSource):
     """Options: ``element`` (vertex), ``splitBytes``, ``sourceFile`` (false), ``mode``.
 
     ``mode`` rules ASCII values that do not fit their type: FAILFAST stops,
-    PERMISSIVE reads null and goes on with the next value.
+    PERMISSIVE reads null and goes on with the next value. With ``splitLines`` an ASCII
+    body is cut into ranges as well: say so for files that hold one element without
+    lists and one instance per line. All their lines are read, whatever the count in
+    the header.
     """
 
     @classmethod
@@ -263,6 +267,7 @@ class PlyReader(DataSourceReader):
         self.path = path
         self.element = options.get("element", "vertex")
         self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
+        self.split_lines = options.get("splitlines", options.get("splitLines", "false")).lower() == "true"
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.arrow = to_arrow_schema(schema)
 
@@ -286,6 +291,8 @@ class PlyReader(DataSourceReader):
             offset = header.fixed_offset(self.element)
             if offset is not None:
                 yield from self._fixed(part, file, header, element, offset)
+            elif self.split_lines and header.is_ascii:
+                yield from self._lines(part, file, header, element)
             elif part.start == 0:
                 reader = _ascii_columns if header.is_ascii else _variable_columns
                 wanted = set(self.arrow.names)
@@ -311,6 +318,23 @@ class PlyReader(DataSourceReader):
             yield self._batch({n: values[n] for n in record.names if n in self.arrow.names}, part.path)
             row += rows
 
+    def _lines(self, part, file, header, element) -> Iterator[pa.RecordBatch]:
+        if len(header.elements) > 1 or not element.is_fixed:
+            raise PlyError(f"{part.path}: splitLines needs a single element without lists")
+        width = len(element.properties)
+        for text in _line_blocks(file, max(part.start, header.length), part.end, header.length):
+            words = text.split()
+            lines = sum(1 for line in text.split(b"\n") if line.strip())
+            if len(words) != lines * width:
+                raise PlyError(f"{part.path}: a line does not hold {width} values")
+            columns = {
+                p.name: _ascii_numbers(part.path, p, p.type, words[i::width], self.permissive)
+                for i, p in enumerate(element.properties)
+                if p.name in self.arrow.names
+            }
+            if words:
+                yield self._batch(columns, part.path)
+
     def _batch(self, columns: dict, path: str) -> pa.RecordBatch:
         rows = len(next(iter(columns.values()))) if columns else 0
         arrays = []
@@ -326,6 +350,35 @@ class PlyReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(arrays, schema=self.arrow)
 
 
+def _after_line(file: pa.NativeFile, at: int) -> int:
+    """Where the next line begins, from ``at`` on; the end of the file if none does."""
+    while True:
+        block = file.read_at(_LINE_STEP, at)
+        found = block.find(b"\n")
+        if found >= 0:
+            return at + found + 1
+        at += len(block)
+        if len(block) < _LINE_STEP:
+            return at
+
+
+def _line_blocks(file: pa.NativeFile, start: int, end: int, body: int) -> Iterator[bytes]:
+    """The lines that begin in [start, end), in blocks of whole lines."""
+    at = start if start == body else _after_line(file, start - 1)
+    last = _after_line(file, end - 1)
+    held = b""
+    while at < last:
+        block = file.read_at(min(_BLOCK_BYTES, last - at), at)
+        if not block:
+            return
+        at += len(block)
+        held += block
+        cut = len(held) if at >= last else held.rfind(b"\n") + 1
+        if cut:
+            yield held[:cut]
+        held = held[cut:]
+
+
 class _Bytes:
     """A file read forward in blocks."""
 

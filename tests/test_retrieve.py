@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lidarlake.functions import keys
+from lidarlake.functions import keys, sql
 from lidarlake.functions.zorder import morton
 from lidarlake.operators import grouping, joins, layout, patch, perpatch, report
 from lidarlake.operators.retrieve import Ball, Box, Disc, Span, candidates, retrieve
@@ -243,3 +243,25 @@ def test_function_per_patch(cubes, rows):
     assert sorted(r.z for r in tops.collect()) == sorted(
         r.z_max for r in cubes.select("z_max").collect()
     )
+
+
+def test_retrieval_in_sql(spark, cubes, rows, capsys):
+    sql.register(spark)
+    cubes.createOrReplaceTempView("cubes")
+    inside = spark.sql(
+        """SELECT p.gps_time, p.x, p.y, p.z
+           FROM cubes LATERAL VIEW inline(arrays_zip(gps_time, x, y, z)) p AS gps_time, x, y, z
+           WHERE range_overlaps(t_min, t_max, 10, 20) AND box_near(x_min, y_min, x_max, y_max, 1, 2, 3.5)
+             AND in_range(p.gps_time, 10, 20) AND point_near(p.x, p.y, 1, 2, 3.5)"""
+    )
+    wanted = [p[:4] for p in rows if TESTS["disc"][1](p) and TESTS["time"][1](p)]
+    assert sorted(map(tuple, inside.collect())) == sorted(wanted)
+    inside.explain("formatted")
+    pushed = next(x for x in capsys.readouterr().out.splitlines() if x.startswith("PushedFilters"))
+    for column in ("t_min", "t_max", "x_min", "x_max", "y_min", "y_max"):
+        assert f"({column}," in pushed
+
+
+def test_key_may_not_hide_a_column(cloud):
+    with pytest.raises(ValueError, match="name of its own"):
+        grouping.group_stats(cloud, [F.round("x").alias("x")])

@@ -90,6 +90,27 @@ def test_all_encodings(spark, tmp_path, form):
         np.testing.assert_array_equal(got[name].to_numpy(), want[name])
 
 
+@pytest.mark.parametrize("split", [1000, 77_777, 10_000_000])
+def test_ascii_in_ranges(spark, tmp_path, split):
+    data = wide_file(tmp_path, "ascii", 2000)
+    reader = spark.read.format("ply").option("splitLines", "true").option("splitBytes", split)
+    got = reader.load(str(tmp_path)).toPandas().sort_values("GPS_time")
+    want = np.sort(data, order="GPS_time")
+    for name, _ in WIDE:
+        np.testing.assert_array_equal(got[name].to_numpy(), want[name])
+
+
+def test_ascii_in_ranges_checks_lines(spark, tmp_path):
+    head = header("ascii", [("vertex", 2, ["int x", "int y"])])
+    write(tmp_path, "odd.ply", head + b"1 2 3\n4 5\n")
+    reader = spark.read.format("ply").option("splitLines", "true").schema("x int")
+    with pytest.raises(Exception, match="odd.ply"):
+        reader.load(str(tmp_path)).collect()
+    write(tmp_path / "b", "list.ply", list_file("ascii"))
+    with pytest.raises(Exception, match="single element"):
+        reader.load(str(tmp_path / "b")).collect()
+
+
 def test_all_type_names(spark, tmp_path):
     names = "int8 uint8 int16 uint16 int32 uint32 float32 float64".split()
     names += "char uchar short ushort int uint float double".split()
