@@ -187,7 +187,10 @@ def _chunked(
     place: Column | None = None,
 ) -> tuple[list[DataFrame], _Spread]:
     """The rows with ``chunk``, sent to their tasks: ordinary groups, then heavy ones."""
-    sizes = group_sizes(keyed, names).persist()
+    sizes = group_sizes(keyed, names)
+    if place is not None:
+        # Read twice, and dropped as soon as the layout is known.
+        sizes = sizes.persist()
     try:
         largest, heavy = heavy_groups(sizes, names, split_rows)
         spread = _Spread() if place is None else _SpreadAlong(sizes, place)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lidarlake.functions.zorder import morton
-from lidarlake.operators.patch import patch_keys
+from lidarlake.operators.patch import explode_patches, patch_keys, stat_prefix
 from lidarlake.operators.retrieve import Criterion, candidates, matching_points
-from lidarlake.operators.patch import explode_patches
 
 
 def cluster_by_space(patches: DataFrame, cell: float = 1.0, files: int | None = None) -> DataFrame:
@@ -36,20 +35,46 @@ def _range_sorted(df: DataFrame, order: Sequence[str], files: int | None) -> Dat
     return spread.sortWithinPartitions(*order)
 
 
+def with_tiles(patches: DataFrame, tiles: Mapping[str, float]) -> DataFrame:
+    """Add the first and last tile that the range of a dimension touches.
+
+    The size of a tile is part of the column name, for those who read the table.
+    """
+    added = {}
+    for dim, size in tiles.items():
+        prefix = stat_prefix(dim)
+        # 7.5 is written 7p5, as dots would need quoting everywhere.
+        named = f"{size:f}".rstrip("0").rstrip(".").replace(".", "p")
+        for end, stat in (("lo", "min"), ("hi", "max")):
+            tile = F.floor(F.col(f"{prefix}_{stat}") / F.lit(float(size)))
+            added[f"{prefix}_tile_{named}_{end}"] = tile
+    return patches.withColumns(added)
+
+
 def write_patches(
     patches: DataFrame,
     path: str,
     mode: str = "error",
     row_group_bytes: int = 32 * 1024 * 1024,
+    tiles: Mapping[str, float] | None = None,
 ) -> None:
     """Write a patch table: ``overwrite`` replaces it, ``append`` adds to it.
 
+    ``tiles``, such as ``{"x": 500, "y": 500}``, makes folders that retrieval leaves
+    out without opening a file; choose them large, for tables of many thousand files.
+
     One table holds patches of one point schema; appending another is refused.
     Row groups are kept smaller than usual, because each is a unit of skipping.
     """
     if mode == "append" and "pcid" in patches.columns:
         _check_pcid(patches, path)
-    patches.write.mode(mode).option("parquet.block.size", row_group_bytes).parquet(path)
+    folders = []
+    if tiles:
+        plain = len(patches.columns)
+        patches = with_tiles(patches, tiles)
+        folders = patches.columns[plain:]
+    writer = patches.write.mode(mode).option("parquet.block.size", row_group_bytes)
+    writer.partitionBy(*folders).parquet(path)
 
 
 def _check_pcid(patches: DataFrame, path: str) -> None:
@@ -68,7 +93,7 @@ def _check_pcid(patches: DataFrame, path: str) -> None:
         raise ValueError(f"{path} holds patches of pcid {there.pcid}, not {other.pcid}")
 
 
-def read_patches(spark, path: str) -> DataFrame:
+def read_patches(spark: SparkSession, path: str) -> DataFrame:
     """Read a patch table."""
     return spark.read.parquet(path)
 

@@ -8,6 +8,7 @@ a patch share one point order: acquisition time first, then the other dimensions
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ def patch_dims(patches: DataFrame) -> list[str]:
     return [f.name for f in patches.schema if isinstance(f.dataType, T.ArrayType)]
 
 
-def patch_keys(patches: DataFrame, dims: Sequence[str] | None = None) -> list[str]:
+def patch_keys(patches: DataFrame) -> list[str]:
     """The columns that identify a patch: everything before ``n``."""
     names = patches.columns
     return names[: names.index("n")]
@@ -47,6 +48,16 @@ def range_aggregates(points: DataFrame, stats: Sequence[str]) -> list[Column]:
     return columns
 
 
+def tile_columns(patches: DataFrame, dim: str) -> list[tuple[str, str, float]]:
+    """Tiles of ``dim`` that the table is partitioned by: low, high column and size."""
+    found = []
+    for name in patches.columns:
+        match = re.fullmatch(rf"({re.escape(stat_prefix(dim))}_tile_([0-9p]+))_lo", name)
+        if match and f"{match[1]}_hi" in patches.columns:
+            found.append((name, f"{match[1]}_hi", float(match[2].replace("p", "."))))
+    return found
+
+
 def _array_numbers(patches: DataFrame, dim: str) -> Column:
     element = patches.schema[dim].dataType.elementType
     if isinstance(element, (T.DoubleType, T.FloatType)):

@@ -7,13 +7,14 @@ second implies the first, so the result never depends on how points are grouped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lidarlake.operators.patch import explode_patches, patch_max, patch_min
+from lidarlake.operators.patch import explode_patches, patch_max, patch_min, tile_columns
 
 BOUNDS = ("[)", "[]", "(]", "()")
 
@@ -57,7 +58,8 @@ class Span:
         return _all(tests)
 
     def on_patch(self, patches: DataFrame) -> Column:
-        return self._within(patch_min(patches, self.dim), patch_max(patches, self.dim))
+        near = self._within(patch_min(patches, self.dim), patch_max(patches, self.dim))
+        return near & _in_tiles(patches, self.dim, self.lo, self.hi)
 
     def on_point(self) -> Column:
         value = F.col(self.dim)
@@ -89,6 +91,8 @@ class Disc:
             & (y_min <= F.lit(self.y + reach))
             & (y_max >= F.lit(self.y - reach))
             & (dx * dx + dy * dy <= F.lit(self.r * self.r))
+            & _in_tiles(patches, "x", self.x - reach, self.x + reach)
+            & _in_tiles(patches, "y", self.y - reach, self.y + reach)
         )
 
     def on_point(self) -> Column:
@@ -142,6 +146,17 @@ class Box:
 Criterion = Span | Disc | Ball | Box
 
 
+def _in_tiles(patches: DataFrame, dim: str, lo: float | None, hi: float | None) -> Column:
+    """What the range means for the folders of a tiled table."""
+    tests = []
+    for low, high, size in tile_columns(patches, dim):
+        if hi is not None and math.isfinite(hi):
+            tests.append(F.col(low) <= math.floor(hi / size))
+        if lo is not None and math.isfinite(lo):
+            tests.append(F.col(high) >= math.floor(lo / size))
+    return _all(tests)
+
+
 def _all(tests: Sequence[Column]) -> Column:
     whole = F.lit(True)
     for test in tests:

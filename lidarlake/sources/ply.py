@@ -55,6 +55,8 @@ _HEADER_STEP = 64 * 1024
 _HEADER_LIMIT = 64 * 1024 * 1024
 _BLOCK_BYTES = 8 * 1024 * 1024
 _LINE_STEP = 4096
+# Opening a file is as dear as reading so many bytes.
+_OPEN_BYTES = 1024 * 1024
 _BATCH_ROWS = 64 * 1024
 
 _INT_WORD = r"[+-]?\d+"
@@ -212,7 +214,7 @@ def _property(path: str, words: list[str]) -> Property:
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     """The records whose first byte lies in [start, end) of a file."""
 
     path: str
@@ -221,6 +223,13 @@ class FileRange(InputPartition):
     end: int
 
 
+@dataclass
+class FileRanges(InputPartition):
+    """What one task reads: a piece of a large file, or several small files."""
+
+    ranges: list[FileRange]
+
+
 class PlyDataSource(DataSource):
     """Options: ``element`` (vertex), ``splitBytes``, ``sourceFile`` (false), ``mode``.
 
@@ -271,16 +280,25 @@ class PlyReader(DataSourceReader):
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.arrow = to_arrow_schema(schema)
 
-    def partitions(self) -> list[FileRange]:
-        ranges = []
+    def partitions(self) -> list[FileRanges]:
+        groups, room = [], 0
         for path, size in _list_files(self.path):
             for start in range(0, max(size, 1), self.split_bytes):
-                ranges.append(FileRange(path, size, start, min(start + self.split_bytes, size)))
-        return ranges
-
-    def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
-        if part is None:
-            return
+                end = min(start + self.split_bytes, size)
+                cost = end - start + _OPEN_BYTES
+                if cost > room:
+                    groups.append(FileRanges([]))
+                    room = self.split_bytes
+                groups[-1].ranges.append(FileRange(path, size, start, end))
+                room -= cost
+        return groups
+
+    def read(self, partition: FileRanges) -> Iterator[pa.RecordBatch]:
+        # Without files Spark calls this once, for no partition.
+        for part in partition.ranges if partition else []:
+            yield from self._read(part)
+
+    def _read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
         with _open(part.path) as file:
             header = read_header(part.path, file)
             element = header.element(self.element)

@@ -265,3 +265,17 @@ def test_retrieval_in_sql(spark, cubes, rows, capsys):
 def test_key_may_not_hide_a_column(cloud):
     with pytest.raises(ValueError, match="name of its own"):
         grouping.group_stats(cloud, [F.round("x").alias("x")])
+
+
+def test_tiled_table(spark, cubes, rows, tmp_path, capsys):
+    path = str(tmp_path / "tiled")
+    layout.write_patches(cubes, path, tiles={"x": 7.5, "gps_time": 20})
+    tiled = layout.read_patches(spark, path)
+    assert tiled.agg(F.sum("n")).first()[0] == len(rows)
+    for criterion, test in TESTS.values():
+        found = [tuple(r) for r in retrieve(tiled, criterion, dims=DIMS).collect()]
+        assert sorted(found) == sorted(filter(test, rows))
+    retrieve(tiled, *[TESTS[n][0] for n in ("disc", "time")], dims=DIMS).explain("formatted")
+    plan = capsys.readouterr().out
+    folders = next(x for x in plan.splitlines() if x.startswith("PartitionFilters"))
+    assert "x_tile_7p5_lo" in folders and "x_tile_7p5_hi" in folders and "t_tile_20_lo" in folders

@@ -225,6 +225,15 @@ BROKEN = {
 }
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    head = header("binary_little_endian", [("vertex", 1, ["int x"])])
+    for i in range(30):
+        write(tmp_path, f"{i}.ply", head + struct.pack("<i", i))
+    df = spark.read.format("ply").option("splitBytes", 10 << 20).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() <= 4
+    assert sorted(r.x for r in df.collect()) == list(range(30))
+
+
 @pytest.mark.parametrize("name", BROKEN)
 def test_broken_files_are_named(spark, tmp_path, name):
     write(tmp_path, f"{name}.ply", BROKEN[name])
