@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Cells are counted from the middle of a 31-bit range, so negative ones fit.
 _MIDDLE = 1 << 30
-_TOP = (1 << 31) - 1
 _SPREAD_STEPS = (
     (16, 0x0000FFFF0000FFFF),
     (8, 0x00FF00FF00FF00FF),
@@ -30,8 +29,8 @@ def morton(x: Column, y: Column, cell: float) -> Column:
     """
 
     def number(v: Column) -> Column:
-        index = F.floor(v / F.lit(float(cell))).cast("long") + F.lit(_MIDDLE)
-        inside = F.least(F.greatest(index, F.lit(0)), F.lit(_TOP))
-        return F.when(v.isNotNull() & ~F.isnan(v), inside)
+        index = F.floor(v / F.lit(float(cell))).cast("long")
+        inside = F.least(F.greatest(index, F.lit(-_MIDDLE)), F.lit(_MIDDLE - 1))
+        return F.when(v.isNotNull() & ~F.isnan(v), inside + F.lit(_MIDDLE))
 
     return _spread(number(x)).bitwiseOR(F.shiftleft(_spread(number(y)), 1))

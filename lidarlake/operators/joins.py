@@ -21,14 +21,20 @@ from lidarlake.session import stage
 
 # Cell edges run from 2^-20 to 2^62.
 _LOWEST, _HIGHEST = -20, 62
+_EDGE = 2.0**61
 # Largest number of rows (ids and box corners only) sent to every executor.
 BROADCAST_ROWS = 200_000
 
 Sides = Sequence[tuple[str, str]]
 
 
+def _on_grid(value: Column) -> Column:
+    """The value moved to the grids' edge if it lies beyond, as infinities do."""
+    return F.least(F.greatest(value, F.lit(-_EDGE)), F.lit(_EDGE))
+
+
 def _level(sides: Sides) -> Column:
-    extents = [F.col(hi) - F.col(lo) for lo, hi in sides]
+    extents = [_on_grid(F.col(hi)) - _on_grid(F.col(lo)) for lo, hi in sides]
     extent = extents[0] if len(extents) == 1 else F.greatest(*extents)
     exact = F.ceil(F.log2(extent)).cast("int")
     floor_ = F.lit(_LOWEST)
@@ -37,7 +43,7 @@ def _level(sides: Sides) -> Column:
 
 
 def _cell(value: Column, level: Column) -> Column:
-    return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
+    return F.floor(_on_grid(value) / F.pow(F.lit(2.0), level)).cast("long")
 
 
 def _on_ladder(df: DataFrame, sides: Sides, own: str, others: Sequence[int]) -> DataFrame:

@@ -279,3 +279,32 @@ def test_tiled_table(spark, cubes, rows, tmp_path, capsys):
     plan = capsys.readouterr().out
     folders = next(x for x in plan.splitlines() if x.startswith("PartitionFilters"))
     assert "x_tile_7p5_lo" in folders and "x_tile_7p5_hi" in folders and "t_tile_20_lo" in folders
+
+
+def test_points_at_infinity(spark):
+    inf = float("inf")
+    rows = [(1.0, inf, 0.0, 0.0, 1), (2.0, 1.0, 1.0, 0.0, 2), (-inf, -inf, inf, 0.0, 3)]
+    rows += [(3.0, -1e300, 2.0, 0.0, 4), (4.0, 0.5, 0.5, 0.0, 5)]
+    df = spark.createDataFrame(rows, TYPE)
+    whole = grouping.build_patches(df, [F.lit(1).alias("k")])
+    places = "VALUES (1, 0D, 0D, 2D), (2, 1D, 1D, 1e-7D), (3, 0D, 0D, 1e100D) AS t(area_id, cx, cy, r)"
+    areas = spark.sql(f"SELECT * FROM {places}")
+    found = joins.area_points(whole, areas, ["echo"])
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 5), (2, 2), (3, 2), (3, 5)]
+    spans = spark.sql("SELECT * FROM VALUES (1, 2D, double('inf')), (2, 4D, 5D) AS t(win_id, lo, hi)")
+    kept = joins.window_points(whole, spans, ["echo"])
+    assert sorted(map(tuple, kept.collect())) == [(1, 2), (1, 4), (1, 5), (2, 5)]
+    laid = grouping.build_patches(df, keys.cubic_metre(), place=keys.along_curve())
+    assert laid.agg(F.sum("n")).first()[0] == len(rows)
+    assert layout.cluster_by_space(laid).count() == laid.count()
+    timed = grouping.build_patches(df, keys.period(10), place=keys.along_time())
+    assert timed.agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_layout_keeps_points_without_a_place(spark):
+    nan = float("nan")
+    rows = [(nan, nan, 1.0, 0.0, 1), (None, None, None, 0.0, 2), (-5.0, -3.0, -4.0, 0.0, 3)]
+    df = spark.createDataFrame(rows, TYPE)
+    for key, place in ((keys.cubic_metre(), keys.along_curve()), (keys.period(1), keys.along_time())):
+        built = grouping.build_patches(df, key, place=place)
+        assert sorted(r.echo[0] for r in built.collect()) == [1, 2, 3]
