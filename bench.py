@@ -20,7 +20,7 @@ from lidarlake.session import fresh_path  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = 3
+REPEATS = 5
 
 
 def drain(df: DataFrame) -> None:
