@@ -37,16 +37,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A text that loses nothing stays as it is; ``n_chars`` follows a text that changes.
     """
-    cut = substrings.remove_repeats(docs, window=35, carried=docs.columns)
-    source = [f"c{i}" for i in range(len(docs.columns))]
-    cut = cut.toDF(*source, "n_words", "n_removed", "kept")
-    fresh = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return cut.select(
-        *[
-            (F.when(F.col("n_removed") > 0, fresh[c]).otherwise(F.col(s)) if c in fresh else F.col(s)).alias(c)
-            for s, c in zip(source, docs.columns)
-        ]
-    )
+    others = [c for c in docs.columns if c != "text"]
+    cut = substrings.remove_repeats(docs, window=35, carried=others, whole=True)
+    # Renamed by place: a carried name may be one of the results'.
+    cut = cut.toDF(*[f"c{i}" for i in range(len(others))], "n_words", "n_removed", "kept")
+    at = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {"text": F.col("kept")}
+    changed = F.when(F.col("n_removed") > 0, F.length("kept").cast("long"))
+    if "n_chars" in at:
+        at["n_chars"] = F.coalesce(changed, at["n_chars"])
+    return cut.select(*[at[c].alias(c) for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

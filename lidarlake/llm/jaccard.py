@@ -6,10 +6,15 @@ symmetric difference of the sets. Two sets that link differ in D shingles at mos
 following from their sizes; of D + 1 slices of a sketch at least one is then equal.
 Documents meet on equal slices within a size band and are verified on the real sets.
 
+The slices that many documents share say little, so each set leaves out its most frequent ones,
+as many as there are slices beyond what pigeonhole asks for; the rarest slice of a pair is
+then left out by neither.
+
 Equal sets are one class from the start. Classes that share a slice form clusters,
 found as components of a chain through each slice's classes, so a slice that all
-documents share costs one row per class. Inside a cluster every pair is verified once,
-in blocks of bounded size; only a spanning star of the links leaves a task.
+documents share costs one row per class. Inside a cluster, blocks of bounded size meet pairwise; whole
+sketches rule most pairs out, the sets decide, and only a spanning star of the links leaves a
+task.
 """
 
 from __future__ import annotations
@@ -24,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lidarlake.llm.common import (
-    Forest,
     Rolling,
     WordHashes,
     components,
@@ -32,6 +36,7 @@ from lidarlake.llm.common import (
     signed,
     sorted_groups,
     texts_of,
+    within,
 )
 from lidarlake.session import stage
 
@@ -39,10 +44,14 @@ from lidarlake.session import stage
 BAND = 1.5
 #: Bits of a sketch for each shingle of the band's largest set.
 BITS = 8
-#: Slices of a document without any shingle that it may leave out; see ``slices``.
-SPARE = 2
-#: Classes of a cluster that are compared with each other in one block.
-BLOCK = 500
+#: Slices beyond those that pigeonhole asks for, as a share of these; see ``slices``.
+SPARE = 1.0
+#: Keys known as frequent at most, the most frequent ones. Any number gives the same links.
+FREQUENT = 1_000_000
+_RANK = 0x3F
+#: Classes, and bytes of text, of a cluster's block; pairs of blocks are compared in one call.
+BLOCK = 8192
+BLOCK_BYTES = 8 << 20
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
@@ -67,31 +76,76 @@ def _band(size: int) -> int:
     return band
 
 
-def slices(shingles: np.ndarray, band: int, num: int, den: int) -> np.ndarray:
-    """The keys of a set's slices in the sketch of pairs whose smaller set is in ``band``.
+def _layout(band: int, num: int, den: int) -> tuple[int, int]:
+    """Slices of a sketch for pairs whose smaller set is in ``band``, and the spare ones of these.
 
     Largest sizes of a pair are hi and hi * den / num. Their union u and intersection
     i have i >= u * num / den, so u - i <= (hi + hi * den / num) * (den - num) /
-    (den + num). With SPARE more slices than pigeonhole needs, SPARE + 1 slices are
-    equal; a set leaves out its empty slices if these are SPARE at most, and an equal
-    slice that is not empty remains.
+    (den + num), and one slice more than the spare ones is equal.
     """
     hi = _bounds(band)[1]
     apart = floor((hi + floor(hi * den / num)) * (den - num) / (den + num))
-    parts = apart + 1 + SPARE
-    bits = BITS * max(hi, 8)
-    width = max(1, bits // parts)
+    spare = ceil(apart * SPARE)
+    return apart + 1 + spare, spare
+
+
+def slices(shingles: np.ndarray, band: int, num: int, den: int) -> np.ndarray:
+    """The keys of a set's slices; the low bits of a key tell how many bits are odd."""
+    parts, _ = _layout(band, num, den)
+    width = max(1, BITS * max(_bounds(band)[1], 8) // parts)
     place = (shingles % np.uint64(width * parts)).astype(np.int64)
     odd, count = np.unique(place, return_counts=True)
     odd = odd[count % 2 == 1]
     # A slice's key: the sum of scrambled places of its set bits, its number and band.
-    sums = np.zeros(parts, np.uint64)
     of = odd // width
+    sums = np.zeros(parts, np.uint64)
     np.add.at(sums, of, mix(odd.astype(np.uint64) + np.uint64(1)))
-    full = np.bincount(of, minlength=parts) > 0
     numbers = np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)
     keys = mix(sums + mix(numbers + np.uint64(1 << 60)))
-    return keys[full] if np.count_nonzero(~full) <= SPARE else keys
+    bits = np.minimum(np.bincount(of, minlength=parts), _RANK).astype(np.uint64)
+    return (keys & ~np.uint64(_RANK)) | bits
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that a batch holds more than once, with their counts."""
+    for batch in batches:
+        keys, counts = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+        many = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(counts[many])], names=["key", "n"])
+
+
+def _choose(frequent, num: int, den: int):
+    """Leave out each set's spare slices: the most frequent ones, then those of the fewest bits.
+
+    That order is the same for all sets. Two sets that link share more slices than the spare ones, so
+    the last of these in the order is left out by neither.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = frequent.value
+        for batch in batches:
+            nodes, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lists = batch.column(2)
+            flat = lists.flatten().to_numpy()
+            ends = np.cumsum(np.asarray(lists.value_lengths()))
+            often = np.zeros(len(flat), np.int64)
+            hit = within(flat, known)
+            often[hit] = counts[np.searchsorted(known, flat[hit])]
+            rank = (often << 6) + (_RANK - (flat & _RANK))
+            keep = np.ones(len(flat), bool)
+            for size, lo, hi in zip(sizes.tolist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                band, at = _band(size), lo
+                while at < hi:  # the slices of the own band, then those of the band below
+                    parts, spare = _layout(band, num, den)
+                    if spare:
+                        worst = np.lexsort((flat[at : at + parts], rank[at : at + parts]))[-spare:]
+                        keep[at + worst] = False
+                    at += parts
+                    band -= 1
+            owner = np.repeat(nodes, np.diff(np.append(0, ends)))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(owner[keep])], names=["key", "node"])
+
+    return run
 
 
 def _sketch(k: int, num: int, den: int):
@@ -99,8 +153,9 @@ def _sketch(k: int, num: int, den: int):
         hashes = WordHashes()
         for batch in batches:
             sizes, nodes, keys = [], [], []
+            texts = texts_of(batch)
             seen: set[int] = set()
-            for text in texts_of(batch):
+            for text in texts:
                 shingles = shingle_set(text.lower().split(), hashes, k)
                 size = len(shingles)
                 sizes.append(size)
@@ -125,9 +180,10 @@ def _sketch(k: int, num: int, den: int):
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
+                    pa.array([len(t) for t in texts], pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "node", "keys"],
+                names=["doc_id", "n_shingles", "node", "n_bytes", "keys"],
             )
 
     return run
@@ -173,42 +229,33 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(np.empty(0, np.int64), np.empty(0, np.int64), [(*first, *last)])
 
 
+def parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Sketches of the sets as rows of 64-bit words."""
+    lengths = [len(s) for s in sets]
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    odd = np.zeros((len(sets), bits), np.uint8)
+    np.add.at(odd, (owner, (flat % np.uint64(bits)).astype(np.int64)), 1)  # wraps at 256, which is even
+    return np.packbits(odd & 1, axis=1).view(np.uint64)
+
+
 def _verify(k: int, num: int, den: int):
-    """Links of one pair of blocks of a cluster: a spanning star, and links per class."""
-
-    def links(sets: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        """Of rows x cols, which pairs link."""
-        both = np.unique(np.concatenate([rows, cols]))
-        ids, flat = np.unique(np.concatenate([sets[i] for i in both]), return_inverse=True)
-        owner = np.repeat(np.arange(len(both)), [len(sets[i]) for i in both])
-        # A shingle that one set alone has adds to no intersection.
-        shared = np.bincount(flat, minlength=len(ids)) > 1
-        renumber = np.cumsum(shared) - 1
-        keep = shared[flat]
-        flat, owner = renumber[flat[keep]], owner[keep]
-        at_row = np.searchsorted(both, rows)
-        at_col = np.searchsorted(both, cols)
-        common = np.zeros((len(rows), len(cols)), np.float32)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        step = 4096
-        for lo in range(0, int(shared.sum()), step):
-            i, j = np.searchsorted(flat, [lo, lo + step])
-            has = np.zeros((len(both), step), np.float32)
-            has[owner[i:j], flat[i:j] - lo] = 1
-            common += has[at_row] @ has[at_col].T
-        common = common.astype(np.int64)
-        union = sizes[rows][:, None] + sizes[cols][None, :] - common
-        return common * den >= union * num
+    """A spanning star of the links of one pair of blocks.
+
+    Sketches rule pairs out; of the others, those whose ends are not linked yet are compared.
+    """
+
+    def linked(a: np.ndarray, b: np.ndarray) -> bool:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return common * den >= (len(a) + len(b) - common) * num
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for group in sorted_groups(batches, ["cluster", "i", "j"]):
-            group = group.combine_chunks()
             nodes = group["node"].to_numpy()
             # A doc_id that comes with several texts brings rows of other classes along.
             sets, mine, seen = [], [], set()
-            for row, text in enumerate(texts_of(group)):
+            for row, text in enumerate(texts_of(group.combine_chunks())):
                 shingles = shingle_set(text.lower().split(), hashes, k)
                 digest = np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64)
                 if digest == nodes[row] and digest not in seen:
@@ -218,51 +265,59 @@ def _verify(k: int, num: int, den: int):
             if len(sets) < 2:
                 continue
             nodes = nodes[mine]
-            copies = group["copies"].to_numpy()[mine]
             block = group["block"].to_numpy()[mine]
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
             sizes = np.array([len(s) for s in sets], np.int64)
-            rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            if not len(rows) or not len(cols):
-                continue
-            linked = links(sets, sizes, rows, cols)
-            if i == j:
-                np.fill_diagonal(linked, False)
-            forest = Forest(len(sets))
-            for x, y in zip(*(v.tolist() for v in np.nonzero(linked))):
-                forest.join(int(rows[x]), int(cols[y]))
-            count = np.zeros(len(sets), np.int64)
-            count[rows] += linked @ copies[cols]
-            if i != j:
-                count[cols] += linked.T @ copies[rows]
-            root = np.array([forest.root(x) for x in range(len(sets))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes), pa.array(nodes[root]), pa.array(count)], names=["a", "b", "links"]
-            )
+            sketches = parity(sets, 64 * min(64, max(4, int(sizes.max()) // 16)))
+            label = np.arange(len(sets))
+            cols = np.flatnonzero(block == j)
+            for x in np.flatnonzero(block == i).tolist():
+                y = cols[cols > x] if i == j else cols
+                apart = np.bitwise_count(sketches[y] ^ sketches[x]).sum(1, dtype=np.int64)
+                both = sizes[y] + sizes[x]
+                near = (apart * (den + num) <= both * (den - num)) & (label[y] != label[x])
+                for other in y[near].tolist():
+                    if label[other] != label[x] and linked(sets[x], sets[other]):
+                        least, most = sorted((label[x], label[other]))
+                        label[label == most] = least
+            far = np.flatnonzero(label != np.arange(len(sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["a", "b"])
 
     return run
 
 
 def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` of documents linked at Jaccard num/den.
+    """``doc_id, n_shingles, component_id`` of documents linked at Jaccard num/den.
 
     Texts are lower-cased in A-Z and cut at blanks. ``component_id`` is the least
-    doc_id reachable by links; ``n_links`` counts the documents linked directly, copies
-    included. A text without words (or null) has no shingles and is linked with nothing:
+    doc_id reachable by links. A text without words (or null) has no shingles and is linked with nothing:
     its component is its own doc_id. Rows that repeat are documents like any other. Rows
     without doc_id take part in links and lend no name; a component of such rows alone
     has a null name. Other columns are ignored. Sets are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stage(
-        docs.mapInArrow(_sketch(k, num, den), "doc_id long, n_shingles long, node long, keys array<long>"),
+        docs.mapInArrow(_sketch(k, num, den), "doc_id long, n_shingles long, node long, n_bytes long, keys array<long>"),
         "jaccard-sketches",
     )
     classes = sketched.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("keys", True).alias("keys")
+        F.first("n_shingles").alias("n_shingles"), F.first("keys", True).alias("keys")
+    )
+    frequent = (
+        sketched.where("keys is not null")
+        .select("keys")
+        .mapInArrow(_frequent, "key long, n long")
+        .groupBy("key")
+        .agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "key")
+        .limit(FREQUENT)
+        .toArrow()
+        .sort_by("key")
     )
+    listed = docs.sparkSession.sparkContext.broadcast((frequent["key"].to_numpy(), frequent["n"].to_numpy()))
     chained = stage(
-        classes.select(F.explode("keys").alias("key"), "node")
+        classes.select("node", "n_shingles", "keys")
+        .mapInArrow(_choose(listed, num, den), "key long, node long")
         .repartitionByRange("key", "node")
         .sortWithinPartitions("key", "node")
         .mapInArrow(_chain, _CHAIN),
@@ -284,18 +339,19 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     members = clusters.unionByName(
         clusters.select(F.col("component").alias("node"), "component").distinct()
     ).withColumnRenamed("component", "cluster")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     known = sketched.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")
+        F.min("doc_id").alias("doc_id"), F.min("n_bytes").alias("n_bytes")
     )
-    placed = (
-        members.join(known, "node")
-        .join(blocks, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.join(known, "node")
+    blocks = members.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    placed = members.join(blocks, "cluster").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
     pairs = (
         docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"]))
-        .select("cluster", "blocks", "block", "node", "copies", "text")
+        .select("cluster", "blocks", "block", "node", "text")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "cluster",
@@ -303,31 +359,20 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
             F.greatest("block", "other").alias("j"),
             "block",
             "node",
-            "copies",
             "text",
         )
         .repartition("cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j")
     )
-    linked = stage(pairs.mapInArrow(_verify(k, num, den), "a long, b long, links long"), "jaccard-links")
-    found = components(linked.select("a", "b"), "jaccard-components")
+    linked = stage(pairs.mapInArrow(_verify(k, num, den), "a long, b long"), "jaccard-links")
+    found = components(linked, "jaccard-components")
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    counted = linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = (
-        known.join(found, "node", "left")
-        .join(counted, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
+    named = known.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(names, "component").select(
-        F.col("node").alias("_node"),
-        "component_id",
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-    )
+    of_class = named.join(names, "component").select(F.col("node").alias("_node"), "component_id")
     slim = sketched.select("doc_id", "n_shingles", "node")
     return slim.join(of_class, slim["node"] == of_class["_node"], "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

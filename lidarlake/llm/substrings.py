@@ -86,11 +86,14 @@ def _number(table: pa.Table) -> int:
 _COUNTED = "split int, value long, n long"
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, carried: Sequence[str] = ("doc_id",)) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = 35, carried: Sequence[str] = ("doc_id",), whole: bool = False
+) -> DataFrame:
     """Documents without the words that a window repeated anywhere covers.
 
     Returns the ``carried`` columns, then ``n_words, n_removed, kept``, where ``kept`` is the
-    words left, joined by one space. Windows are judged on the input; every
+    words left, joined by one space; with ``whole``, a text that loses nothing comes back as it
+    was. Windows are judged on the input; every
     occurrence goes, the first one too, and two overlapping windows of one document count
     as two. A null text has no words; texts shorter than the window stay, as do empty
     tables. Rows that repeat are documents like any other, so both lose their windows.
@@ -120,13 +123,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, carried: Sequence[str] = (
         np.add.at(edge, found + window, -1)
         gone = np.cumsum(edge) > 0
         kept, removed = [], []
-        for words, lo, hi in zip(own.words, own.starts.tolist(), own.ends.tolist()):
+        before = texts_of(texts) if whole else own.words
+        for words, text, lo, hi in zip(own.words, before, own.starts.tolist(), own.ends.tolist()):
             away = gone[lo:hi]
             n = int(np.count_nonzero(away))
             if n:
                 words = [w for w, x in zip(words, away.tolist()) if not x]
             removed.append(n)
-            kept.append(b" ".join(words))
+            kept.append(text if whole and not n else b" ".join(words))
         return pa.table(
             {
                 "rest": texts["rest"],
