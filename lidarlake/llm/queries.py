@@ -7,14 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidarlake.llm import decontaminate, jaccard, mixing, quality, substrings, toxicity
+from lidarlake.llm import decontaminate, jaccard, licenses, mixing, neighbours, quality, substrings, suffix_tree, toxicity, warc
 from lidarlake.llm.common import table
+from lidarlake.session import fresh_path
 
 
 def _remainder(of: int):
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = licenses.default_templates(spark)
+    found = licenses.scan(table(spark, sf_dir, "documents"), templates)
+    return found.join(F.broadcast(templates.drop("text")), "template_id").select(
+        "doc_id", "template_id", "license", "share"
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(_remainder(3) != 1))
@@ -25,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"), _remainder(10) == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,12 +46,25 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -54,7 +80,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op4_mixing, op5_decontamination, op7_substring_dedup, op9_jaccard_join, op10_quality]
+    found = [
+        op1_license_scan,
+        op2_toxicity,
+        op3_suffix_tree,
+        op4_mixing,
+        op5_decontamination,
+        op6_nearest_neighbours,
+        op7_substring_dedup,
+        op8_warc,
+        op9_jaccard_join,
+        op10_quality,
+    ]
     return {f.__name__: f for f in found}
 
 
