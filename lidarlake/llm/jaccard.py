@@ -45,13 +45,13 @@ BAND = 1.5
 #: Bits of a sketch for each shingle of the band's largest set.
 BITS = 8
 #: Slices beyond those that pigeonhole asks for, as a share of these; see ``slices``.
-SPARE = 1.0
+SPARE = 0.25
 #: Keys known as frequent at most, the most frequent ones. Any number gives the same links.
 FREQUENT = 1_000_000
 _RANK = 0x3F
 #: Classes, and bytes of text, of a cluster's block; pairs of blocks are compared in one call.
-BLOCK = 8192
-BLOCK_BYTES = 8 << 20
+BLOCK = 10_000
+BLOCK_BYTES = 32 << 20
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
@@ -115,7 +115,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _choose(frequent, num: int, den: int):
-    """Leave out each set's spare slices: the most frequent ones, then those of the fewest bits.
+    """Leave out each set's spare slices: those of one odd bit or none, then the most frequent.
 
     That order is the same for all sets. Two sets that link share more slices than the spare ones, so
     the last of these in the order is left out by neither.
@@ -131,7 +131,7 @@ def _choose(frequent, num: int, den: int):
             often = np.zeros(len(flat), np.int64)
             hit = within(flat, known)
             often[hit] = counts[np.searchsorted(known, flat[hit])]
-            rank = (often << 6) + (_RANK - (flat & _RANK))
+            rank = (often << 6) + (_RANK - (flat & _RANK)) + (((flat & _RANK) < 2).astype(np.int64) << 48)
             keep = np.ones(len(flat), bool)
             for size, lo, hi in zip(sizes.tolist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
                 band, at = _band(size), lo
