@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lidarlake.functions.zorder import morton
-from lidarlake.operators.patch import explode_patches, patch_keys, stat_prefix
+from lidarlake.operators.patch import explode_patches, patch_keys, stat_prefix, tile_of, tile_size
 from lidarlake.operators.retrieve import Criterion, candidates, matching_points
 
 
@@ -38,16 +39,18 @@ def _range_sorted(df: DataFrame, order: Sequence[str], files: int | None) -> Dat
 def with_tiles(patches: DataFrame, tiles: Mapping[str, float]) -> DataFrame:
     """Add the first and last tile that the range of a dimension touches.
 
-    The size of a tile is part of the column name, for those who read the table.
+    The size of a tile is part of the column name, for those who read the table. It is kept to
+    six decimals, and the tiles are those of the size that the name tells.
     """
     added = {}
     for dim, size in tiles.items():
         prefix = stat_prefix(dim)
         # 7.5 is written 7p5, as dots would need quoting everywhere.
         named = f"{size:f}".rstrip("0").rstrip(".").replace(".", "p")
+        if not math.isfinite(size) or tile_size(named) <= 0:
+            raise ValueError(f"a tile of {size} is too small or no size")
         for end, stat in (("lo", "min"), ("hi", "max")):
-            tile = F.floor(F.col(f"{prefix}_{stat}") / F.lit(float(size)))
-            added[f"{prefix}_tile_{named}_{end}"] = tile
+            added[f"{prefix}_tile_{named}_{end}"] = tile_of(F.col(f"{prefix}_{stat}"), tile_size(named))
     return patches.withColumns(added)
 
 
@@ -66,8 +69,8 @@ def write_patches(
     One table holds patches of one point schema; appending another is refused.
     Row groups are kept smaller than usual, because each is a unit of skipping.
     """
-    if mode == "append" and "pcid" in patches.columns:
-        _check_pcid(patches, path)
+    if mode == "append":
+        check_pcid(patches, path)
     folders = []
     if tiles:
         plain = len(patches.columns)
@@ -77,7 +80,10 @@ def write_patches(
     writer.partitionBy(*folders).parquet(path)
 
 
-def _check_pcid(patches: DataFrame, path: str) -> None:
+def check_pcid(patches: DataFrame, path: str) -> None:
+    """Refuse patches of another point schema than those of the table, if it has any."""
+    if "pcid" not in patches.columns:
+        return
     spark = patches.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):

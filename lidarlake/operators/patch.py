@@ -48,13 +48,22 @@ def range_aggregates(points: DataFrame, stats: Sequence[str]) -> list[Column]:
     return columns
 
 
+def tile_size(named: str) -> float:
+    """The size of a tile as its column name tells it."""
+    return float(named.replace("p", "."))
+
+
+def tile_of(value: Column, size: float) -> Column:
+    return F.floor(value / F.lit(size))
+
+
 def tile_columns(patches: DataFrame, dim: str) -> list[tuple[str, str, float]]:
     """Tiles of ``dim`` that the table is partitioned by: low, high column and size."""
     found = []
     for name in patches.columns:
         match = re.fullmatch(rf"({re.escape(stat_prefix(dim))}_tile_([0-9p]+))_lo", name)
         if match and f"{match[1]}_hi" in patches.columns:
-            found.append((name, f"{match[1]}_hi", float(match[2].replace("p", "."))))
+            found.append((name, f"{match[1]}_hi", tile_size(match[2])))
     return found
 
 
@@ -152,14 +161,18 @@ def point_text(point: str) -> Column:
 def edit_in_place(patches: DataFrame, dim: str, change) -> DataFrame:
     """Change one dimension of every point where the grouping does not depend on it.
 
-    ``change`` maps a Column to a Column. The stored range follows. For a change
-    that moves points to other groups, explode, change and group again.
+    ``change`` maps a Column to a Column. The stored range and the tiles of the dimension
+    follow. For a change that moves points to other groups, explode, change and group again.
     """
     edited = patches.withColumn(dim, F.transform(F.col(dim), change))
     prefix = stat_prefix(dim)
     if f"{prefix}_min" not in patches.columns:
         return edited
     numbers = _array_numbers(edited, dim)
-    return edited.withColumns(
+    edited = edited.withColumns(
         {f"{prefix}_min": F.array_min(numbers), f"{prefix}_max": F.array_max(numbers)}
     )
+    tiles = {}
+    for low, high, size in tile_columns(patches, dim):
+        tiles |= {low: tile_of(F.col(f"{prefix}_min"), size), high: tile_of(F.col(f"{prefix}_max"), size)}
+    return edited.withColumns(tiles) if tiles else edited

@@ -71,6 +71,14 @@ def shard_selection(spark, sf_dir):
     return chosen.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
 
 
+def shards_with_nulls(spark, sf_dir):
+    """Both shares of a cloud whose source is partly unknown: together, all points."""
+    cloud = points(spark, sf_dir).withColumn("source_file", F.nullif("source_file", F.lit("RF")))
+    shares = [ply.shard_rows(cloud, 2, s).withColumn("shard", F.lit(s)) for s in (0, 1)]
+    both = shares[0].unionByName(shares[1])
+    return both.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+
+
 def schema_registry(spark, sf_dir):
     """The registered dimensions that the cloud has, and how its values fit them."""
     dims = registry.dims_table(registry.formats_table(spark, [schemas.DEMO, schemas.VELODYNE]))
@@ -199,9 +207,29 @@ def edit_in_place(spark, sf_dir):
     return edited.select("tbin", "chunk", "n", "z_min", "z_max")
 
 
+def edit_in_place_tiled(spark, sf_dir):
+    """A dimension moved in a tiled table, written, and asked for where it is now."""
+    path, moved = fresh_path(spark, "tiled"), fresh_path(spark, "moved")
+    tiles = {"x": 1 / 3}
+    layout.write_patches(stored.cube_patches(spark, sf_dir), path, tiles=tiles)
+    edited = patch.edit_in_place(layout.read_patches(spark, path), "x", lambda v: v + 100)
+    folders = [c for low, high, _ in patch.tile_columns(edited, "x") for c in (low, high)]
+    edited.write.partitionBy(*folders).parquet(moved)
+    found = retrieve.retrieve(layout.read_patches(spark, moved), Span("x", 110.0, 112.0, "[]"), dims=["x", "y"])
+    return found
+
+
 # Retrieval
 
 
+def retrieve_tiled(spark, sf_dir):
+    """A box from a table in folders of a tile that no decimal states."""
+    path = fresh_path(spark, "tiled")
+    layout.write_patches(stored.cube_patches(spark, sf_dir), path, tiles={"x": 1 / 3, "y": 1 / 7})
+    table = layout.read_patches(spark, path)
+    return retrieve.retrieve(table, Box(10.0, 12.0, 1.0, 2.0), dims=["gps_time", "x", "y", "z"])
+
+
 def near_candidates(spark, sf_dir):
     cubes = stored.cube_patches(spark, sf_dir)
     return retrieve.candidates(cubes, DISC).select(*CUBE, "chunk", "n")
@@ -432,6 +460,17 @@ def stream_load(spark, sf_dir):
     )
 
 
+def stream_load_twice(spark, sf_dir):
+    """Two streams with checkpoints of their own fill one table; every point is there twice."""
+    landing = stored.landing_folder(spark, sf_dir, "points")
+    table = fresh_path(spark, "streamed-twice")
+    for _ in range(2):
+        arriving = spark.readStream.schema(points(spark, sf_dir).schema).parquet(landing)
+        log = fresh_path(spark, "stream-log")
+        load_patches(arriving, keys.cubic_metre(), table, log, once=True, dims=XYZT, pcid=2).awaitTermination()
+    return layout.read_patches(spark, table).groupBy(*CUBE).agg(F.sum("n").alias("n"))
+
+
 def stream_time_patches(spark, sf_dir):
     """Minute bins of a stream of events, as far as the watermark has closed them."""
     landing = stored.landing_folder(spark, sf_dir, "events")
@@ -470,6 +509,7 @@ _ALL: list[Query] = [
     text_points,
     attach_schema,
     shard_selection,
+    shards_with_nulls,
     schema_registry,
     load_shards,
     viewer_export,
@@ -487,6 +527,7 @@ _ALL: list[Query] = [
     row_ids,
     edit_points,
     edit_in_place,
+    edit_in_place_tiled,
     near_candidates,
     range_candidates,
     range_points_bounds,
@@ -495,6 +536,7 @@ _ALL: list[Query] = [
     retrieve_disc_point,
     retrieve_ball,
     retrieve_box,
+    retrieve_tiled,
     retrieve_space_time,
     retrieve_time_space,
     retrieve_sql,
@@ -523,6 +565,7 @@ _ALL: list[Query] = [
     area_join,
     time_window_join,
     stream_load,
+    stream_load_twice,
     stream_time_patches,
     per_patch_udf,
 ]

@@ -111,6 +111,8 @@ _QUERIES = {
           SELECT source_file, row_number() OVER (ORDER BY source_file) - 1 AS f
           FROM (SELECT DISTINCT source_file FROM pts)) WHERE f % 2 = 1)
       GROUP BY 1""",
+    "shards_with_nulls": """
+      SELECT nullif(source_file, 'RF') AS source_file, count(*) AS n FROM pts GROUP BY 1""",
     "schema_registry": _REGISTRY,
     "load_shards": """
       SELECT source_file, round(x) AS cx, round(y) AS cy, round(z) AS cz, count(*) AS n,
@@ -148,6 +150,8 @@ _QUERIES = {
       SELECT round(x) AS cx, round(y) AS cy, round(z+10) AS cz, count(*) AS n
       FROM pts GROUP BY 1, 2, 3""",
     "edit_in_place": "SELECT tbin, chunk, n, z_min + 10 AS z_min, z_max + 10 AS z_max FROM wk",
+    "edit_in_place_tiled": """
+      SELECT x + 100 AS x, y FROM pts WHERE x + 100 BETWEEN 110 AND 112""",
     "near_candidates": f"SELECT cx, cy, cz, chunk, n FROM vox WHERE {_NEAR}",
     "range_candidates": f"SELECT tbin, chunk, n FROM wk WHERE {_WEEK_OVERLAP}",
     "range_points_bounds": """
@@ -165,6 +169,8 @@ _QUERIES = {
       WHERE (x-25)*(x-25) + (y-5)*(y-5) + (z-0.5)*(z-0.5) <= 4""",
     "retrieve_box": """
       SELECT gps_time, x, y, z FROM pts WHERE x BETWEEN 10 AND 12 AND y BETWEEN 1 AND 2""",
+    "retrieve_tiled": """
+      SELECT gps_time, x, y, z FROM pts WHERE x BETWEEN 10 AND 12 AND y BETWEEN 1 AND 2""",
     "retrieve_space_time": f"""
       SELECT gps_time, x, y, z FROM pts
       WHERE {_IN_DISC} AND {_IN_1998} AND num_echo BETWEEN 2 AND 4""",
@@ -252,6 +258,9 @@ _QUERIES = {
     "stream_load": """
       SELECT round(x) AS cx, round(y) AS cy, round(z) AS cz, count(*) AS n,
              min(gps_time) AS t_min, max(gps_time) AS t_max FROM pts GROUP BY 1, 2, 3""",
+    "stream_load_twice": """
+      SELECT round(x) AS cx, round(y) AS cy, round(z) AS cz, 2 * count(*) AS n
+      FROM pts GROUP BY 1, 2, 3""",
     "stream_time_patches": """
       SELECT round(gps_time/60) AS tbin, count(*) AS n, min(x) AS x_min, max(x) AS x_max
       FROM ev GROUP BY 1

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lidarlake import session
 from lidarlake.functions.keys import along_curve, along_time, cubic_metre, period
 from lidarlake.operators.grouping import build_patches
 from lidarlake.operators.layout import read_patches, write_patches
@@ -20,12 +21,12 @@ from lidarlake.sources.text import write_points_text
 
 WEEK = 604800
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
     """The path under which ``write`` has left its output."""
-    place = (spark.sparkContext.applicationId, sf_dir, name)
+    place = (spark.sparkContext.applicationId, session.generation, sf_dir, name)
     if place not in _written:
         path = fresh_path(spark, name)
         write(path)

@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Changes whenever staged tables are deleted, for those who remember paths of theirs.
+generation = 0
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only in local mode."""
@@ -44,6 +47,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Delete what this application has staged, once no result needs it any more."""
+    global generation
     folder = f"{shared_dir(spark)}/lidarlake/{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    generation += 1

@@ -10,8 +10,9 @@ have no fixed record length: one task streams through such a file, block by bloc
 from __future__ import annotations
 
 import fnmatch
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lidarlake.operators.ids import row_ids
-from lidarlake.operators.joins import BROADCAST_ROWS, blocked_join
+from lidarlake.operators.joins import BROADCAST_ROWS
 from lidarlake.sources.files import file_system
 from lidarlake.sources.ply_sink import PlySink
 
@@ -134,22 +135,41 @@ class Header:
         return self.length + sum(e.count * e.record(self.order).itemsize for e in earlier)
 
 
-def _list_files(path: str) -> list[tuple[str, int]]:
-    """Names and sizes under ``path``, sorted by name."""
+def _list_files(path: str | Sequence[str]) -> list[tuple[str, int]]:
+    """Names and sizes of the files meant by a path, or by several, sorted by name.
+
+    A file stands for itself, a folder for all ``*.ply`` files below it, and a pattern for
+    what it matches, folders included. A path that is not there is an error; a pattern
+    without a match and an empty folder are not.
+    """
+    if not isinstance(path, str):
+        return sorted({f for p in path for f in _list_files(p)})
     fs, inner = file_system(path)
     info = fs.get_file_info(inner)
     if info.type == pyarrow.fs.FileType.File:
         return [(path, info.size)]
-    pattern = "*.ply"
+    root, shown, wanted = inner.rstrip("/"), path.rstrip("/"), None
     if info.type == pyarrow.fs.FileType.NotFound:
-        inner, pattern = inner.rsplit("/", 1)
-        path = path.rsplit("/", 1)[0]
-    selector = pyarrow.fs.FileSelector(inner, allow_not_found=True)
-    found = [
-        (f"{path.rstrip('/')}/{f.base_name}", f.size)
-        for f in fs.get_file_info(selector)
-        if f.type == pyarrow.fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern)
-    ]
+        levels = root.split("/")
+        plain = next((i for i, level in enumerate(levels) if re.search(r"[*?\[]", level)), None)
+        if plain is None:
+            raise PlyError(f"{path}: no such file or folder")
+        wanted = levels[plain:]
+        root, shown = "/".join(levels[:plain]), "/".join(shown.split("/")[: plain - len(levels)])
+    found = []
+    for f in fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True, recursive=True)):
+        below = f.path[len(root) :].strip("/").split("/")
+        if f.type != pyarrow.fs.FileType.File:
+            continue
+        if wanted:
+            # A pattern names a file, or a folder that the file is below.
+            if len(below) < len(wanted) or not all(map(fnmatch.fnmatch, below, wanted)):
+                continue
+            if len(below) == len(wanted):
+                found.append((f"{shown}/{'/'.join(below)}", f.size))
+                continue
+        if fnmatch.fnmatch(below[-1], "*.ply"):
+            found.append((f"{shown}/{'/'.join(below)}", f.size))
     return sorted(found)
 
 
@@ -236,16 +256,17 @@ class PlyDataSource(DataSource):
     ``mode`` rules ASCII values that do not fit their type: FAILFAST stops,
     PERMISSIVE reads null and goes on with the next value. With ``splitLines`` an ASCII
     body is cut into ranges as well: say so for files that hold one element without
-    lists and one instance per line. All their lines are read, whatever the count in
-    the header.
+    lists and one instance per line. The last range of a file counts its lines, and stops if
+    they are not as many as the header says. ``load`` takes several paths, patterns, and
+    folders with folders below.
     """
 
     @classmethod
     def name(cls) -> str:
         return "ply"
 
-    def _path(self) -> str:
-        path = self.options.get("path")
+    def _path(self) -> str | list[str]:
+        path = json.loads(self.options.get("paths", "null")) or self.options.get("path")
         if not path:
             raise PlyError("ply source needs a path")
         return path
@@ -266,13 +287,13 @@ class PlyDataSource(DataSource):
         return PlyReader(self._path(), schema, dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> PlySink:
-        return PlySink(self._path(), schema, overwrite, dict(self.options))
+        return PlySink(self.options["path"], schema, overwrite, dict(self.options))
 
 
 class PlyReader(DataSourceReader):
     """Reads the properties that the schema names, and no others."""
 
-    def __init__(self, path: str, schema: T.StructType, options: dict):
+    def __init__(self, path: str | list[str], schema: T.StructType, options: dict):
         self.path = path
         self.element = options.get("element", "vertex")
         self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
@@ -352,6 +373,10 @@ class PlyReader(DataSourceReader):
             }
             if words:
                 yield self._batch(columns, part.path)
+        if part.end >= part.size:
+            lines = _count_lines(file, header.length, part.size)
+            if lines != element.count:
+                raise PlyError(f"{part.path}: {lines} lines of {element.name}, the header says {element.count}")
 
     def _batch(self, columns: dict, path: str) -> pa.RecordBatch:
         rows = len(next(iter(columns.values()))) if columns else 0
@@ -397,6 +422,12 @@ def _line_blocks(file: pa.NativeFile, start: int, end: int, body: int) -> Iterat
         held = held[cut:]
 
 
+def _count_lines(file: pa.NativeFile, body: int, size: int) -> int:
+    """Lines of the body that are not blank."""
+    blocks = _line_blocks(file, body, size, body)
+    return sum(sum(1 for line in block.split(b"\n") if line.strip()) for block in blocks)
+
+
 class _Bytes:
     """A file read forward in blocks."""
 
@@ -538,6 +569,8 @@ def _ascii_numbers(path: str, p: Property, kind: str, words: list[bytes], permis
     dtype = np.dtype(_TYPES[kind][0])
     is_float = dtype.kind == "f"
     try:
+        if b"_" in b"".join(words):  # numpy would read 1_0 as 10
+            raise ValueError
         numbers = np.array(words, dtype="S").astype("f8" if is_float else "i8") if words else np.empty(0)
         unread = np.zeros(len(words), bool)
     except (ValueError, OverflowError):
@@ -604,7 +637,8 @@ def shard_files(path: str, shards: int, shard: int) -> list[str]:
 def shard_rows(points: DataFrame, shards: int, shard: int, source: str = "source_file") -> DataFrame:
     """Points of the files that belong to one of ``shards`` equal shares of the list."""
     listed = row_ids(points.select(source).distinct(), [source], name="_f")
-    chosen = listed.where((F.col("_f") - 1) % shards == shard).select(source)
+    chosen = listed.where((F.col("_f") - 1) % shards == shard).select(F.col(source).alias("_source"))
     if chosen.count() <= BROADCAST_ROWS:
-        return points.join(F.broadcast(chosen), source, "left_semi")
-    return blocked_join(points, chosen, [source]).select(*points.columns)
+        chosen = F.broadcast(chosen)
+    # Points without a source are a file like any other.
+    return points.join(chosen, F.col(source).eqNullSafe(F.col("_source")), "left_semi")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lidarlake.functions.keys import Key
 from lidarlake.operators.grouping import build_patches
-from lidarlake.operators.layout import write_patches
+from lidarlake.operators.layout import check_pcid, write_patches
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark wrote into the checkpoint when the query first began."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def load_patches(
@@ -23,8 +29,9 @@ def load_patches(
 ) -> StreamingQuery:
     """Group every micro-batch into patches and add them to the table at ``path``.
 
-    A batch goes to ``batch_id=<n>`` and replaces what a failed attempt left there,
-    so each point is stored once. Patches never span batches, as loading file by
+    A batch goes to ``load=<id>/batch_id=<n>`` and replaces what a failed attempt left there,
+    so each point is stored once. The id is the query's own, kept in its checkpoint, so several
+    streams can fill one table. Patches never span batches, as loading file by
     file would have it; regroup the table to merge them. ``once`` stops when all
     files present are loaded.
     """
@@ -35,7 +42,9 @@ def load_patches(
         try:
             patches = build_patches(batch, key, **options)
             ordered = layout(patches) if layout else patches
-            write_patches(ordered, f"{path}/batch_id={batch_id}", mode="overwrite")
+            check_pcid(ordered, path)
+            folder = f"{path}/load={_query_id(batch.sparkSession, checkpoint)}/batch_id={batch_id}"
+            write_patches(ordered, folder, mode="overwrite")
         finally:
             batch.unpersist()
 

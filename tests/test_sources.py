@@ -280,6 +280,44 @@ def test_shards(spark, tmp_path):
     assert sorted(r.source_file for r in kept.collect()) == ["b", "b", "d"]
 
 
+ASCII_HEAD = b"ply\nformat ascii 1.0\nelement vertex %d\nproperty int v\nend_header\n"
+
+
+@pytest.mark.parametrize("lines", ["true", "false"])
+def test_a_cut_ascii_file_is_refused(spark, tmp_path, lines):
+    write(tmp_path, "a.ply", ASCII_HEAD % 100 + b"".join(b"%d\n" % i for i in range(40)))
+    read = spark.read.format("ply").option("splitLines", lines).option("splitBytes", "64").load(str(tmp_path))
+    with pytest.raises(Exception, match="header says|file ends"):
+        read.collect()
+
+
+def test_lines_are_counted_over_all_ranges(spark, tmp_path):
+    write(tmp_path, "a.ply", ASCII_HEAD % 100 + b"".join(b"%d\n" % i for i in range(100)) + b"\n")
+    read = spark.read.format("ply").option("splitLines", "true").option("splitBytes", "64").load(str(tmp_path))
+    assert sorted(r.v for r in read.collect()) == list(range(100))
+
+
+def test_underscored_numbers_are_refused(spark, tmp_path):
+    write(tmp_path, "a.ply", ASCII_HEAD % 1 + b"1_0\n")
+    with pytest.raises(Exception, match="1_0"):
+        spark.read.format("ply").load(str(tmp_path)).collect()
+
+
+def test_paths(spark, tmp_path):
+    for i, name in enumerate(["a.ply", "sub/b.ply", "sub/deep/c.ply", "sub2/d.ply", "sub2/e.txt"]):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        write(tmp_path / os.path.dirname(name), os.path.basename(name), ASCII_HEAD % 1 + b"%d\n" % i)
+    read = lambda *p: sorted(r.v for r in spark.read.format("ply").schema("v int").load([f"{tmp_path}/{x}" for x in p] if len(p) > 1 else f"{tmp_path}/{p[0]}").collect())
+    assert read("") == [0, 1, 2, 3]
+    assert read("sub") == [1, 2]
+    assert read("sub*") == [1, 2, 3]
+    assert read("sub*/?.ply") == [1, 3]
+    assert read("a.ply", "sub2") == [0, 3]
+    assert read("none*") == []
+    with pytest.raises(Exception, match="no such file"):
+        read("missing")
+
+
 def test_point_text(spark, tmp_path):
     columns = [("t", "double"), ("e", "short"), ("r", "float")]
     lines = "54160.625 1 nan\n0.1 2 -nan\n1e-7 3 0.25\n5 4 \n"
