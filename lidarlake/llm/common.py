@@ -21,6 +21,7 @@ from lidarlake.session import stage
 SPLIT_BYTES = 8 << 20
 _PART_BYTES = 24 << 20
 _CACHED_WORDS = 400_000
+_HELD_EDGES = 1_000_000
 
 # An odd base of the rolling hash, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -167,19 +168,30 @@ class Forest:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a batch as stars around the least node of each component."""
-    for batch in batches:
-        a = batch.column(0).to_numpy()
-        b = batch.column(1).to_numpy()
+    """The edges of a partition as stars around the least node of each component.
+
+    At most _HELD_EDGES are looked at together, so memory is bounded.
+    """
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
         nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
         forest = Forest(len(nodes))
         for x, y in zip(flat[: len(a)].tolist(), flat[len(a) :].tolist()):
             forest.join(x, y)
         roots = np.array([forest.root(x) for x in range(len(nodes))], np.int64)
         far = np.flatnonzero(roots != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes[far]), pa.array(nodes[roots[far]])], names=["a", "b"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[roots[far]])], names=["a", "b"])
+
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= _HELD_EDGES:
+            yield stars(held)
+            held, count = [], 0
+    if count:
+        yield stars(held)
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -190,18 +202,23 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     no more than a round, and no task holds the neighbours of a node.
     Nodes without an edge to another node are not in the result.
     """
-    here = stage(edges.where("a <> b").mapInArrow(_stars, "a long, b long").distinct(), label)
+    kind = "a long, b long"
+    # Stars of each partition, and again where the edges of a node have met: most nodes are then
+    # left with one edge.
+    met = edges.where("a <> b").mapInArrow(_stars, kind).repartition("a").mapInArrow(_stars, kind)
+    here = stage(met.distinct(), label)
     while True:
         both = here.unionByName(here.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Every neighbour, and the node itself, moves to the least node seen from here.
         moved = (
             both.join(least, "a")
-            .select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+            .select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .unionByName(least.select("a", F.col("m").alias("b")))
             .where("a <> b")
             .distinct()
         )
-        after = stage(moved.mapInArrow(_stars, "a long, b long").distinct(), label)
+        after = stage(moved.repartition("a").mapInArrow(_stars, kind).distinct(), label)
         # Done when each node has one edge and no centre has an edge of its own.
         once = after.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
         centres = after.select(F.col("b").alias("a")).distinct()
