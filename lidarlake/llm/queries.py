@@ -93,7 +93,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_quality,
     ]
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
