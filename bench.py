@@ -51,13 +51,17 @@ def main() -> None:
     dims = catalogue.XYZT
     everything = patch.patch_dims(cubes)
 
-    def build(key, place=None):
-        built = grouping.build_patches(cloud, key, pcid=2, place=place)
+    files = spark.read.format("ply").option("splitBytes", str(4 << 20)).load(stored.ply_folder(spark, SF_DIR))
+
+    def build(key, place=None, source=cloud):
+        built = grouping.build_patches(source, key, pcid=2, place=place)
         layout.write_patches(built, fresh_path(spark, "bench"))
 
     work = {
         "import_cubes": lambda: build(keys.cubic_metre()),
         "import_cubes_laid_out": lambda: build(keys.cubic_metre(), keys.along_curve()),
+        "import_ply": lambda: build(keys.cubic_metre(), source=files),
+        "import_ply_laid_out": lambda: build(keys.cubic_metre(), keys.along_curve(), files),
         "import_weeks_laid_out": lambda: build(keys.period(stored.WEEK), keys.along_time()),
         "build_capped": lambda: drain(
             grouping.build_patches(cloud, keys.cubic_metre(), max_points=300)
@@ -98,6 +102,7 @@ def main() -> None:
         "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
         "points": total,
         "import_points_per_sec": round(total / seconds["import_cubes"]),
+        "import_ply_points_per_sec": round(total / seconds["import_ply"]),
         "output_points_per_sec": round(total / seconds["explode_all"]),
         "points_read_per_returned": round(pruned.points_read / max(pruned.points_returned, 1), 3),
         "points_per_patch_median": profile.p50,

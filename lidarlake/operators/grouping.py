@@ -31,13 +31,9 @@ from lidarlake.session import stage
 MAX_POINTS = 4096
 SPLIT_ROWS = 1_000_000
 
-# Only the largest groups are treated apart, so their list is always small enough to
-# broadcast; a group left out of a full list has less than 1/100,000 of the rows.
+# A list of heavy groups is broadcast up to so many rows, and joined by shuffle beyond.
 HEAVY_LIMIT = 100_000
 
-# Tasks that heavy groups are cut over; their starts are broadcast too.
-MOST_RUNS = 100_000
-
 # Laying out along a place: cells of the place told apart, and rows of a task.
 PLACE_CELLS = 50_000
 FEWEST_ROWS = 20_000
@@ -75,28 +71,25 @@ def group_sizes(keyed: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def heavy_groups(
     sizes: DataFrame, names: Sequence[str], split_rows: int
-) -> tuple[int, DataFrame | None]:
-    """Size of the largest group, and the groups above ``split_rows`` if any.
-
-    The list has at most HEAVY_LIMIT rows.
-    """
+) -> tuple[int, DataFrame | None, int]:
+    """Size of the largest group; all groups above ``split_rows``, and how many these are."""
     over = F.col("_n") > split_rows
     largest, count = sizes.agg(F.max("_n"), F.count_if(over)).first()
     if not count:
-        return largest or 0, None
-    biggest = sizes.where(over).orderBy(F.desc("_n")).limit(HEAVY_LIMIT)
+        return largest or 0, None, 0
     renamed = [F.col(n).alias(f"_h_{n}") for n in names]
-    return largest, stage(biggest.select(*renamed, "_n"), "heavy")
+    return largest, stage(sizes.where(over).select(*renamed, "_n"), "heavy"), count
 
 
 def split_heavy(
-    keyed: DataFrame, names: Sequence[str], heavy: DataFrame
+    keyed: DataFrame, names: Sequence[str], heavy: DataFrame, count: int
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of ordinary groups and the rows of heavy ones."""
     same = F.lit(True)
     for name in names:
         same = same & F.col(name).eqNullSafe(F.col(f"_h_{name}"))
-    listed = F.broadcast(heavy.drop("_n"))
+    listed = heavy.drop("_n")
+    listed = F.broadcast(listed) if count <= HEAVY_LIMIT else listed.hint("merge")
     return keyed.join(listed, same, "left_anti"), keyed.join(listed, same, "left_semi")
 
 
@@ -192,7 +185,7 @@ def _chunked(
         # Read twice, and dropped as soon as the layout is known.
         sizes = sizes.persist()
     try:
-        largest, heavy = heavy_groups(sizes, names, split_rows)
+        largest, heavy, count = heavy_groups(sizes, names, split_rows)
         spread = _Spread() if place is None else _SpreadAlong(sizes, place)
     finally:
         sizes.unpersist()
@@ -202,11 +195,10 @@ def _chunked(
     ordinary = keyed
     branches = []
     if heavy is not None:
-        ordinary, large = split_heavy(keyed, names, heavy)
-        rows = heavy.agg(F.sum("_n")).first()[0]
-        count = min(1 + rows // split_rows, MOST_RUNS)
-        runs = sorted_runs(large, [*names, *order], count, distinct_order=False)
-        numbered = number_runs(runs, names, "_rn").withColumn("chunk", chunk).drop("_rn")
+        ordinary, large = split_heavy(keyed, names, heavy, count)
+        many = 1 + heavy.agg(F.sum("_n")).first()[0] // split_rows
+        runs = sorted_runs(large, [*names, *order], many, distinct_order=False)
+        numbered = number_runs(runs, names, "_rn", many + count).withColumn("chunk", chunk).drop("_rn")
         branches.append(spread.send(numbered, [*names, "chunk"]))
     window = Window.partitionBy(*spread.by, *names).orderBy(*order)
     numbered = spread.send(ordinary, names).withColumn("_rn", F.row_number().over(window))
@@ -347,17 +339,17 @@ def multiscale_points(
     """Points with the key of the scale they belong to, and that key for building.
 
     A heavy fine group is dense whatever the threshold, so its points are marked by
-    a broadcast of the short list; the rest are counted group by group.
+    the list of these; the rest are counted group by group.
     """
     both, names = _both_scales(points, fine, coarse)
     fine_names = [f"_f_{n}" for n in names]
     sizes = group_sizes(both, fine_names)
-    _, heavy = heavy_groups(sizes, fine_names, max(split_rows, threshold))
+    _, heavy, count = heavy_groups(sizes, fine_names, max(split_rows, threshold))
     counted = Window.partitionBy(*fine_names)
     if heavy is None:
         sized = both.withColumn("_n_fine", F.count(F.lit(1)).over(counted))
     else:
-        ordinary, large = split_heavy(both, fine_names, heavy)
+        ordinary, large = split_heavy(both, fine_names, heavy, count)
         sized = ordinary.withColumn("_n_fine", F.count(F.lit(1)).over(counted)).unionByName(
             large.withColumn("_n_fine", F.lit(threshold).cast("long"))
         )

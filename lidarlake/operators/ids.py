@@ -17,6 +17,8 @@ from lidarlake.session import stage
 
 # monotonically_increasing_id puts the partition above bit 33, the row below.
 _ROW_BITS = 33
+# Starts of runs are broadcast up to so many rows, and joined by shuffle beyond.
+_MOST_STARTS = 200_000
 
 
 def sorted_runs(df: DataFrame, order: Sequence[str], runs: int, distinct_order: bool) -> DataFrame:
@@ -41,11 +43,11 @@ def sorted_runs(df: DataFrame, order: Sequence[str], runs: int, distinct_order:
     return stage(marked, "runs")
 
 
-def number_runs(runs: DataFrame, group: Sequence[str], name: str) -> DataFrame:
+def number_runs(runs: DataFrame, group: Sequence[str], name: str, most: int) -> DataFrame:
     """Position from 1 of each row of ``runs`` inside its group, as column ``name``.
 
     The table of starts has one row per run and group met in it. Groups are
-    contiguous in the sort order, so it has at most (runs + groups) rows.
+    contiguous in the sort order, so it has at most (runs + groups) rows: ``most``.
     """
     renamed = {g: f"_g_{g}" for g in group}
     starts = runs.groupBy("_run", *group).agg(
@@ -60,7 +62,7 @@ def number_runs(runs: DataFrame, group: Sequence[str], name: str) -> DataFrame:
     match = F.col("_run") == F.col("_g_run")
     for g in group:
         match = match & F.col(g).eqNullSafe(F.col(renamed[g]))
-    joined = runs.join(F.broadcast(starts), match)
+    joined = runs.join(F.broadcast(starts) if most <= _MOST_STARTS else starts.hint("merge"), match)
     helpers = ["_run", "_pos", "_g_run", "_shift", *renamed.values()]
     return joined.withColumn(name, F.col("_pos") + F.col("_shift")).drop(*helpers)
 
@@ -79,4 +81,4 @@ def row_ids(
     """
     if runs is None:
         runs = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return number_runs(sorted_runs(df, order, runs, distinct_order), [], name)
+    return number_runs(sorted_runs(df, order, runs, distinct_order), [], name, runs)

@@ -139,9 +139,10 @@ def blocked_join(
     other way round. The block of a row depends on its content alone, so a task
     that runs again makes the same rows.
     """
-    heavy = _heavy_keys(left, right, on, split_rows)
-    if heavy is None:
-        return left.join(right, list(on))
+    heavy, count = _heavy_keys(left, right, on, split_rows)
+    if not count:
+        # Spark can't see how an explode has grown a side, and might broadcast it.
+        return left.join(right.hint("merge"), list(on))
     named = [F.col(f"_h_{c}") == F.col(c) for c in on]
     match = named[0]
     for test in named[1:]:
@@ -149,7 +150,8 @@ def blocked_join(
 
     def cut(df: DataFrame, mine: str, theirs: str) -> DataFrame:
         plain = [f.name for f in df.schema if f.dataType.typeName() != "array"]
-        marked = df.join(F.broadcast(heavy), match, "left")
+        listed = F.broadcast(heavy) if count <= HEAVY_LIMIT else heavy.hint("merge")
+        marked = df.join(listed, match, "left")
         own = F.pmod(F.xxhash64(*plain), F.coalesce(f"_{mine}s", F.lit(1)))
         other = F.sequence(F.lit(0).cast("long"), F.coalesce(f"_{theirs}s", F.lit(1)) - 1)
         return (
@@ -159,13 +161,13 @@ def blocked_join(
         )
 
     blocks = ["_lblock", "_rblock"]
-    return cut(left, "l", "r").join(cut(right, "r", "l"), [*on, *blocks]).drop(*blocks)
+    return cut(left, "l", "r").join(cut(right, "r", "l").hint("merge"), [*on, *blocks]).drop(*blocks)
 
 
 def _heavy_keys(
     left: DataFrame, right: DataFrame, on: Sequence[str], split_rows: int
-) -> DataFrame | None:
-    """Keys above ``split_rows`` on a side, with the number of blocks of each side."""
+) -> tuple[DataFrame, int]:
+    """Keys above ``split_rows`` on a side with the number of blocks of each side; their count."""
 
     def sizes(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
@@ -176,9 +178,9 @@ def _heavy_keys(
         F.ceil(F.col(f"_{side}n") / F.lit(split_rows)).cast("long").alias(f"_{side}s")
         for side in "lr"
     ]
-    largest = both.where(size > split_rows).orderBy(F.desc(size)).limit(HEAVY_LIMIT)
-    heavy = stage(largest.select(*[F.col(c).alias(f"_h_{c}") for c in on], *blocks), "heavy-keys")
-    return None if heavy.isEmpty() else heavy
+    over = both.where(size > split_rows)
+    heavy = stage(over.select(*[F.col(c).alias(f"_h_{c}") for c in on], *blocks), "heavy-keys")
+    return heavy, heavy.count()
 
 
 def _narrow(patches: DataFrame, dims: Sequence[str], keep: Sequence[str], sides: Sides) -> DataFrame:

@@ -35,6 +35,20 @@ def ply_read(spark, sf_dir):
     return spark.read.format("ply").load(stored.ply_folder(spark, sf_dir))
 
 
+def import_ply(spark, sf_dir):
+    """The import from end to end: files in ranges, named by position, checked, grouped, stored."""
+    folder = stored.ply_folder(spark, sf_dir)
+    raw = spark.read.format("ply").option("splitBytes", str(1 << 18)).load(folder)
+    named = pt.attach_schema(
+        raw.toDF(*[f"_c{i}" for i in range(len(raw.columns))]),
+        [("gps_time", "double"), ("x", "double"), ("y", "double"), ("z", "double"),
+         ("num_echo", "smallint"), ("fiber", "int"), ("echo_range", "double")],
+    )
+    path = fresh_path(spark, "imported")
+    layout.write_patches(grouping.build_patches(named, keys.cubic_metre(), pcid=2), path)
+    return layout.read_patches(spark, path).select(*CUBE, "chunk", "n", "t_min", "t_max", "x_min", "x_max")
+
+
 def ply_selective_read(spark, sf_dir):
     folder = stored.ply_folder(spark, sf_dir)
     return spark.read.format("ply").schema("num_echo int, gps_time double").load(folder)
@@ -304,6 +318,13 @@ def retrieve_sql(spark, sf_dir):
     )
 
 
+def retrieve_with_ids(spark, sf_dir):
+    """Retrieved points with row ids; equal points are numbered among themselves."""
+    weeks = stored.week_patches(spark, sf_dir)
+    found = retrieve.retrieve(weeks, ONE_WEEK, dims=list(XYZT))
+    return ids.row_ids(found, list(XYZT), distinct_order=False)
+
+
 def limit_patches(spark, sf_dir):
     cubes = stored.cube_patches(spark, sf_dir).select(*CUBE, "chunk", "n")
     return retrieve.first_rows(cubes, [*CUBE, "chunk"], 10)
@@ -367,6 +388,21 @@ def group_capped(spark, sf_dir):
     )
 
 
+def group_capped_split(spark, sf_dir):
+    """The same chunks where groups of more than 200 points are cut over several tasks."""
+    key = keys.cubic_metre()
+    capped, names = grouping.capped_points(points(spark, sf_dir), key, 20, split_rows=200)
+    return capped.groupBy(*names, "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min("gps_time").alias("t_min")
+    )
+
+
+def heavy_patches(spark, sf_dir):
+    """Whole patches where every week is a heavy group."""
+    built = grouping.build_patches(points(spark, sf_dir), keys.period(stored.WEEK), dims=XYZT, split_rows=20)
+    return built.select("tbin", "chunk", "n", "t_min", "t_max", "x_min", "x_max")
+
+
 def regroup(spark, sf_dir):
     cubes = stored.cube_patches(spark, sf_dir)
     weeks = grouping.regroup(cubes, keys.period(stored.WEEK), dims=XYZT)
@@ -397,11 +433,15 @@ def patch_summary(spark, sf_dir):
 
 
 def duplicate_points(spark, sf_dir):
-    return report.duplicate_points(points(spark, sf_dir), ["x", "num_echo"])
+    """Points of a table loaded twice, by all their dimensions."""
+    cloud = points(spark, sf_dir)
+    return report.duplicate_points(cloud.unionByName(cloud))
 
 
 def distinct_points(spark, sf_dir):
-    return report.without_duplicates(points(spark, sf_dir).select("x", "z", "num_echo"))
+    """A table loaded twice, once."""
+    cloud = points(spark, sf_dir)
+    return report.without_duplicates(cloud.unionByName(cloud))
 
 
 def pruning_report(spark, sf_dir):
@@ -504,6 +544,7 @@ def per_patch_udf(spark, sf_dir):
 
 _ALL: list[Query] = [
     ply_read,
+    import_ply,
     ply_selective_read,
     ply_headers,
     text_points,
@@ -540,6 +581,7 @@ _ALL: list[Query] = [
     retrieve_space_time,
     retrieve_time_space,
     retrieve_sql,
+    retrieve_with_ids,
     limit_patches,
     build_patch_stats,
     group_m3,
@@ -551,6 +593,8 @@ _ALL: list[Query] = [
     multiscale_patches,
     group_by_file,
     group_capped,
+    group_capped_split,
+    heavy_patches,
     regroup,
     user_criterion,
     patch_sizes,

@@ -210,6 +210,16 @@ _QUERIES = {
       FROM (SELECT round(x) AS cx, round(y) AS cy, round(z) AS cz, gps_time,
                    {_chunk("round(x), round(y), round(z)", 20)} AS chunk FROM pts)
       GROUP BY 1, 2, 3, 4""",
+    "group_capped_split": f"""
+      SELECT cx, cy, cz, chunk, count(*) AS n, min(gps_time) AS t_min
+      FROM (SELECT round(x) AS cx, round(y) AS cy, round(z) AS cz, gps_time,
+                   {_chunk("round(x), round(y), round(z)", 20)} AS chunk FROM pts)
+      GROUP BY 1, 2, 3, 4""",
+    "heavy_patches": "SELECT tbin, chunk, n, t_min, t_max, x_min, x_max FROM wk",
+    "import_ply": "SELECT cx, cy, cz, chunk, n, t_min, t_max, x_min, x_max FROM vox",
+    "retrieve_with_ids": f"""
+      SELECT row_number() OVER (ORDER BY gps_time, x, y, z) AS gid, gps_time, x, y, z
+      FROM pts WHERE {_IN_WEEK}""",
     "regroup": "SELECT tbin, chunk, n, t_min, t_max, x_min, x_max FROM wk",
     "user_criterion": """
       SELECT num_echo % 2 AS parity, floor(echo_range*100/2) AS bin, count(*) AS n
@@ -225,8 +235,10 @@ _QUERIES = {
              max(x_max) AS x_max, min(y_min) AS y_min, max(y_max) AS y_max, min(z_min) AS z_min,
              max(z_max) AS z_max, min(t_min) AS t_min, max(t_max) AS t_max FROM vox""",
     "duplicate_points": """
-      SELECT x, num_echo, count(*) AS n FROM pts GROUP BY 1, 2 HAVING count(*) > 1""",
-    "distinct_points": "SELECT DISTINCT x, z, num_echo FROM pts",
+      SELECT gps_time, x, y, z, num_echo, fiber, echo_range, source_file, 2 * count(*) AS n
+      FROM pts GROUP BY ALL""",
+    "distinct_points": """
+      SELECT DISTINCT gps_time, x, y, z, num_echo, fiber, echo_range, source_file FROM pts""",
     "pruning_report": f"""
       SELECT (SELECT count(*) FROM wk WHERE {_WEEK_OVERLAP}) AS patches_read,
              (SELECT sum(n)::BIGINT FROM wk WHERE {_WEEK_OVERLAP}) AS points_read,
