@@ -12,9 +12,9 @@ then left out by neither.
 
 Equal sets are one class from the start. Classes that share a slice form clusters,
 found as components of a chain through each slice's classes, so a slice that all
-documents share costs one row per class. Inside a cluster, blocks of bounded size meet pairwise; whole
-sketches rule most pairs out, the sets decide, and only a spanning star of the links leaves a
-task.
+documents share costs one row per class. Whole sketches then split a cluster: two classes of a size
+band whose sketches are not too far apart stay together. What is left is verified on the sets. Both steps
+compare blocks of bounded size, and only a spanning star leaves a task.
 """
 
 from __future__ import annotations
@@ -106,6 +106,56 @@ def slices(shingles: np.ndarray, band: int, num: int, den: int) -> np.ndarray:
     return (keys & ~np.uint64(_RANK)) | bits
 
 
+def parity(shingles: np.ndarray, band: int) -> bytes:
+    """The whole sketch for pairs whose smaller set is in ``band``: a bit or two a shingle."""
+    bits = 64 * ceil(1.5 * _bounds(band)[1] / 64)
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _spread(forest: np.ndarray, x: int, near: np.ndarray) -> None:
+    """Give all labels met at ``near`` and ``x`` the least of them."""
+    met = np.unique(np.append(forest[near], forest[x]))
+    if len(met) > 1:
+        forest[np.isin(forest, met)] = met[0]
+
+
+def _refine(num: int, den: int):
+    """Classes of a cluster and band whose sketches allow a link, as stars; links are not lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["cluster", "band", "i", "j"]):
+            if group.num_rows < 2:
+                continue
+            nodes, sizes = group["node"].to_numpy(), group["n_shingles"].to_numpy()
+            block, lower = group["block"].to_numpy(), group["lower"].to_numpy()
+            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            raw = b"".join(group["sketch"].to_pylist())
+            sketches = np.frombuffer(raw, np.uint64).reshape(len(nodes), -1)
+            label = np.arange(len(nodes))
+            cols = np.flatnonzero(block == j)
+            for x in np.flatnonzero(block == i).tolist():
+                y = cols[cols > x] if i == j else cols
+                both = sizes[y] + sizes[x]
+                # Sizes alone rule most pairs out. A class that lent itself to the band below meets
+                # only that band's own classes here.
+                fits = (np.minimum(sizes[y], sizes[x]) * den >= np.maximum(sizes[y], sizes[x]) * num) & (label[y] != label[x])
+                if lower[x]:
+                    fits &= lower[y] == 0
+                y, both = y[fits], both[fits]
+                if not len(y):
+                    continue
+                apart = np.bitwise_count(sketches[y] ^ sketches[x]).sum(1, dtype=np.int64)
+                near = y[apart * (den + num) <= both * (den - num)]
+                if len(near):
+                    _spread(label, x, near)
+            # The same class may stand in two rows, its own and the one lent to the band below.
+            far = np.flatnonzero(nodes != nodes[label])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["a", "b"])
+
+    return run
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys that a batch holds more than once, with their counts."""
     for batch in batches:
@@ -152,7 +202,7 @@ def _sketch(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, nodes, keys = [], [], []
+            sizes, nodes, keys, whole, below = [], [], [], [], []
             texts = texts_of(batch)
             seen: set[int] = set()
             for text in texts:
@@ -160,20 +210,24 @@ def _sketch(k: int, num: int, den: int):
                 size = len(shingles)
                 sizes.append(size)
                 if not size:
-                    nodes.append(None)
-                    keys.append(None)
+                    for column in (nodes, keys, whole, below):
+                        column.append(None)
                     continue
                 node = xxhash.xxh3_64_intdigest(shingles.tobytes())
                 nodes.append(node - (1 << 64) if node >> 63 else node)
                 if node in seen:  # one row with keys is enough
-                    keys.append(None)
+                    for column in (keys, whole, below):
+                        column.append(None)
                     continue
                 seen.add(node)
                 band = _band(size)
                 own = [slices(shingles, band, num, den)]
+                whole.append(parity(shingles, band))
+                below.append(None)
                 # As the larger set of a pair whose smaller set is in the band below.
                 if band and size * num <= _bounds(band - 1)[1] * den:
                     own.append(slices(shingles, band - 1, num, den))
+                    below[-1] = parity(shingles, band - 1)
                 keys.append(signed(np.concatenate(own)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -182,13 +236,18 @@ def _sketch(k: int, num: int, den: int):
                     pa.array(nodes, pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(whole, pa.binary()),
+                    pa.array(below, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "n_bytes", "keys"],
+                names=["doc_id", "n_shingles", "node", "n_bytes", "keys", "whole", "below"],
             )
 
     return run
 
 
+_SKETCHED = (
+    "doc_id long, n_shingles long, node long, n_bytes long, keys array<long>, whole binary, below binary"
+)
 _CHAIN = "a long, b long, part int, first_key long, first_node long, last_key long, last_node long"
 
 
@@ -229,22 +288,16 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(np.empty(0, np.int64), np.empty(0, np.int64), [(*first, *last)])
 
 
-def parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """Sketches of the sets as rows of 64-bit words."""
-    lengths = [len(s) for s in sets]
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), lengths)
-    odd = np.zeros((len(sets), bits), np.uint8)
-    np.add.at(odd, (owner, (flat % np.uint64(bits)).astype(np.int64)), 1)  # wraps at 256, which is even
-    return np.packbits(odd & 1, axis=1).view(np.uint64)
-
-
 def _verify(k: int, num: int, den: int):
     """A spanning star of the links of one pair of blocks.
 
     Sketches rule pairs out; of the others, those whose ends are not linked yet are compared.
     """
 
+    def sketch(sets: list[np.ndarray], bits: int) -> np.ndarray:
+        odd = np.array([np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 for s in sets])
+        return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+
     def linked(a: np.ndarray, b: np.ndarray) -> bool:
         common = len(np.intersect1d(a, b, assume_unique=True))
         return common * den >= (len(a) + len(b) - common) * num
@@ -268,7 +321,7 @@ def _verify(k: int, num: int, den: int):
             block = group["block"].to_numpy()[mine]
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
             sizes = np.array([len(s) for s in sets], np.int64)
-            sketches = parity(sets, 64 * min(64, max(4, int(sizes.max()) // 16)))
+            sketches = sketch(sets, 64 * min(64, max(4, int(sizes.max()) // 16)))
             label = np.arange(len(sets))
             cols = np.flatnonzero(block == j)
             for x in np.flatnonzero(block == i).tolist():
@@ -286,6 +339,28 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def _with_centres(found: DataFrame) -> DataFrame:
+    """``node, cluster`` of all nodes of components, their centres included."""
+    centres = found.select(F.col("component").alias("node"), "component").distinct()
+    return found.unionByName(centres).withColumnRenamed("component", "cluster")
+
+
+def _block_pairs(rows: DataFrame, keys: list[str], blocks) -> DataFrame:
+    """Rows of a group dealt into blocks by node, once for each pair ``i, j`` their block is in.
+
+    ``blocks`` is the number of a group's blocks, as an aggregate of its rows or a table.
+    """
+    if not isinstance(blocks, DataFrame):
+        blocks = rows.groupBy(*keys).agg(blocks.cast("int").alias("blocks"))
+    return (
+        rows.join(blocks, keys)
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("block", "other"))
+        .withColumn("j", F.greatest("block", "other"))
+    )
+
+
 def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of documents linked at Jaccard num/den.
 
@@ -297,7 +372,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stage(
-        docs.mapInArrow(_sketch(k, num, den), "doc_id long, n_shingles long, node long, n_bytes long, keys array<long>"),
+        docs.mapInArrow(_sketch(k, num, den), _SKETCHED),
         "jaccard-sketches",
     )
     classes = sketched.where("node is not null").groupBy("node").agg(
@@ -336,37 +411,41 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
         .select("a", "b")
     )
     clusters = components(chained.where("a is not null").select("a", "b").unionByName(seams), "jaccard-clusters")
-    members = clusters.unionByName(
-        clusters.select(F.col("component").alias("node"), "component").distinct()
-    ).withColumnRenamed("component", "cluster")
+    clusters = _with_centres(clusters)
+    shown = sketched.where("whole is not null").groupBy("node").agg(
+        F.first("n_shingles").alias("n_shingles"), F.first("whole").alias("whole"), F.first("below", True).alias("below")
+    )
+    # The band of a sketch is told by its length.
+    shown = clusters.join(shown, "node")
+    lent = shown.where("below is not null").select("cluster", "node", "n_shingles", F.col("below").alias("sketch"), F.lit(1).alias("lower"))
+    laid = shown.select("cluster", "node", "n_shingles", F.col("whole").alias("sketch"), F.lit(0).alias("lower")).unionByName(lent)
+    laid = stage(laid.withColumn("band", F.octet_length("sketch")), "jaccard-laid")
+    close = (
+        _block_pairs(laid, ["cluster", "band"], F.ceil(F.count(F.lit(1)) / BLOCK))
+        .select("cluster", "band", "i", "j", "block", "node", "n_shingles", "lower", "sketch")
+        .repartition("cluster", "band", "i", "j")
+        .sortWithinPartitions("cluster", "band", "i", "j")
+        .mapInArrow(_refine(num, den), "a long, b long")
+    )
+    members = _with_centres(components(close, "jaccard-close"))
     known = sketched.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n_bytes").alias("n_bytes")
     )
-    members = members.join(known, "node")
-    blocks = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
-    )
-    placed = members.join(blocks, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES))
+    placed = members.join(known, "node")
+    texts = docs.join(placed.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select(
+        "cluster", "node", "n_bytes", "text"
     )
+    sized = placed.groupBy("cluster").agg(many.cast("int").alias("blocks"))
     pairs = (
-        docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"]))
-        .select("cluster", "blocks", "block", "node", "text")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "cluster",
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            "block",
-            "node",
-            "text",
-        )
+        _block_pairs(texts, ["cluster"], sized)
+        .select("cluster", "i", "j", "block", "node", "text")
         .repartition("cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j")
     )
     linked = stage(pairs.mapInArrow(_verify(k, num, den), "a long, b long"), "jaccard-links")
     found = components(linked, "jaccard-components")
-    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    found = _with_centres(found).withColumnRenamed("cluster", "component")
     named = known.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(names, "component").select(F.col("node").alias("_node"), "component_id")
