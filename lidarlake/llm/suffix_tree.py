@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import WordHashes, mix, signed, splits, texts_of, within
+from lidarlake.llm.common import mix, signed, splits, texts_of, within
 from lidarlake.session import stage
 
 #: Bytes of the longest context; with the next symbol a run must fit in 63 bits.
@@ -40,7 +41,7 @@ LEAST_COUNT = 8
 #: Bits of likelihood that a state must gain for each distinct symbol that follows it.
 GAIN = 6.0
 #: Texts are counted and scored in pieces of about so many bytes.
-_PIECE = 2 << 20
+_PIECE = 512 << 10
 _PAD = b"\x00" * DEPTH
 _MASKS = [np.uint64((1 << 8 * (k + 1)) - 1) for k in range(DEPTH + 1)]
 
@@ -78,7 +79,7 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
         parts.append((codes[starts], np.diff(np.append(starts, len(codes)))))
         held += len(starts)
-        if held > 3_000_000:
+        if held > 1_500_000:
             parts = [_merge(parts)]
             held = 0
 
@@ -301,7 +302,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 for w in words:
                     seen.setdefault(w, 0)
         number = dict(zip(seen, range(len(seen))))
-        return texts, number, signed(WordHashes().of(list(seen))), np.fromiter(seen.values(), np.int64, len(seen))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
+        return texts, number, signed(hashes), np.fromiter(seen.values(), np.int64, len(seen))
 
     def trained(table: pa.Table) -> list[bool]:
         return [not r["held_out"] for r in table["rest"].to_pylist()]
