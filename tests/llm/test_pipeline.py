@@ -40,9 +40,9 @@ def folder(spark, tmp_path_factory):
             w[2:2] = passage
         if kind == 4 and i > 10:
             w = docs[i - 1 - i % 3][1].split()  # a copy of one of the last
-            w[len(w) // 2] = "other"
+            w[0] = "other"
         docs.append((i, " ".join(w), "en", f"s{i % 4}" if i % 9 else None, len(" ".join(w))))
-        labels.append((i, 1, int(kind == 1)))
+        labels.append((i, 1, int("vile" in w)))
     docs += [(900, None, None, None, None), (901, "", "en", "s1", 0), docs[7], (None, " ".join(take(40)), "en", "s2", 9)]
     path = str(tmp_path_factory.mktemp("tables"))
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,7 +66,7 @@ def test_stages(spark, folder):
         rows.append([tuple(r) for r in kept[-1].collect()])
     docs, clean, single, cut, fresh, mixed = rows
 
-    assert {r[0] for r in docs} - {r[0] for r in clean} == {i for i in range(300) if i % 10 == 1}
+    assert Counter(docs) - Counter(clean) == Counter(r for r in docs if b"vile" in words(r[1])) != Counter()
     assert set(clean) <= set(docs)
 
     sets = [shingles(r[1]) for r in clean]
