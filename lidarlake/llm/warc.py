@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import uuid
 import zlib
 from bisect import bisect_right
