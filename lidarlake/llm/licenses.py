@@ -101,35 +101,34 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     wanted = pieces.groupBy("template_id").agg(F.count(F.lit(1)).alias("pieces"))
     hashed = _hashed(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     kinds = sorted(r[0] for r in pieces.select("class").distinct().collect())
-    found = None
-    for kind in kinds:
+    if not kinds:
+        return docs.select(F.col("doc_id"), F.lit(0).cast("long").alias("template_id"), F.lit(0.0).alias("share")).where("false")
+
+    def windows_of(kind: int) -> Column:
         _, window, stride = CLASSES[kind]
-        own = pieces.where(F.col("class") == kind)
-        sketch = F.slice(F.array_sort("shingles"), 1, SKETCH)
-        keys = own.select("template_id", "piece", "shingles", F.explode(sketch).alias("band"))
         # The last window may be shorter; each starts where a stretch of a stride begins.
         last = F.greatest(F.lit(1), F.size("_hashes") - (window - stride))
-        windows = hashed.where("_hashes is not null").select(
-            "doc_id",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), last, F.lit(stride)),
-                    lambda at: F.slice("_hashes", at, F.lit(window)),
-                )
-            ).alias("window"),
-        )
-        bands = windows.select(
-            "doc_id", "window", F.explode(F.slice(F.array_sort(F.array_distinct("window")), 1, SKETCH)).alias("band")
+        return F.transform(
+            F.sequence(F.lit(1), last, F.lit(stride)),
+            lambda at: F.struct(F.lit(kind).alias("class"), F.slice("_hashes", at, F.lit(window)).alias("window")),
         )
-        shared = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
-        part = (
-            bands.join(F.broadcast(keys), "band")
-            .select("doc_id", "template_id", "piece", shared.alias("share"))
-            .where(F.col("share") >= containment)
-        )
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.select(F.col("doc_id"), F.lit(0).cast("long").alias("template_id"), F.lit(0.0).alias("share")).where("false")
+
+    keys = pieces.select(
+        "template_id", "piece", "class", "shingles", F.explode(F.slice(F.array_sort("shingles"), 1, SKETCH)).alias("band")
+    )
+    # One pass over the texts for all classes.
+    windows = hashed.where("_hashes is not null").select(
+        "doc_id", F.inline(F.concat(*[windows_of(kind) for kind in kinds]))
+    )
+    bands = windows.select(
+        "doc_id", "class", "window", F.explode(F.slice(F.array_sort(F.array_distinct("window")), 1, SKETCH)).alias("band")
+    )
+    shared = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
+    found = (
+        bands.join(F.broadcast(keys), ["band", "class"])
+        .select("doc_id", "template_id", "piece", shared.alias("share"))
+        .where(F.col("share") >= containment)
+    )
     best = found.groupBy("doc_id", "template_id", "piece").agg(F.max("share").alias("share"))
     whole = best.groupBy("doc_id", "template_id").agg(F.min("share").alias("share"), F.count(F.lit(1)).alias("_n"))
     return (
