@@ -1,14 +1,10 @@
-"""Benchmark decontamination by CGK walks.
+"""Benchmark decontamination by exact pieces.
 
-A CGK walk turns a word sequence into an embedding: at step j it writes the word under its
-pointer, and a random bit of (j, word) says whether the pointer moves on. Sequences at
-a small edit distance get embeddings at a small Hamming distance. Bit sampling
-reads SAMPLED places of an embedding as one key; REPEATS independent walks and samples are
-drawn. Keys are made for the window at every word of every document and for every window of
-an item, and where they meet, the item is aligned with that place exactly.
-
-All windows of a text walk at once: the key from step j on at word p is that from step
-j + 1 on at word p or p + 1, so a step is one selection between neighbours.
+An item of n words with up to e edits allowed is cut into e + 1 pieces. An edit touches one
+piece at most, so wherever the item stands with up to e edits, one of its pieces stands
+unedited: no place is missed, whatever the item's length. Pieces are looked up by the hash of
+the run of words at every word of every document; where one is met, the words around are
+counted against the item's, and then the item is aligned with that place exactly.
 """
 
 from __future__ import annotations
@@ -22,18 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import WordHashes, mix
+from lidarlake.llm.common import Rolling, WordHashes, mix
 
-#: Window sizes in words. An item takes the largest that fits; a longer item has several windows.
-SIZES = (8, 16)
-REPEATS = 4
-SAMPLED = 5
-#: Items fewer than this in words say too little: any text may hold them by chance.
-LEAST_WORDS = 8
+#: Words of a piece that are looked up; of a longer piece, its first ones.
+LONGEST = 8
 #: Items that one pass over the documents carries along.
 ITEMS = 20_000
 _WORD = re.compile(r"\w+")
 _CHUNK = 1 << 16
+#: Places that are looked at together.
+_PLACES = 1 << 14
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -41,33 +35,6 @@ def normal_words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _plans(size: int) -> list[tuple[np.uint64, set[int]]]:
-    """Seed and sampled steps of each repeat; a walk of 1.5 steps a word stays in its window."""
-    steps = size * 3 // 2
-    rng = np.random.default_rng(size)
-    return [
-        (np.uint64(rng.integers(1, 2**62)), set(rng.choice(steps, SAMPLED, replace=False).tolist()))
-        for _ in range(REPEATS)
-    ]
-
-
-def walk_keys(words: np.ndarray, seed: np.uint64, sampled: set[int]) -> np.ndarray:
-    """The sampled key of the walk that starts at each word."""
-    scrambled = mix(words ^ seed)
-    bits = np.append((scrambled & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.uint32(0))
-    symbol = np.append((scrambled >> np.uint64(32)).astype(np.uint32), np.uint32(0))
-    key = np.zeros(len(words) + 1, np.uint32)
-    for step in range(max(sampled), -1, -1):
-        moves = (bits & np.uint32(1 << step)) != 0
-        moves[-1] = False
-        ahead = np.append(key[1:], np.uint32(0))
-        key = np.where(moves, ahead, key)
-        if step in sampled:
-            key = (key ^ symbol) * np.uint32(0x9E3779B1)
-            key ^= key >> np.uint32(15)
-    return key[:-1]
-
-
 def best_alignment(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance of the item to any stretch of the region: distance, start, end."""
 
@@ -90,81 +57,103 @@ def best_alignment(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]
 
 
 class _Items:
-    """One block of items with the keys of all their windows."""
+    """One block of items with the hashes of all their pieces."""
 
     def __init__(self, ids: list, texts: list[str | None], share: float):
         hashes = WordHashes()
-        self.ids, self.words, self.most = [], [], []
+        self.ids, self.words = [], []
         for number, text in zip(ids, texts):
             words = hashes.of(normal_words(text))
-            if len(words) >= LEAST_WORDS:
+            if len(words):
                 self.ids.append(number)
                 self.words.append(words)
-                self.most.append(math.floor(share * len(words)))
-        self.tables = []
-        for at, size in enumerate(SIZES):
-            larger = SIZES[at + 1] if at + 1 < len(SIZES) else 1 << 60
-            own = [i for i, w in enumerate(self.words) if size <= len(w) < larger]
-            for seed, sampled in _plans(size) if own else []:
-                keys, item, offset = [], [], []
-                for i in own:
-                    found = walk_keys(self.words[i], seed, sampled)[: len(self.words[i]) - size + 1]
-                    keys.append(found)
-                    item.append(np.full(len(found), i))
-                    offset.append(np.arange(len(found)))
-                keys, item, offset = map(np.concatenate, (keys, item, offset))
-                order = np.argsort(keys, kind="stable")
-                keys = keys[order]
-                seen = np.zeros(1 << 20, bool)
-                seen[keys >> np.uint32(12)] = True
-                self.tables.append((seed, sampled, seen, keys, item[order], offset[order]))
-
-    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and the places where they would start, wherever keys meet."""
-        items, starts = [], []
-        for seed, sampled, seen, keys, item, offset in self.tables:
-            mine = walk_keys(words, seed, sampled)
-            at = np.flatnonzero(seen[mine >> np.uint32(12)])
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.most = np.array([math.floor(share * len(w)) for w in self.words], np.int64)
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for i, words in enumerate(self.words):
+            rolling = Rolling(words)
+            many = int(self.most[i]) + 1
+            for piece in range(many):
+                lo, hi = piece * len(words) // many, (piece + 1) * len(words) // many
+                size = min(hi - lo, LONGEST)
+                pieces.setdefault(size, []).append((int(rolling.runs(size, np.array([lo]))[0]), i, lo))
+        self.pieces = []
+        for size, rows in sorted(pieces.items()):
+            rows.sort()
+            keys, item, offset = zip(*rows)
+            self.pieces.append((size, np.array(keys, np.uint64), np.array(item), np.array(offset)))
+
+    def ready(self) -> None:
+        """Bit tables: which run hashes, and which words of which item, may be there."""
+        self.seen = []
+        for _, keys, _, _ in self.pieces:
+            seen = np.zeros(1 << 22, bool)
+            seen[keys >> np.uint64(42)] = True
+            self.seen.append(seen)
+        bits = max(10, int(16 * self.lengths.sum()).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.salt = mix(np.arange(1, len(self.words) + 1, dtype=np.uint64))
+        self.member = np.zeros(1 << bits, bool)
+        for salt, words in zip(self.salt, self.words):
+            self.member[mix(words ^ salt) >> self.shift] = True
+
+    def places(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Items, texts and the places where the items would start, wherever a piece stands."""
+        rolling = Rolling(words)
+        for (size, keys, item, offset), seen in zip(self.pieces, self.seen):
+            mine = rolling.runs(size)
+            at = np.flatnonzero(seen[mine >> np.uint64(42)])
+            doc = np.searchsorted(ends, at, "right")
+            at, doc = at[at + size <= ends[doc]], doc[at + size <= ends[doc]]
             lo = np.searchsorted(keys, mine[at], "left")
             many = np.searchsorted(keys, mine[at], "right") - lo
-            at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
-            row = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-            items.append(item[row])
-            starts.append(np.repeat(at, many) - offset[row])
-        if not items:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(items), np.concatenate(starts)
+            met = many > 0
+            at, doc, lo, upto = at[met], doc[met], lo[met], np.cumsum(many[met])
+            # The places in order, so many at a time.
+            for first in range(0, int(upto[-1]) if len(upto) else 0, _PLACES):
+                place = np.arange(first, min(first + _PLACES, int(upto[-1])))
+                run = np.searchsorted(upto, place, "right")
+                row = lo[run] + place - np.where(run > 0, upto[run - 1], 0)
+                yield item[row], doc[run], at[run] - offset[row]
+
+    def likely(self, words: np.ndarray, found: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Places with enough words of the item around; none where the item stands is left out."""
+        lengths = hi - lo
+        ends = np.cumsum(lengths)
+        of = np.repeat(np.arange(len(found)), lengths)
+        word = words[np.arange(int(ends[-1])) - (ends - lengths)[of] + lo[of]]
+        hit = self.member[mix(word ^ self.salt[found][of]) >> self.shift]
+        return np.bincount(of[hit], minlength=len(found)) >= (self.lengths - self.most)[found]
 
 
 def _search(items: _Items):
     def chunk(ids: list, texts: list[np.ndarray]) -> list[tuple]:
         ends = np.cumsum([len(t) for t in texts])
         flat = np.concatenate(texts)
-        found, starts = items.places(flat)
-        if not len(found):
-            return []
-        # A place before the text begins belongs to the text that the window is in.
-        lengths = np.array([len(w) for w in items.words])[found]
-        middle = np.clip(starts + lengths // 2, 0, len(flat) - 1)
         out: dict[tuple[int, int], tuple] = {}
-        doc = np.searchsorted(ends, middle, "right")
         tried = set()
-        for i, d, start in zip(found.tolist(), doc.tolist(), starts.tolist()):
-            n, most = len(items.words[i]), items.most[i]
-            place = (i, d, start // (most + 1))
-            if place in tried:
-                continue
-            tried.add(place)
-            first = int(ends[d]) - len(texts[d])
-            lo = max(first, start - 2 * most - 1)
-            hi = min(int(ends[d]), start + n + 2 * most + 1)
-            region = flat[lo:hi]
-            # Words of the item that the region lacks must be edited away.
-            if np.count_nonzero(~np.isin(items.words[i], region)) > most:
-                continue
-            distance, begin, end = best_alignment(items.words[i], region)
-            if distance <= most and (distance, lo + begin) < out.get((d, i), (1 << 30,))[:2]:
-                out[d, i] = (distance, lo + begin, lo + end)
+        for found, doc, starts in items.places(flat, ends):
+            # Starts as near as the edits allowed share one region.
+            near = starts // (items.most[found] + 1)
+            order = np.lexsort((near, doc, found))
+            found, doc, starts, near = found[order], doc[order], starts[order], near[order]
+            new = np.append(True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1]) | (near[1:] != near[:-1]))
+            found, doc, starts, near = found[new], doc[new], starts[new], near[new]
+            spare = 2 * items.most[found] + 1
+            lo = np.maximum(np.where(doc > 0, ends[doc - 1], 0), starts - spare)
+            hi = np.minimum(ends[doc], starts + items.lengths[found] + spare)
+            may = items.likely(flat, found, lo, hi)
+            for i, d, place, low, high in zip(*(x[may].tolist() for x in (found, doc, near, lo, hi))):
+                if (i, d, place) in tried:
+                    continue
+                tried.add((i, d, place))
+                region, most = flat[low:high], int(items.most[i])
+                # Words of the item that the region lacks must be edited away.
+                if np.count_nonzero(~np.isin(items.words[i], region)) > most:
+                    continue
+                distance, begin, end = best_alignment(items.words[i], region)
+                if distance <= most and (distance, low + begin) < out.get((d, i), (1 << 30,))[:2]:
+                    out[d, i] = (distance, low + begin, low + end)
         return [
             (ids[d], items.ids[i], distance, len(items.words[i]), begin - (int(ends[d]) - len(texts[d])), end - begin)
             for (d, i), (distance, begin, end) in out.items()
@@ -172,6 +161,7 @@ def _search(items: _Items):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        items.ready()
         for batch in batches:
             rows, ids, texts, held = [], [], [], 0
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -200,11 +190,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> D
 
     ``doc_id, item_id, distance, item_words, start_word, span_words``: the stretch of the text
     nearest to the item, at most ``share`` of the item's words away in word edits. Words are
-    lower-cased runs of letters and digits. Items of fewer than LEAST_WORDS words, null items
-    and null or empty texts match nothing. A row that repeats gives its rows again;
+    lower-cased runs of letters and digits. Every such item of every length is found; one of
+    fewer than 1 / ``share`` words must stand unedited. Items and texts without words
+    match nothing. A row that repeats gives its rows again;
     an item_id with several texts counts as one item, at its best. Other columns are
     ignored. Items go around in blocks of ITEMS, each block in one pass over the documents.
     """
+    if not 0 <= share < 1:
+        raise ValueError("share must be at least 0 and below 1")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")

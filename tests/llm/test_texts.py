@@ -173,6 +173,29 @@ def test_contaminated(spark):
     assert {k for k, off in expected.items() if not off} <= set(got)
 
 
+def test_contaminated_at_most_edits_of_every_length(spark):
+    rng = random.Random(21)
+    take = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    items = [(n, " ".join(take(n))) for n in range(1, 45)]
+    rows_, expected = [], set()
+    for n, text in items:
+        for turn in range(12):
+            piece = text.split()
+            for _ in range(n // 5):
+                at = rng.randrange(len(piece))
+                piece[at : at + 1] = rng.choice([[], ["new"], [piece[at], "new"]])
+            before = [] if turn % 4 == 0 else take(30)
+            rows_.append((100 * n + turn, " ".join(before + piece + ([] if turn % 4 == 1 else take(30)))))
+            expected.add((100 * n + turn, n))
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert expected <= {(r.doc_id, r.item_id) for r in got}
+    texts = {r[0]: decontaminate.normal_words(r[1]) for r in rows_}
+    for r in got:
+        item = dict(items)[r.item_id].split()
+        assert r.distance == distance(item, texts[r.doc_id]) <= len(item) // 5
+
+
 def test_contaminated_by_nothing(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, none).collect() == []
