@@ -231,6 +231,36 @@ def test_mix(docs, rows):
         assert abs(taken[s] - target[s]) <= 2 * mixing.BLOCK
 
 
+def test_mix_keeps_to_targets_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 10)
+    rows_ = [(i, f"w{i} " * 12, "b") for i in range(500)] + [(1000 + i, f"h{i} " * 50, "a") for i in range(2000)]
+    rows_ += [(5000 + i, "one two", f"s{i:03}") for i in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows_, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 1 + t / 1000 for s, t in target.items())
+    assert sum(taken.values()) == round(sum(target.values()))
+
+
+def test_mix_of_few_words(spark):
+    rows_ = [(1, "a b c", "x"), (2, "d e", "y"), (3, "f", None), (4, "g", "z")]
+    got = mixing.mix(spark.createDataFrame(rows_, "doc_id long, text string, source string")).collect()
+    assert sum(r.taken for r in got) == round(1.5 * 7) and all(r.taken <= 2 * r["size"] for r in got)
+
+
+def test_highest_quotients_with_ties():
+    claims, most = np.array([5.0, 5.0, 5.0, 1.0]), np.array([9, 9, 9, 9])
+    for seats in range(40):
+        slow, got = [0] * 4, mixing.highest(claims, most, seats)
+        for _ in range(min(seats, 36)):
+            free = [i for i in range(4) if slow[i] < most[i]]
+            slow[max(free, key=lambda i: (claims[i] / (2 * slow[i] + 1), -i))] += 1
+        assert got.tolist() == slow
+
+
 def test_mix_without_words(spark, empty):
     assert mixing.mix(empty).collect() == []
     none = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
