@@ -1,7 +1,8 @@
 """A training corpus out of raw documents: five operators of lidarlake.llm, one after another.
 
 Each stage takes what its predecessor kept, decides on all of it, and returns the columns of
-documents; the last adds ``taken``.
+documents; the last adds ``taken``. A doc_id may be missing or repeat: what a stage decides holds
+for a row, or for rows of one doc_id and text, told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,15 +22,28 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.7").select(*[F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, the key of a doc_id and text; a missing doc_id has keys too."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text", F.col("doc_id").isNull()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at Jaccard 0.8 on five-word shingles, the document of least doc_id.
 
+    A missing doc_id comes last; of several texts with the least doc_id, one stays.
     Rows that repeat a kept document's id and text count as one. Documents without words are
-    linked with nothing and stay.
+    linked with nothing and stay, each row of them if the doc_id is missing.
     """
-    linked = jaccard.jaccard_join(docs, k=5, num=80, den=100)
-    gone = linked.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    keyed = _keyed(docs)
+    linked = jaccard.jaccard_join(keyed.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100)
+    linked = linked.select(F.col("doc_id").alias("_row"), "component_id", (F.col("n_shingles") == 0).alias("_empty")).distinct()
+    names = keyed.select("_row", F.col("doc_id").alias("_id")).distinct()
+    order = F.struct(F.col("_id").isNull().alias("last"), "_id", "_row", "_empty")
+    least = linked.join(names, "_row").groupBy("component_id").agg(F.min(order).alias("least"))
+    kept = least.select(F.col("least._row").alias("_kept"), (F.col("least.last") & F.col("least._empty")).alias("_each"))
+    each = F.when(F.col("_each"), F.monotonically_increasing_id()).otherwise(-1)
+    rows = keyed.join(kept, F.col("_row") == F.col("_kept")).withColumn("_copy", each)
+    return rows.dropDuplicates(["_row", "_copy"]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +64,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, nor one with up to a fifth of its words edited."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    keyed = _keyed(docs)
+    texts = keyed.select(F.col("_row").alias("doc_id"), "text")
+    found = decontaminate.contaminated(texts, table(spark, sf_dir, "benchmark"))
     gone = stage(found.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with ``taken``, the number of words taken."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("taken"))
-    return docs.drop("taken").join(taken, F.col("doc_id") == F.col("_id")).drop("_id")
+    """Rows that the mix takes words of, each with ``taken``, the number of words taken of it."""
+    others = [c for c in docs.columns if c != "taken"]
+    mixed = mixing.mix(docs, carried=others).where("taken > 0")
+    return mixed.select(*[F.col("rest").getField(c).alias(c) for c in others], "taken")
 
 
 STAGES = [

@@ -133,3 +133,38 @@ def test_run_takes_extra_columns(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == [*COLUMNS, "node", "split", "score", "taken"] and got.count() > 20
+
+
+def test_missing_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(8)
+    take = lambda n: " ".join(f"t{rng.randrange(5000)}" for _ in range(n))
+    item, shared, own, other = take(20), take(40), take(40), take(40)
+    near = shared + " end"
+    docs = [
+        (None, shared, "en", "a", 1),
+        (1, near, "en", "a", 2),  # a near copy of the row above
+        (2, own, "en", "b", 3),
+        (2, near, "en", "b", 4),  # the second text of a doc_id
+        (None, other, "en", None, 5),
+        (None, take(9) + " " + item, "en", "b", 6),
+        (3, take(9) + " " + item, "en", "b", 7),
+        (3, take(30), "en", "a", 8),  # the same doc_id without the item
+        (None, None, "en", "a", 9),
+        (None, "", "en", "a", 10),
+        (None, "", "en", "b", 11),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    single = stages["ngram_jaccard_join"](spark, frame, str(tmp_path))
+    assert Counter(map(tuple, single.collect())) == Counter(r for r in docs if r[4] not in (1, 4))
+
+    fresh = stages["benchmark_decontamination"](spark, frame, str(tmp_path))
+    assert Counter(map(tuple, fresh.collect())) == Counter(r for r in docs if r[4] not in (6, 7))
+
+    mixed = [tuple(r) for r in stages["source_mixing"](spark, frame, str(tmp_path)).collect()]
+    expected = {(r.doc_id, r["size"], r.source, r.taken) for r in mixing.mix(frame).collect() if r.taken}
+    sizes = {r[4]: len(words(r[1])) for r in docs}
+    assert {(r[0], sizes[r[4]], r[3], r[5]) for r in mixed} == expected and len(mixed) == len({r[4] for r in mixed})
+    assert {r[:5] for r in mixed} <= set(docs) and any(r[0] is None for r in mixed)
