@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidarlake.llm import decontaminate, jaccard, licenses, mixing, neighbours, quality, substrings, suffix_tree, toxicity, warc
+from lidarlake.llm import (
+    codes,
+    collocations,
+    decontaminate,
+    jaccard,
+    language_id,
+    licenses,
+    mixing,
+    neighbours,
+    quality,
+    substrings,
+    suffix_tree,
+    toxicity,
+    warc,
+)
 from lidarlake.llm.common import table
-from lidarlake.session import fresh_path
+from lidarlake.session import fresh_path, stage
 
 
 def _remainder(of: int):
@@ -79,6 +93,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"), carried=("vec_id", "label"))
+    rows = stage(coded.select("rest.vec_id", "rest.label", "code", "error"), "codes")
+    # A sum beyond 64 bits is null.
+    sums = rows.groupBy("label").agg(F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long").alias("label_error"))
+    sums = sums.withColumnRenamed("label", "_label")
+    return rows.join(sums, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    languages = language_id.train(docs.where(_remainder(3) != 1).select("text", "lang"))
+    held = F.coalesce(_remainder(3) == 1, F.lit(False))
+    found = language_id.predict(docs, languages, [F.col("doc_id"), held.alias("held_out")])
+    return found.select("rest.doc_id", "rest.held_out", "lang_pred", "score")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_license_scan,
@@ -91,5 +128,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_warc,
         op9_jaccard_join,
         op10_quality,
+        op11_code_compression,
+        op12_language_id,
+        op13_collocations,
     ]
     return {f.__name__: f for f in found}
