@@ -7,10 +7,10 @@ that is extended by a word and measured again. Each group's subtree is then buil
 distinct suffixes with their counts, and the totals are read off the leaves.
 
 Documents are dealt into splits. Each split tells how often it has a word, then how often a pair
-of frequent words, and gets back those that are frequent in the whole corpus. A phrase can only be
-frequent if its words and pairs are, so a suffix ends where a pair is rare; that keeps the
-leaves few and loses nothing. Pairs are told by 64-bit hashes; a clash can only let a rare pair pass,
-whose phrases are then counted exactly. A word or phrase that fills the corpus is one row per split.
+of frequent words, and gets back those that are frequent in the whole corpus, with their totals. A
+phrase can only be frequent if its words and pairs are, so a suffix ends where a pair is rare;
+that keeps the leaves few and loses nothing. Pairs are told by 64-bit hashes. A word or phrase that
+fills the corpus is one row per split.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import SPLIT_BYTES, mix, signed, texts_of, within
+from lidarlake.llm.common import mix, signed, texts_of
 from lidarlake.session import stage
 
 #: Words of the longest phrase.
 MOST = 4
+#: Text of a split. Larger ones tell and are told less, and take more memory.
+SPLIT_BYTES = 16 << 20
 #: Leaves of a group: a subtree of so many is held in memory.
 LEAVES = 100_000
 #: Prefixes above the budget that are told to every task, at most.
@@ -100,34 +102,42 @@ class _Chains:
         first, second = self.ids[:-1].astype(np.int64), self.ids[1:].astype(np.int64)
         self.at = np.flatnonzero((first >= 0) & (second >= 0))
         pairs = first[self.at] * max(1, len(known)) + second[self.at]
-        self.pairs, self.pair_of, self.counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        self.pairs, first, self.pair_of, self.counts = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
+        self.first = self.at[first]
         seed = xxhash.xxh3_64_intdigest(lang.encode())
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in known), np.uint64, len(known))
         a, b = self.pairs // max(1, len(known)), self.pairs % max(1, len(known))
         self.keys = signed(mix(mix(hashes[a]) + hashes[b]))
 
-    def suffixes(self, frequent: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """Suffixes that begin with a frequent pair, cut off where a pair is rare, and their counts."""
-        good = np.flatnonzero(within(self.keys, np.sort(frequent)))
+    def ranks(self, frequent: np.ndarray) -> np.ndarray:
+        """Of each of the given pairs its place among this split's pairs."""
+        order = np.argsort(self.keys)
+        return order[np.searchsorted(self.keys[order], frequent)]
+
+    def phrase(self, at: int, n: int) -> bytes:
+        return b" ".join([self.words[i] for i in self.ids[at : at + n].tolist()])
+
+    def suffixes(self, good: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Suffixes that begin with two frequent pairs, cut off where a pair is rare, and their counts."""
         rank = np.full(len(self.pairs) + 1, -1, np.int64)
         rank[good] = np.arange(len(good))
         chain = np.full(len(self.ids) + MOST, -1, np.int64)
         chain[self.at] = rank[self.pair_of]
-        start = np.flatnonzero(chain >= 0)
+        start = np.flatnonzero((chain[:-1] >= 0) & (chain[1:] >= 0))
         width = len(good) + 1
-        code = chain[start] + 1
+        code = chain[start]
         for k in range(1, MOST - 1):
             # Once broken, a chain stays so.
-            step = np.where(code % width > 0, chain[start + k] + 1, 0)
+            step = np.where(code % width > 0, chain[start + k] + 1, 0) if k > 1 else chain[start + k] + 1
             _, dense = np.unique(code, return_inverse=True)
             code = dense * width + step
         _, first, counts = np.unique(code, return_index=True, return_counts=True)
         out = []
         for at in start[first].tolist():
-            n = 2
+            n = 3
             while n < MOST and chain[at + n - 1] >= 0:
                 n += 1
-            out.append(b" ".join([self.words[i] for i in self.ids[at : at + n].tolist()]))
+            out.append(self.phrase(at, n))
         return out, counts
 
 
@@ -140,7 +150,7 @@ def _chains(table: pa.Table, known: pa.Table) -> Iterator[tuple[str, _Chains]]:
 
 
 def counted(docs: DataFrame, least: int) -> DataFrame:
-    """``lang, phrase, n``: every suffix of two words or more with its count, frequent words, and all words (phrase '')."""
+    """``lang, phrase, n``: frequent words and pairs, and every suffix of three words or more, with counts to be summed."""
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     many = max(1, math.ceil((size or 0) / SPLIT_BYTES), math.ceil(rows / 100_000))
     # Equal texts fall on different splits, by the stretch of rows they stand in.
@@ -164,36 +174,44 @@ def counted(docs: DataFrame, least: int) -> DataFrame:
     def tell_suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
         names = ["lang", "phrase", "n"]
         parts = [pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], names=names)]
+
+        def add(lang: str, phrases: list[bytes], counts: np.ndarray) -> None:
+            columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
+            parts.append(pa.table([*columns, pa.array(counts.astype(np.int64))], names=names))
+
         if not table.num_rows:
             return parts[0]
-        pairs = told["pair"].drop_null().to_numpy()
-        known = told.filter(pc.is_valid(told["word"]))
+        is_word = pc.is_valid(told["word"])
+        known, pairs = told.filter(is_word), told.filter(pc.invert(is_word))
+        # Of a word or pair, one split tells the total.
+        mine = known.filter(known["own"])
+        for lang in set(mine["lang"].to_pylist()):
+            own = mine.filter(pc.equal(mine["lang"], lang))
+            add(lang, [w.encode() for w in own["word"].to_pylist()], own["total"].to_numpy())
+        keys, totals, own = (pairs[c].to_numpy(zero_copy_only=False) if pairs.num_rows else np.empty(0, np.int64) for c in ("pair", "total", "own"))
         for lang, chains in _chains(table, known):
-            phrases, counts = chains.suffixes(pairs)
-            used = np.bincount(chains.ids[chains.ids >= 0], minlength=len(chains.words))
-            parts.append(
-                pa.table(
-                    {
-                        "lang": pa.array([lang] * (len(phrases) + len(chains.words)), pa.string()),
-                        "phrase": pa.array(phrases + chains.words, pa.binary()).cast(pa.string()),
-                        "n": np.concatenate([counts, used]).astype(np.int64),
-                    }
-                )
-            )
+            here = np.isin(keys, chains.keys)
+            good = chains.ranks(keys[here])
+            told_here = own[here].astype(bool)
+            add(lang, [chains.phrase(at, 2) for at in chains.first[good[told_here]].tolist()], totals[here][told_here])
+            add(lang, *chains.suffixes(good))
         return pa.concat_tables(parts)
 
     told = source.groupBy("split").applyInArrow(_tell_words, "split int, lang string, word string, n long")
-    total = F.sum("n").over(Window.partitionBy("lang", "word"))
-    words = told.withColumn("_total", total).where(F.col("_total") >= least).select("split", "lang", "word")
+
+    def frequent(rows: DataFrame, *by: str) -> DataFrame:
+        over = Window.partitionBy(*by)
+        owned = rows.withColumn("total", F.sum("n").over(over)).withColumn("own", F.col("split") == F.max("split").over(over))
+        return owned.where(F.col("total") >= least).select("split", *by, "total", "own")
+
+    words = frequent(told, "lang", "word")
     pairs = source.groupBy("split").cogroup(words.groupBy("split")).applyInArrow(tell_pairs, "split int, pair long, n long")
-    total = F.sum("n").over(Window.partitionBy("pair"))
-    pairs = pairs.withColumn("_total", total).where(F.col("_total") >= least).select("split", "pair")
+    pairs = frequent(pairs, "pair")
     none = F.lit(None)
     both = words.withColumn("pair", none.cast("long")).unionByName(
-        pairs.select("split", none.cast("string").alias("lang"), none.cast("string").alias("word"), "pair")
+        pairs.select("split", none.cast("string").alias("lang"), none.cast("string").alias("word"), "total", "own", "pair")
     )
-    suffixes = source.groupBy("split").cogroup(both.groupBy("split")).applyInArrow(tell_suffixes, "lang string, phrase string, n long")
-    return suffixes
+    return source.groupBy("split").cogroup(both.groupBy("split")).applyInArrow(tell_suffixes, "lang string, phrase string, n long")
 
 
 def _prefix(words: int):
@@ -201,7 +219,7 @@ def _prefix(words: int):
 
 
 def frequencies(leaves: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
-    """``lang, phrase, f`` of every phrase of two to MOST words that occurs ``least`` times or more.
+    """``lang, phrase, f`` of every phrase of three to MOST words that occurs ``least`` times or more.
 
     ``leaves`` holds distinct suffixes ``lang, phrase, n``. A prefix of two words with more leaves than the
     budget is extended to three, and if need be to four, where it is a leaf.
@@ -227,7 +245,7 @@ def frequencies(leaves: DataFrame, least: int, budget: int = LEAVES) -> DataFram
         shared = set()
         for lang, phrase, n, depth in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "n", "depth"))):
             words = phrase.split(" ")
-            for k in range(2, len(words) + 1):
+            for k in range(3, len(words) + 1):
                 node = (lang, " ".join(words[:k]))
                 totals[node] = totals.get(node, 0) + n
                 if k < depth:
@@ -264,9 +282,9 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int
     leaves = counted(docs.select("lang", "text"), least)
     # The words of a language are told without what is rare, so they are counted apart.
     leaves = stage(leaves.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "phrase-suffixes")
-    single = ~F.col("phrase").contains(" ")
-    words = leaves.where(single).select("lang", "phrase", F.col("n").alias("f"))
-    phrases = stage(frequencies(leaves.where(~single), least).unionByName(words), "phrases")
+    short = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) < 2
+    known = leaves.where(short).select("lang", "phrase", F.col("n").alias("f"))
+    phrases = stage(frequencies(leaves.where(~short), least).unionByName(known), "phrases")
     separators = r"[^\x20\x09-\x0D.,;:!?]+"
     sizes = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
