@@ -17,12 +17,15 @@ from lidarlake.plans.views import areas, events, points, windows
 from lidarlake.session import fresh_path
 from lidarlake.sources import ply, registry, schemas, text
 from lidarlake.streaming.load import load_patches
-from lidarlake.streaming.time_patches import time_bins
+from lidarlake.streaming.time_patches import bin_stats, compact, read_parts, read_time_patches, time_patches
 
 XYZT = ["gps_time", "x", "y", "z"]
 CUBE = ["cx", "cy", "cz"]
 DISC = Disc(25.0, 5.0, 2.0)
 ONE_WEEK = Span("gps_time", 915148800.0, 915753600.0)
+#: Milliseconds of a streamed bin, and points of a patch: busy hours have several.
+HOUR = 3_600_000
+HOUR_POINTS = 8
 YEAR_1998 = Span("gps_time", 883612800.0, 915148800.0)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -511,21 +514,36 @@ def stream_load_twice(spark, sf_dir):
     return layout.read_patches(spark, table).groupBy(*CUBE).agg(F.sum("n").alias("n"))
 
 
+def _streamed_hours(spark, sf_dir, path, log):
+    """Files of events, every hour spread over several, streamed file by file."""
+    landing = stored.landing_folder(spark, sf_dir, "disordered")
+    arriving = spark.readStream.schema(events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    time_patches(arriving, HOUR, path, log, once=True, max_points=HOUR_POINTS).awaitTermination()
+
+
 def stream_time_patches(spark, sf_dir):
-    """Minute bins of a stream of events, as far as the watermark has closed them."""
-    landing = stored.landing_folder(spark, sf_dir, "events")
-    table = fresh_path(spark, "bins")
-    arriving = spark.readStream.schema(events(spark, sf_dir).schema).parquet(landing)
-    bins = time_bins(arriving, 60_000, "10 minutes", stats=("x",))
-    query = (
-        bins.writeStream.format("parquet")
-        .option("path", table)
-        .option("checkpointLocation", fresh_path(spark, "stream-log"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(bins.schema).parquet(table)
+    """Hourly patches of a disordered stream of events, merged when they are read."""
+    path = fresh_path(spark, "hours")
+    _streamed_hours(spark, sf_dir, path, fresh_path(spark, "stream-log"))
+    whole = read_time_patches(spark, path, max_points=HOUR_POINTS)
+    return whole.select("tbin", "chunk", "n", "t_min", "t_max", "x_min", "x_max")
+
+
+def stream_time_patches_compacted(spark, sf_dir):
+    """Two streams into one table, compacted after the first; every point is there twice."""
+    path = fresh_path(spark, "hours")
+    _streamed_hours(spark, sf_dir, path, fresh_path(spark, "stream-log"))
+    compact(spark, path, max_points=HOUR_POINTS)
+    _streamed_hours(spark, sf_dir, path, fresh_path(spark, "stream-log"))
+    whole = read_time_patches(spark, path, max_points=HOUR_POINTS)
+    return patch.explode_patches(whole, ["event_id", "gps_time"], ["tbin"])
+
+
+def stream_bin_stats(spark, sf_dir):
+    """Sizes and ranges of the streamed hours, from all parts, without their points."""
+    path = fresh_path(spark, "hours")
+    _streamed_hours(spark, sf_dir, path, fresh_path(spark, "stream-log"))
+    return bin_stats(read_parts(spark, path)).select("tbin", "n", "t_min", "t_max", "y_min", "y_max")
 
 
 def per_patch_udf(spark, sf_dir):
@@ -611,6 +629,8 @@ _ALL: list[Query] = [
     stream_load,
     stream_load_twice,
     stream_time_patches,
+    stream_time_patches_compacted,
+    stream_bin_stats,
     per_patch_udf,
 ]
 

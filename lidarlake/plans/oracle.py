@@ -274,10 +274,17 @@ _QUERIES = {
       SELECT round(x) AS cx, round(y) AS cy, round(z) AS cz, 2 * count(*) AS n
       FROM pts GROUP BY 1, 2, 3""",
     "stream_time_patches": """
-      SELECT round(gps_time/60) AS tbin, count(*) AS n, min(x) AS x_min, max(x) AS x_max
-      FROM ev GROUP BY 1
-      HAVING round(gps_time/60)*60000 + 30000
-             <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 600000""",
+      SELECT tbin, chunk, count(*) AS n, min(gps_time) AS t_min, max(gps_time) AS t_max,
+             min(x) AS x_min, max(x) AS x_max
+      FROM (SELECT *, round(1000*gps_time/3600000) AS tbin,
+                   (row_number() OVER (PARTITION BY round(1000*gps_time/3600000)
+                                       ORDER BY gps_time, x, y, z, event_id) - 1) // 8 AS chunk FROM ev)
+      GROUP BY 1, 2""",
+    "stream_time_patches_compacted": """
+      SELECT round(1000*gps_time/3600000) AS tbin, event_id, gps_time FROM ev, range(2)""",
+    "stream_bin_stats": """
+      SELECT round(1000*gps_time/3600000) AS tbin, count(*) AS n, min(gps_time) AS t_min,
+             max(gps_time) AS t_max, min(y) AS y_min, max(y) AS y_max FROM ev GROUP BY 1""",
     "per_patch_udf": """
       SELECT tbin, chunk, max(z) - min(z) AS height, count(*) AS points FROM weekly GROUP BY 1, 2""",
 }

@@ -80,8 +80,12 @@ def text_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 def landing_folder(spark: SparkSession, sf_dir: str, cloud: str) -> str:
-    """A cloud as Parquet files, as if they had just arrived."""
-    view = {"points": points, "events": events}[cloud]
+    """A cloud as Parquet files, as if they had just arrived; disordered ones hold each hour in part."""
+
+    def disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return events(spark, sf_dir).repartition(4, F.col("event_id") % 4)
+
+    view = {"points": points, "disordered": disordered}[cloud]
     return once(
         spark, sf_dir, f"landing-{cloud}", lambda path: view(spark, sf_dir).write.parquet(path)
     )
