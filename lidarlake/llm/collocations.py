@@ -1,10 +1,10 @@
 """Phrase collocation mining with suffix trees that are built in independent groups.
 
 The suffixes of all texts, cut off after MOST words, make up one tree per language; a node
-is a phrase and its total its frequency. The tree is never built as a whole. Word prefixes
-are measured first and put into groups that fit a memory budget; a prefix too large for
-that is extended by a word and measured again. Each group's subtree is then built on its own, from its
-distinct suffixes with their counts, and the totals are read off the leaves.
+is a phrase and its total its frequency. The tree is never built as a whole. Prefixes of one
+and two words are counted first and put into groups that fit a memory budget; a prefix too
+frequent for that is extended. Each group's subtree is then built on its own, from its suffixes with their
+counts, and the totals are read off the leaves.
 
 Documents are dealt into splits. Each split tells how often it has a word, then how often a pair
 of frequent words, and gets back those that are frequent in the whole corpus, with their totals. A
@@ -33,10 +33,9 @@ from lidarlake.session import stage
 MOST = 4
 #: Text of a split. Larger ones tell and are told less, and take more memory.
 SPLIT_BYTES = 16 << 20
-#: Leaves of a group: a subtree of so many is held in memory.
+#: Occurrences of a prefix that a group takes whole, and bytes of text for each group.
 LEAVES = 100_000
-#: Prefixes above the budget that are told to every task, at most.
-_HEAVY = 10_000
+GROUP_BYTES = 4 << 20
 _PART_BYTES = 24 << 20
 _CHUNK = 1 << 20
 _ENDS = bytes(46 if chr(i) in ".,;:!?\n\x0b\x0c\r" else i for i in range(256))
@@ -117,8 +116,8 @@ class _Chains:
     def phrase(self, at: int, n: int) -> bytes:
         return b" ".join([self.words[i] for i in self.ids[at : at + n].tolist()])
 
-    def suffixes(self, good: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """Suffixes that begin with two frequent pairs, cut off where a pair is rare, and their counts."""
+    def suffixes(self, good: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Suffixes that begin with two frequent pairs, cut off where a pair is rare, their counts and first pairs."""
         rank = np.full(len(self.pairs) + 1, -1, np.int64)
         rank[good] = np.arange(len(good))
         chain = np.full(len(self.ids) + MOST, -1, np.int64)
@@ -127,18 +126,19 @@ class _Chains:
         width = len(good) + 1
         code = chain[start]
         for k in range(1, MOST - 1):
+            if k > 1 and width >= 1 << 20:  # three numbers won't fit 63 bits
+                whole, code = np.unique(code, return_inverse=True)
+                broken = (whole % width == 0)[code]
+            else:
+                broken = (code % width == 0) & (k > 1)
             # Once broken, a chain stays so.
-            step = np.where(code % width > 0, chain[start + k] + 1, 0) if k > 1 else chain[start + k] + 1
-            _, dense = np.unique(code, return_inverse=True)
-            code = dense * width + step
+            code = code * width + np.where(broken, 0, chain[start + k] + 1)
         _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        out = []
-        for at in start[first].tolist():
-            n = 3
-            while n < MOST and chain[at + n - 1] >= 0:
-                n += 1
-            out.append(self.phrase(at, n))
-        return out, counts
+        first = start[first]
+        size = np.full(len(first), 3)
+        for k in range(3, MOST):
+            size[(size == k) & (chain[first + k - 1] >= 0)] = k + 1
+        return [self.phrase(at, n) for at, n in zip(first.tolist(), size.tolist())], counts, chain[first]
 
 
 def _chains(table: pa.Table, known: pa.Table) -> Iterator[tuple[str, _Chains]]:
@@ -149,10 +149,11 @@ def _chains(table: pa.Table, known: pa.Table) -> Iterator[tuple[str, _Chains]]:
         yield lang, _Chains(lang, texts, sorted(words.get(lang, [])))
 
 
-def counted(docs: DataFrame, least: int) -> DataFrame:
-    """``lang, phrase, n``: frequent words and pairs, and every suffix of three words or more, with counts to be summed."""
+def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
+    """``lang, phrase, f`` of every phrase that occurs ``least`` times or more, single words included."""
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     many = max(1, math.ceil((size or 0) / SPLIT_BYTES), math.ceil(rows / 100_000))
+    groups = max(1, math.ceil((size or 0) / GROUP_BYTES))
     # Equal texts fall on different splits, by the stretch of rows they stand in.
     salt = F.shiftright(F.monotonically_increasing_id(), 6)
     source = docs.select(
@@ -172,83 +173,54 @@ def counted(docs: DataFrame, least: int) -> DataFrame:
         return pa.table({"split": split, "pair": keys, "n": np.concatenate(counts).astype(np.int64)})
 
     def tell_suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
-        names = ["lang", "phrase", "n"]
-        parts = [pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], names=names)]
+        kinds = {"group": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "n": pa.int64(), "deep": pa.bool_()}
+        parts = [pa.table({c: pa.array([], t) for c, t in kinds.items()})]
 
-        def add(lang: str, phrases: list[bytes], counts: np.ndarray) -> None:
-            columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())]
-            parts.append(pa.table([*columns, pa.array(counts.astype(np.int64))], names=names))
+        def add(group, lang: str, phrases: list[bytes], counts: np.ndarray, deep) -> None:
+            texts = pa.array(phrases, pa.binary()).cast(pa.string())
+            columns = [pa.array(group), pa.array([lang] * len(phrases), pa.string()), texts, pa.array(counts.astype(np.int64)), pa.array(deep)]
+            parts.append(pa.table(columns, names=list(kinds)))
 
         if not table.num_rows:
             return parts[0]
         is_word = pc.is_valid(told["word"])
         known, pairs = told.filter(is_word), told.filter(pc.invert(is_word))
-        # Of a word or pair, one split tells the total.
-        mine = known.filter(known["own"])
+        # Of a word or pair, one split tells the total; they are complete and go to any group.
+        mine = known.filter(pc.is_valid(known["total"]))
         for lang in set(mine["lang"].to_pylist()):
             own = mine.filter(pc.equal(mine["lang"], lang))
-            add(lang, [w.encode() for w in own["word"].to_pylist()], own["total"].to_numpy())
-        keys, totals, own = (pairs[c].to_numpy(zero_copy_only=False) if pairs.num_rows else np.empty(0, np.int64) for c in ("pair", "total", "own"))
+            n = own.num_rows
+            add(np.arange(n) % groups, lang, [w.encode() for w in own["word"].to_pylist()], own["total"].to_numpy(), np.zeros(n, bool))
+        keys = pairs["pair"].to_numpy() if pairs.num_rows else np.empty(0, np.int64)
+        totals = pc.fill_null(pairs["total"], 0).to_numpy() if pairs.num_rows else keys
+        large = pairs["large"].to_numpy(zero_copy_only=False).astype(bool) if pairs.num_rows else np.empty(0, bool)
         for lang, chains in _chains(table, known):
             here = np.isin(keys, chains.keys)
-            good = chains.ranks(keys[here])
-            told_here = own[here].astype(bool)
-            add(lang, [chains.phrase(at, 2) for at in chains.first[good[told_here]].tolist()], totals[here][told_here])
-            add(lang, *chains.suffixes(good))
+            good, hashes, total, heavy = chains.ranks(keys[here]), keys[here], totals[here], large[here]
+            phrases = [chains.phrase(at, 2) for at in chains.first[good[total > 0]].tolist()]
+            add(np.arange(len(phrases)) % groups, lang, phrases, total[total > 0], np.zeros(len(phrases), bool))
+            phrases, counts, prefix = chains.suffixes(good)
+            group = hashes[prefix] % groups
+            deep = heavy[prefix]
+            for i in np.flatnonzero(deep).tolist():
+                group[i] = xxhash.xxh3_64_intdigest(phrases[i]) % groups
+            add(group, lang, phrases, counts, deep)
         return pa.concat_tables(parts)
 
-    told = source.groupBy("split").applyInArrow(_tell_words, "split int, lang string, word string, n long")
-
-    def frequent(rows: DataFrame, *by: str) -> DataFrame:
-        over = Window.partitionBy(*by)
-        owned = rows.withColumn("total", F.sum("n").over(over)).withColumn("own", F.col("split") == F.max("split").over(over))
-        return owned.where(F.col("total") >= least).select("split", *by, "total", "own")
-
-    words = frequent(told, "lang", "word")
-    pairs = source.groupBy("split").cogroup(words.groupBy("split")).applyInArrow(tell_pairs, "split int, pair long, n long")
-    pairs = frequent(pairs, "pair")
-    none = F.lit(None)
-    both = words.withColumn("pair", none.cast("long")).unionByName(
-        pairs.select("split", none.cast("string").alias("lang"), none.cast("string").alias("word"), "total", "own", "pair")
-    )
-    return source.groupBy("split").cogroup(both.groupBy("split")).applyInArrow(tell_suffixes, "lang string, phrase string, n long")
-
-
-def _prefix(words: int):
-    return F.substring_index("phrase", " ", words)
-
-
-def frequencies(leaves: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
-    """``lang, phrase, f`` of every phrase of three to MOST words that occurs ``least`` times or more.
-
-    ``leaves`` holds distinct suffixes ``lang, phrase, n``. A prefix of two words with more leaves than the
-    budget is extended to three, and if need be to four, where it is a leaf.
-    """
-    all_ = leaves.count()
-    many = max(1, math.ceil(all_ / budget))
-    room = max(budget, math.ceil(all_ / _HEAVY))  # so at most _HEAVY prefixes are above it
-    placed = leaves.withColumn("prefix", _prefix(2)).withColumn("depth", F.lit(2))
-    for depth in range(2, MOST):
-        open_ = placed.where(F.col("depth") == depth)
-        heavy = open_.groupBy("lang", "prefix").count().where(F.col("count") > room).select("lang", "prefix", F.lit(True).alias("heavy"))
-        heavy = leaves.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
-        placed = (
-            placed.join(F.broadcast(heavy), ["lang", "prefix"], "left")
-            .withColumn("depth", F.when(F.col("heavy"), depth + 1).otherwise(F.col("depth")))
-            .withColumn("prefix", F.when(F.col("heavy"), _prefix(depth + 1)).otherwise(F.col("prefix")))
-            .drop("heavy")
-        )
-
     def subtree(table: pa.Table) -> pa.Table:
-        """Totals of a group's nodes. Those above a group's prefix are parts of a total and always told."""
+        """Totals of a group's nodes that may be frequent. A node whose leaves are in several groups tells its part."""
         totals: dict[tuple[str, str], int] = {}
         shared = set()
-        for lang, phrase, n, depth in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "n", "depth"))):
-            words = phrase.split(" ")
-            for k in range(3, len(words) + 1):
-                node = (lang, " ".join(words[:k]))
+        for lang, phrase, n, deep in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "n", "deep"))):
+            node = (lang, phrase)
+            totals[node] = totals.get(node, 0) + n
+            if deep:
+                shared.add(node)
+            for _ in range(phrase.count(" ") - 2):
+                phrase = phrase[: phrase.rindex(" ")]
+                node = (lang, phrase)
                 totals[node] = totals.get(node, 0) + n
-                if k < depth:
+                if deep:
                     shared.add(node)
         kept = [(node, f) for node, f in totals.items() if f >= least or node in shared]
         return pa.table(
@@ -259,10 +231,25 @@ def frequencies(leaves: DataFrame, least: int, budget: int = LEAVES) -> DataFram
             }
         )
 
-    grouped = placed.select(
-        F.pmod(F.xxhash64("lang", "prefix"), F.lit(many)).alias("group"), "lang", "phrase", "n", "depth"
-    ).groupBy("group")
-    nodes = grouped.applyInArrow(subtree, "lang string, phrase string, f long")
+    told = source.groupBy("split").applyInArrow(_tell_words, "split int, lang string, word string, n long")
+
+    def frequent(rows: DataFrame, *by: str) -> DataFrame:
+        over = Window.partitionBy(*by)
+        summed = rows.withColumn("sum", F.sum("n").over(over)).withColumn("last", F.max("split").over(over))
+        total = F.when(F.col("split") == F.col("last"), F.col("sum")).alias("total")
+        return summed.where(F.col("sum") >= least).select("split", *by, total, (F.col("sum") > budget).alias("large"))
+
+    words = frequent(told, "lang", "word").drop("large")
+    pairs = source.groupBy("split").cogroup(words.groupBy("split")).applyInArrow(tell_pairs, "split int, pair long, n long")
+    pairs = frequent(pairs, "pair")
+    none = F.lit(None)
+    both = words.select("*", none.cast("long").alias("pair"), none.cast("boolean").alias("large")).unionByName(
+        pairs.select("*", none.cast("string").alias("lang"), none.cast("string").alias("word"))
+    )
+    suffixes = source.groupBy("split").cogroup(both.groupBy("split")).applyInArrow(
+        tell_suffixes, "group long, lang string, phrase string, n long, deep boolean"
+    )
+    nodes = suffixes.groupBy("group").applyInArrow(subtree, "lang string, phrase string, f long")
     return nodes.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
@@ -279,12 +266,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int
     A null lang is ``und``, a null text is empty; rows that repeat count each time; a phrase may
     hold a word twice, and overlapping occurrences all count. Other columns are ignored. No documents give no rows.
     """
-    leaves = counted(docs.select("lang", "text"), least)
-    # The words of a language are told without what is rare, so they are counted apart.
-    leaves = stage(leaves.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "phrase-suffixes")
-    short = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) < 2
-    known = leaves.where(short).select("lang", "phrase", F.col("n").alias("f"))
-    phrases = stage(frequencies(leaves.where(~short), least).unionByName(known), "phrases")
+    phrases = stage(counted(docs.select("lang", "text"), least), "phrases")
     separators = r"[^\x20\x09-\x0D.,;:!?]+"
     sizes = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),

@@ -142,16 +142,20 @@ def sample(docs: DataFrame) -> DataFrame:
     """``lang, text``: labelled texts of each language, TEXT_BYTES together, those of least hash.
 
     Equal texts count once. Texts are taken whole while they fit; a language of which none
-    fits gives its shortest. Hashes and sizes alone are ordered; only texts taken are fetched.
+    fits gives its shortest. Hashes and sizes alone are ordered, and of these only a share of least
+    hashes, some 8 ROWS a language however many it has; only texts taken are fetched.
     """
     key = F.xxhash64("text")
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = labelled.groupBy("lang", key.alias("hash")).agg(F.max(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("n"))
-    common = sizes.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    names = [r.lang for r in common.collect()]
+    common = sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    common = common.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    names = [r.lang for r in common]
     budget = min(TEXT_BYTES, ALL_BYTES // max(1, len(names)))
-    few = sizes.where(F.col("lang").isin(names))
-    by_hash = F.row_number().over(Window.partitionBy("lang").orderBy(F.abs("hash"), "hash"))
+    share = docs.sparkSession.createDataFrame([(r.lang, 8 * ROWS * 2**32 // r.texts) for r in common], "lang string, under long")
+    place = F.pmod("hash", F.lit(1 << 32))
+    few = sizes.join(F.broadcast(share), "lang").where(place < F.col("under"))
+    by_hash = F.row_number().over(Window.partitionBy("lang").orderBy(place, "hash"))
     taken: dict[str, list[int]] = {}
     left = dict.fromkeys(names, budget)
     shortest: dict[str, tuple[int, int]] = {}

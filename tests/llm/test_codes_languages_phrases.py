@@ -228,8 +228,9 @@ def test_collocations_equal_plain_counting(chatter, monkeypatch, least, top, bud
     rows, frame = chatter
     monkeypatch.setattr(collocations, "SPLIT_BYTES", split)
     monkeypatch.setattr(collocations, "_CHUNK", 64)
-    real = collocations.frequencies
-    monkeypatch.setattr(collocations, "frequencies", lambda leaves, least: real(leaves, least, budget))
+    monkeypatch.setattr(collocations, "GROUP_BYTES", split)
+    real = collocations.counted
+    monkeypatch.setattr(collocations, "counted", lambda docs, least: real(docs, least, budget))
     got = collocations.collocations(frame.repartition(6), least, top)
     got = sorted(tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
     assert got == plain_collocations(rows, least, top, 80) and len(got) > 20
