@@ -16,6 +16,7 @@ fills the corpus is one row per split.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -90,22 +91,39 @@ def _tell_words(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts)
 
 
+class _Numbers(dict):
+    """Word to its number if it is frequent, else -1; numbers go by first appearance."""
+
+    def __init__(self, lang: str, known: set[int]):
+        self.seed = zlib.crc32(lang.encode() + b"\0")
+        self.known = known
+        self.words: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = -1
+        if word != _END and zlib.crc32(word, self.seed) in self.known:
+            number = len(self.words)
+            self.words.append(word)
+        self[word] = number
+        return number
+
+
 class _Chains:
     """A language's texts within a split, as numbers of frequent words; all else is a gap (-1)."""
 
-    def __init__(self, lang: str, texts: list[bytes], known: list[bytes]):
-        self.words = known
-        number = dict(zip(known, range(len(known))))
-        parts = [np.fromiter((number.get(w, -1) for w in found), np.int32, len(found)) for found in tokens(texts)]
+    def __init__(self, lang: str, texts: list[bytes], known: set[int]):
+        numbers = _Numbers(lang, known)
+        parts = [np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)) for found in tokens(texts)]
+        self.words = words = numbers.words
         self.ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
         first, second = self.ids[:-1].astype(np.int64), self.ids[1:].astype(np.int64)
         self.at = np.flatnonzero((first >= 0) & (second >= 0))
-        pairs = first[self.at] * max(1, len(known)) + second[self.at]
+        pairs = first[self.at] * max(1, len(words)) + second[self.at]
         self.pairs, first, self.pair_of, self.counts = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
         self.first = self.at[first]
         seed = xxhash.xxh3_64_intdigest(lang.encode())
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in known), np.uint64, len(known))
-        a, b = self.pairs // max(1, len(known)), self.pairs % max(1, len(known))
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        a, b = self.pairs // max(1, len(words)), self.pairs % max(1, len(words))
         self.keys = signed(mix(mix(hashes[a]) + hashes[b]))
 
     def ranks(self, frequent: np.ndarray) -> np.ndarray:
@@ -142,11 +160,9 @@ class _Chains:
 
 
 def _chains(table: pa.Table, known: pa.Table) -> Iterator[tuple[str, _Chains]]:
-    words: dict[str, list[bytes]] = {}
-    for lang, word in zip(known["lang"].to_pylist(), known["word"].to_pylist()):
-        words.setdefault(lang, []).append(word.encode())
+    keys = set(known["key"].to_pylist())
     for lang, texts in _by_language(table).items():
-        yield lang, _Chains(lang, texts, sorted(words.get(lang, [])))
+        yield lang, _Chains(lang, texts, keys)
 
 
 def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
@@ -183,7 +199,7 @@ def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
 
         if not table.num_rows:
             return parts[0]
-        is_word = pc.is_valid(told["word"])
+        is_word = pc.is_valid(told["key"])
         known, pairs = told.filter(is_word), told.filter(pc.invert(is_word))
         # Of a word or pair, one split tells the total; they are complete and go to any group.
         mine = known.filter(pc.is_valid(known["total"]))
@@ -239,12 +255,20 @@ def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
         total = F.when(F.col("split") == F.col("last"), F.col("sum")).alias("total")
         return summed.where(F.col("sum") >= least).select("split", *by, total, (F.col("sum") > budget).alias("large"))
 
-    words = frequent(told, "lang", "word").drop("large")
+    # A split is told its frequent words by 32 bits of each. If a rare word shares these, its pairs and phrases
+    # are looked at too, and found to be rare.
+    words = frequent(told, "lang", "word").select(
+        "split",
+        F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.encode("word", "UTF-8"))).alias("key"),
+        "total",
+        F.when(F.col("total").isNotNull(), F.col("lang")).alias("lang"),
+        F.when(F.col("total").isNotNull(), F.col("word")).alias("word"),
+    )
     pairs = source.groupBy("split").cogroup(words.groupBy("split")).applyInArrow(tell_pairs, "split int, pair long, n long")
     pairs = frequent(pairs, "pair")
     none = F.lit(None)
     both = words.select("*", none.cast("long").alias("pair"), none.cast("boolean").alias("large")).unionByName(
-        pairs.select("*", none.cast("string").alias("lang"), none.cast("string").alias("word"))
+        pairs.select("*", none.cast("long").alias("key"), none.cast("string").alias("lang"), none.cast("string").alias("word"))
     )
     suffixes = source.groupBy("split").cogroup(both.groupBy("split")).applyInArrow(
         tell_suffixes, "group long, lang string, phrase string, n long, deep boolean"
