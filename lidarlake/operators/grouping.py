@@ -34,8 +34,10 @@ SPLIT_ROWS = 1_000_000
 # A list of heavy groups is broadcast up to so many rows, and joined by shuffle beyond.
 HEAVY_LIMIT = 100_000
 
-# Laying out along a place: cells of the place told apart, and rows of a task.
+# Laying out along a place: cells of the place told apart at first, bits by which a cell too heavy for
+# one task is refined, and rows of a task.
 PLACE_CELLS = 50_000
+REFINE_BITS = 6
 FEWEST_ROWS = 20_000
 MOST_ROWS = 5_000_000
 
@@ -134,41 +136,81 @@ def _place_sums(placed: DataFrame) -> tuple[int, list[tuple[int, int]]]:
     return shift, sorted(map(tuple, sums))
 
 
+class Stretches:
+    """Consecutive stretches of a place, of about equal weight, one per task.
+
+    ``placed`` has ``_at``, the place, and ``_n``, a weight. Weights are gathered into at most PLACE_CELLS cells of
+    equal length. A cell heavier than a task's share is cut into smaller ones, and these again, as in
+    a quadtree, so a task always owns one stretch; only what is all in one place is shared
+    by several. No more than a task's number of cells can be too heavy, so what the driver
+    gathers is bounded by PLACE_CELLS and 64 cells a task and step.
+    """
+
+    def __init__(self, placed: DataFrame, parts: int | None = None):
+        spark = placed.sparkSession
+        shift, sums = _place_sums(placed)
+        rows = sum(n for _, n in sums)
+        wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.parts = parts or max(1, min(wanted, rows // FEWEST_ROWS), rows // MOST_ROWS)
+        levels = [(shift, sums)]
+        cut: list[set[int]] = []
+        while True:
+            shift, sums = levels[-1]
+            heavy = {at for at, n in sums if n * self.parts > rows} if shift else set()
+            cut.append(heavy)
+            if not heavy:
+                break
+            finer = max(0, shift - REFINE_BITS)
+            inside = spark.createDataFrame([(at,) for at in sorted(heavy)], "_cell long")
+            known = placed.withColumn("_cell", F.shiftright("_at", shift)).join(F.broadcast(inside), "_cell", "left_semi")
+            found = known.groupBy(F.shiftright("_at", finer)).agg(F.sum("_n")).collect()
+            levels.append((finer, sorted(map(tuple, found))))
+        # Along the place: each cell that is not cut takes its share of the tasks.
+        leaves = sorted((at << s, i, at, n) for i, (s, sums) in enumerate(levels) for at, n in sums if at not in cut[i])
+        tasks: list[list[tuple[int, int | None, int | None]]] = [[(at, None, None) for at in sorted(c)] for c in cut]
+        before = 0
+        for _, i, at, n in leaves:
+            first, end = (k * self.parts // rows for k in (before, before + n))
+            tasks[i].append((at, first, max(end - first, 1)))
+            before += n
+        self.levels = []
+        types = {"_cell": pa.int64(), "_first": pa.int32(), "_tasks": pa.int32()}
+        for (s, _), told in zip(levels, tasks):
+            columns = zip(*told, strict=True) if told else ((), (), ())
+            arrays = [pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)]
+            self.levels.append((s, spark.createDataFrame(pa.table(arrays, list(types)))))
+
+    def send(self, df: DataFrame, scatter: Column) -> DataFrame:
+        """``df``, which has ``_at``, dealt to the tasks as ``_part``; ``scatter`` shares one place out."""
+        names = df.columns
+        first, tasks = [], []
+        for i, (shift, told) in enumerate(self.levels):
+            told = told.toDF(f"_cell{i}", f"_first{i}", f"_tasks{i}")
+            df = df.withColumn(f"_cell{i}", F.shiftright("_at", shift)).join(F.broadcast(told), f"_cell{i}", "left")
+            # A cell that was cut has no task of its own: the finer level tells.
+            first.append(F.col(f"_first{i}"))
+            tasks.append(F.col(f"_tasks{i}"))
+        # A row that came after the count may belong to no known cell.
+        part = F.coalesce(*first, F.lit(0)) + F.pmod(scatter, F.coalesce(*tasks, F.lit(1))).cast("int")
+        return df.select(*names, part.alias("_part")).repartitionById(self.parts, "_part")
+
+
 class _SpreadAlong(_Spread):
     """The same, but tasks take consecutive stretches of a ``place``.
 
-    The stretches come from the counted sizes of the groups, gathered into at most
-    PLACE_CELLS cells of equal length; a range partitioner would read all points once
-    more to draw its sample. A cell with the rows of several tasks goes to that many.
+    The stretches come from the counted sizes of the groups; a range partitioner would read all
+    points once more to draw its sample.
     """
 
     by = ("_part", "_at", "_g")
 
     def __init__(self, sizes: DataFrame, place: Column):
         self.place = F.coalesce(place.cast("long"), F.lit(-1).cast("long"))
-        self.shift, sums = _place_sums(sizes.select(self.place.alias("_at"), "_n"))
-        rows = sum(n for _, n in sums)
-        wanted = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.parts = max(1, min(wanted, rows // FEWEST_ROWS), rows // MOST_ROWS)
-        stretches, before = [], 0
-        for at, n in sums:
-            first, end = (k * self.parts // rows for k in (before, before + n))
-            stretches.append((at, first, max(end - first, 1)))
-            before += n
-        types = {"_cell": pa.int64(), "_first": pa.int32(), "_tasks": pa.int32()}
-        columns = zip(*stretches, strict=True) if stretches else ((), (), ())
-        arrays = [pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)]
-        table = pa.table(arrays, list(types))
-        self.stretches = sizes.sparkSession.createDataFrame(table)
+        self.stretches = Stretches(sizes.select(self.place.alias("_at"), "_n"))
 
     def send(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
-        cell = F.shiftright("_at", self.shift)
-        placed = self.hashed(df, names).withColumn("_at", self.place).withColumn("_cell", cell)
-        # A row that came after the count belongs to no known cell.
-        tasks = F.coalesce("_tasks", F.lit(1))
-        part = F.coalesce("_first", F.lit(0)) + F.pmod(F.col("_g"), tasks).cast("int")
-        sent = placed.join(F.broadcast(self.stretches), "_cell", "left").withColumn("_part", part)
-        return sent.drop("_cell", "_first", "_tasks").repartitionById(self.parts, "_part")
+        placed = self.hashed(df, names).withColumn("_at", self.place)
+        return self.stretches.send(placed, F.col("_g"))
 
 
 def _chunked(
@@ -329,6 +371,36 @@ def multiscale_stats(
     return keyed.groupBy("lvl", *names).agg(*merged)
 
 
+def multiscale_patches(
+    points: DataFrame, scales: Sequence[Key], threshold: int, max_points: int = MAX_POINTS, **options
+) -> DataFrame:
+    """Patches on any number of scales, finest first: ``lvl`` 0, 1, … before the key columns.
+
+    A group of ``threshold`` points or more is a patch of its scale; the points of all others go on to
+    the next one, and the last takes what is left. Points are shuffled once, for the finest scale; then only
+    those of sparse groups move again, out of the patches already built.
+    """
+    if threshold > max_points:
+        raise ValueError("a patch must be able to hold threshold points")
+    names = key_names(points, scales[0])
+    levels, rest = [], points
+    for lvl, key in enumerate(scales):
+        if key_names(points, key) != names:
+            raise ValueError("all scales must name their key columns alike")
+        built = build_patches(rest, key, max_points=max_points, **options)
+        tag = ["pcid"] if "pcid" in built.columns else []
+        order = [*tag, F.lit(lvl).alias("lvl"), *[c for c in built.columns if c not in tag]]
+        if lvl == len(scales) - 1:
+            levels.append(built.select(*order))
+            break
+        built = stage(built, f"scale-{lvl}")
+        # A group of several patches has more than max_points.
+        dense = (F.col("chunk") > 0) | (F.col("n") >= threshold)
+        levels.append(built.where(dense).select(*order))
+        rest = explode_patches(built.where(~dense), options.get("dims") or points.columns)
+    return _union(levels)
+
+
 def multiscale_points(
     points: DataFrame,
     fine: Key,

@@ -6,10 +6,15 @@ box, so it touches two cells per dimension at most. Two boxes can only meet in a
 cell of the coarser of their levels: that is an equality join, with no pair outside
 a shared cell. A pair that shares several cells is kept in the one that holds the
 low corner of the overlap, so nothing has to be made distinct afterwards.
+
+The join has two phases. Pairs are found from keys and ranges alone, and written. Then the arrays of
+the patches in these pairs are fetched once. The scans of both phases are pruned by a few hulls that
+together cover all that is asked for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +30,13 @@ _EDGE = 2.0**61
 # Largest number of rows (ids and box corners only) sent to every executor.
 BROADCAST_ROWS = 200_000
 
+# Quantiles in all that the areas are merged by for the scan of the patches. In each dimension areas far
+# from most others, by so many quartile distances, are kept apart from them.
+HULLS = 16
+_FAR = (1e1, 1e3, 1e6)
+
 Sides = Sequence[tuple[str, str]]
+Boxes = list[list[tuple[float, float]]]
 
 
 def _on_grid(value: Column) -> Column:
@@ -91,14 +102,8 @@ def box_join(
     left = _proper(patches, patch_sides).withColumn("_lp", _level(patch_sides))
     right = _proper(areas, area_sides).withColumn("_la", _level(area_sides))
     # At most 83 levels exist, so these lists are short.
-    ends = [f(c).alias(c) for lo, hi in area_sides for f, c in ((F.min, lo), (F.max, hi))]
-    per_level = right.groupBy("_la").agg(F.count(F.lit(1)).alias("count"), *ends).collect()
+    per_level = right.groupBy("_la").agg(F.count(F.lit(1)).alias("count")).collect()
     in_right = [r["_la"] for r in per_level]
-    for (p_lo, p_hi), (a_lo, a_hi) in zip(patch_sides, area_sides, strict=True):
-        # Outside all areas nothing can match; these tests reach the scan of the patches.
-        if per_level:
-            left = left.where(F.col(p_lo) <= max(r[a_hi] for r in per_level))
-            left = left.where(F.col(p_hi) >= min(r[a_lo] for r in per_level))
     in_left = [r[0] for r in left.select("_lp").distinct().collect()] if per_level else []
     joined_columns = [*patches.columns, *areas.columns]
     if not in_left or not in_right:
@@ -183,9 +188,87 @@ def _heavy_keys(
     return heavy, heavy.count()
 
 
-def _narrow(patches: DataFrame, dims: Sequence[str], keep: Sequence[str], sides: Sides) -> DataFrame:
-    ends = [c for side in sides for c in side]
-    return patches.select(*dict.fromkeys([*patch_keys(patches), *keep, *ends, *dims]))
+def hulls(areas: DataFrame, sides: Sides, most: int = HULLS) -> Boxes:
+    """A few boxes, one list of ends per side, that together cover the boxes of ``areas``.
+
+    Areas are gathered by where their middle lies among the quantiles of all, outliers and the
+    largest apart from the rest, so that these don't swell every hull: twice ``most`` boxes, and more only
+    for outliers, whose classes are few too. In one dimension, boxes that overlap are merged.
+    """
+    proper = _proper(areas, sides)
+    middles = [(_on_grid(F.col(lo)) + _on_grid(F.col(hi))) / 2 for lo, hi in sides]
+    extents = [_on_grid(F.col(hi)) - _on_grid(F.col(lo)) for lo, hi in sides]
+    bins = max(2, math.floor(most ** (1 / len(sides))))
+    steps = [0.25, 0.75, *[i / bins for i in range(1, bins)]]
+    asked = [F.percentile_approx(m, steps).alias(f"m{i}") for i, m in enumerate(middles)]
+    asked += [F.percentile_approx(e, 0.9).alias(f"e{i}") for i, e in enumerate(extents)]
+    known = proper.agg(*asked).first()
+    place = []
+    for i, (middle, extent) in enumerate(zip(middles, extents)):
+        low, high, *cuts = known[f"m{i}"] or [0.0, 0.0, 0.0]
+        away = [max(high - low, 1e-9 * (1 + abs(low) + abs(high))) * f for f in _FAR]
+        cuts = sorted({*cuts, *[low - a for a in away], *[high + a for a in away]})
+        place.append(sum(((middle > c).cast("int") for c in cuts), F.lit(0)).alias(f"b{i}"))
+        place.append((extent > F.lit(known[f"e{i}"])).alias(f"l{i}"))
+    large = F.lit(False)
+    for i in range(len(sides)):
+        large = large | F.col(f"l{i}")
+    ends = [f(c).cast("double").alias(c) for lo, hi in sides for f, c in ((F.min, lo), (F.max, hi))]
+    placed = proper.select(*[c for side in sides for c in side], *place).withColumn("large", large)
+    rows = placed.groupBy(*[f"b{i}" for i in range(len(sides))], "large").agg(*ends).collect()
+    boxes = sorted([(r[lo], r[hi]) for lo, hi in sides] for r in rows)
+    if len(sides) > 1:
+        return boxes
+    merged: Boxes = []
+    for ((lo, hi),) in boxes:
+        if merged and lo <= merged[-1][0][1]:
+            merged[-1] = [(merged[-1][0][0], max(hi, merged[-1][0][1]))]
+        else:
+            merged.append([(lo, hi)])
+    return merged
+
+
+def in_hulls(boxes: Boxes, patch_sides: Sides) -> Column:
+    """Patches whose box meets one of the hulls: comparisons that reach the Parquet scan."""
+    test = F.lit(False)
+    for box in boxes:
+        meets = F.lit(True)
+        for (p_lo, p_hi), (lo, hi) in zip(patch_sides, box, strict=True):
+            meets = meets & (F.col(p_lo) <= F.lit(hi)) & (F.col(p_hi) >= F.lit(lo))
+        test = test | meets
+    return test
+
+
+def _asked_points(
+    patches: DataFrame,
+    patch_sides: Sides,
+    areas: DataFrame,
+    area_sides: Sides,
+    dims: Sequence[str],
+    keep: Sequence[str],
+    broadcast_rows: int = BROADCAST_ROWS,
+    split_rows: int = SPLIT_ROWS,
+) -> DataFrame:
+    """Points of the patches whose box meets an area's, one row per pair, with the area's columns."""
+    asked = [c for c in areas.columns if c not in {e for side in area_sides for e in side}]
+    # Equal areas are looked for once and told as often as they were asked for.
+    areas = areas.groupBy(*areas.columns).agg(F.count(F.lit(1)).alias("_times"))
+    near = patches.where(in_hulls(hulls(areas, area_sides), patch_sides))
+    names = patch_keys(patches)
+    ends = [c for side in patch_sides for c in side]
+    narrow = near.select(*dict.fromkeys([*names, *ends]))
+    pairs = box_join(narrow, patch_sides, areas, area_sides, broadcast_rows, split_rows)
+    # Patches added to a table one by one may share a key; each then gets the areas of all.
+    linked = pairs.select(*[F.col(n).alias(f"_k_{n}") for n in names], *asked, "_times").distinct()
+    links = stage(linked, "area-pairs")
+    count = links.count()
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"_k_{name}"))
+    wanted = near.select(*dict.fromkeys([*names, *keep, *dims]))
+    fetched = wanted.join(F.broadcast(links) if count <= broadcast_rows else links.hint("merge"), same)
+    repeated = fetched.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    return explode_patches(repeated, dims, [*asked, *keep])
 
 
 def area_points(
@@ -211,14 +294,7 @@ def area_points(
     )
     needed = list(dict.fromkeys([*dims, "x", "y"]))
     patch_sides = [("x_min", "x_max"), ("y_min", "y_max")]
-    pairs = box_join(
-        _narrow(patches, needed, keep, patch_sides),
-        patch_sides,
-        discs,
-        [("_x0", "_x1"), ("_y0", "_y1")],
-        **limits,
-    )
-    points = explode_patches(pairs, needed, ["_id", "_cx", "_cy", "_r", *keep])
+    points = _asked_points(patches, patch_sides, discs, [("_x0", "_x1"), ("_y0", "_y1")], needed, keep, **limits)
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
     inside = dx * dx + dy * dy <= F.col("_r") * F.col("_r")
     return points.where(inside).select(F.col("_id").alias(area_id), *keep, *dims)
@@ -233,16 +309,11 @@ def window_points(
     **limits,
 ) -> DataFrame:
     """Points in each time window ``[lo, hi)`` of ``windows(win_id, lo, hi)``."""
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
     spans = windows.select(
-        F.col(window_id).alias("_id"),
-        F.col("lo").cast("double").alias("_lo"),
-        F.col("hi").cast("double").alias("_hi"),
+        F.col(window_id).alias("_id"), lo.alias("_lo"), hi.alias("_hi"), lo.alias("_t0"), hi.alias("_t1")
     )
     needed = list(dict.fromkeys([*dims, "gps_time"]))
-    patch_sides = [("t_min", "t_max")]
-    pairs = box_join(
-        _narrow(patches, needed, keep, patch_sides), patch_sides, spans, [("_lo", "_hi")], **limits
-    )
-    points = explode_patches(pairs, needed, ["_id", "_lo", "_hi", *keep])
+    points = _asked_points(patches, [("t_min", "t_max")], spans, [("_t0", "_t1")], needed, keep, **limits)
     inside = (F.col("gps_time") >= F.col("_lo")) & (F.col("gps_time") < F.col("_hi"))
     return points.where(inside).select(F.col("_id").alias(window_id), *keep, *dims)

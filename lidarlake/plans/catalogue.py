@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lidarlake.functions import keys, sql
-from lidarlake.operators import grouping, ids, joins, layout, patch, perpatch, report, retrieve
+from lidarlake.operators import grouping, ids, joins, layout, patch, perpatch, polygons, report, retrieve
 from lidarlake.operators import points as pt
 from lidarlake.operators.retrieve import Ball, Box, Disc, Span
 from lidarlake.plans import stored
-from lidarlake.plans.views import areas, events, points, windows
+from lidarlake.plans.views import customer_windows, events, part_areas, points, supplier_polygons
 from lidarlake.session import fresh_path
 from lidarlake.sources import ply, registry, schemas, text
 from lidarlake.streaming.load import load_patches
@@ -22,6 +22,11 @@ from lidarlake.streaming.time_patches import bin_stats, compact, read_parts, rea
 XYZT = ["gps_time", "x", "y", "z"]
 CUBE = ["cx", "cy", "cz"]
 DISC = Disc(25.0, 5.0, 2.0)
+#: A concave outline with a hole.
+FIELD = [
+    [(5.0, 0.5), (30.0, 0.5), (30.0, 8.0), (20.0, 3.0), (5.0, 8.0)],
+    [(8.0, 1.0), (12.0, 1.0), (12.0, 3.0), (8.0, 3.0)],
+]
 ONE_WEEK = Span("gps_time", 915148800.0, 915753600.0)
 #: Milliseconds of a streamed bin, and points of a patch: busy hours have several.
 HOUR = 3_600_000
@@ -294,6 +299,23 @@ def retrieve_box(spark, sf_dir):
     return retrieve.retrieve(stored.cube_patches(spark, sf_dir), box, dims=XYZT)
 
 
+def retrieve_polygon(spark, sf_dir):
+    cubes = stored.cube_patches(spark, sf_dir)
+    return polygons.retrieve_polygon(cubes, FIELD, dims=["gps_time", "x", "y"])
+
+
+def retrieve_manifest(spark, sf_dir):
+    """A disc from the files that the table's manifest of ranges names."""
+
+    def write(path):
+        cubes = grouping.build_patches(points(spark, sf_dir), keys.cubic_metre(), dims=XYZT, pcid=2)
+        layout.write_patches(layout.cluster_by_space(cubes, files=16), path)
+        layout.write_manifest(spark, path)
+
+    path = stored.once(spark, sf_dir, "manifest", write)
+    return retrieve.retrieve(layout.read_where(spark, path, DISC), DISC, dims=XYZT)
+
+
 def retrieve_space_time(spark, sf_dir):
     echoes = Span("num_echo", 2, 4, "[]")
     cubes = stored.cube_patches(spark, sf_dir)
@@ -379,6 +401,13 @@ def multiscale_patches(spark, sf_dir):
     return exploded.select(side, *CUBE, "event_id", "gps_time")
 
 
+def multiscale_levels(spark, sf_dir):
+    """Patches on three scales: cells with fewer than five points go on to the next."""
+    scales = [keys.cell(s) for s in (0.25, 0.5, 1)]
+    built = grouping.multiscale_patches(points(spark, sf_dir), scales, 5, dims=XYZT)
+    return built.select("lvl", *CUBE, "chunk", "n", "t_min", "t_max", "y_min", "y_max")
+
+
 def group_by_file(spark, sf_dir):
     key = keys.per_file(keys.cubic_metre())
     return grouping.group_stats(points(spark, sf_dir), key, stats=())
@@ -472,15 +501,41 @@ def cluster_time(spark, sf_dir):
 # Joins, streams, user functions
 
 
+def _area_counts(spark, sf_dir, **limits):
+    found = joins.area_points(stored.cube_patches(spark, sf_dir), part_areas(spark, sf_dir), ["gps_time"], **limits)
+    return found.groupBy("area_id").agg(F.count(F.lit(1)).alias("n"), F.max("gps_time").alias("t_max"))
+
+
 def area_join(spark, sf_dir):
-    found = joins.area_points(stored.cube_patches(spark, sf_dir), areas(spark), dims=["x"])
-    return found.groupBy("area_id").agg(F.count(F.lit(1)).alias("n"))
+    """Points in the disc of each part."""
+    return _area_counts(spark, sf_dir)
 
 
-def time_window_join(spark, sf_dir):
+def area_join_shuffled(spark, sf_dir):
+    """The same with areas too many to send to every task, and heavy cells cut into blocks."""
+    return _area_counts(spark, sf_dir, broadcast_rows=0, split_rows=500)
+
+
+def polygon_join(spark, sf_dir):
+    """Points in the polygon of each supplier."""
+    cubes = stored.cube_patches(spark, sf_dir)
+    found = polygons.polygon_points(cubes, supplier_polygons(spark, sf_dir), ["gps_time", "y"])
+    return found.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"), F.max("gps_time").alias("t_max"), F.min("y").alias("y_min"))
+
+
+def _window_counts(spark, sf_dir, **limits):
     weeks = stored.week_patches(spark, sf_dir)
-    found = joins.window_points(weeks, windows(spark), dims=["gps_time"])
-    return found.groupBy("win_id").agg(F.count(F.lit(1)).alias("n"))
+    found = joins.window_points(weeks, customer_windows(spark, sf_dir), ["gps_time", "x"], **limits)
+    return found.groupBy("win_id").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x_max"))
+
+
+def time_window_join(spark, sf_dir):
+    """Points in the time window of each customer."""
+    return _window_counts(spark, sf_dir)
+
+
+def time_window_join_shuffled(spark, sf_dir):
+    return _window_counts(spark, sf_dir, broadcast_rows=0, split_rows=500)
 
 
 def stream_load(spark, sf_dir):
@@ -596,6 +651,8 @@ _ALL: list[Query] = [
     retrieve_ball,
     retrieve_box,
     retrieve_tiled,
+    retrieve_polygon,
+    retrieve_manifest,
     retrieve_space_time,
     retrieve_time_space,
     retrieve_sql,
@@ -609,6 +666,7 @@ _ALL: list[Query] = [
     group_attribute,
     group_multiscale,
     multiscale_patches,
+    multiscale_levels,
     group_by_file,
     group_capped,
     group_capped_split,
@@ -625,7 +683,10 @@ _ALL: list[Query] = [
     cluster_spatial,
     cluster_time,
     area_join,
+    area_join_shuffled,
+    polygon_join,
     time_window_join,
+    time_window_join_shuffled,
     stream_load,
     stream_load_twice,
     stream_time_patches,

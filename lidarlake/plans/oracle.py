@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lidarlake.operators.grouping import MAX_POINTS
+from lidarlake.plans.views import HOLE, OUTLINE
 
 # A patch is a (group, chunk): chunks number the points of a group in their order.
 _POINT_ORDER = "gps_time, x, y, z, num_echo, fiber, echo_range, source_file"
@@ -98,6 +99,63 @@ _MULTI = """(SELECT *, count(*) OVER (PARTITION BY round(x), round(y), round(z))
 _MULTI_KEY = """if(n1>=2, round(x), 5*round(x/5)) AS cx, if(n1>=2, round(y), 5*round(y/5)) AS cy,
          if(n1>=2, round(z), 5*round(z/5)) AS cz"""
 
+_AREA_JOIN = """
+      SELECT area_id, count(*) AS n, max(gps_time) AS t_max
+      FROM (SELECT p_partkey AS area_id, p_size::DOUBLE AS cx, p_partkey % 1000 / 100.0::DOUBLE AS cy,
+                   CASE WHEN p_partkey % 400 = 0 THEN 3.0::DOUBLE ELSE p_partkey % 7 / 50.0::DOUBLE END AS r FROM part) a
+      JOIN pts p ON p.x BETWEEN cx - r - 1 AND cx + r + 1
+        AND (p.x-cx)*(p.x-cx) + (p.y-cy)*(p.y-cy) <= r*r
+      GROUP BY 1"""
+
+# Crossings of the ray to the right, and points on an edge.
+_CROSSES = "((y1 > y) <> (y2 > y) AND x < (x2-x1)*(y-y1)/(y2-y1) + x1)"
+_TOUCHES = """((x2-x1)*(y-y1) - (y2-y1)*(x-x1) = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2)
+       AND y BETWEEN least(y1, y2) AND greatest(y1, y2))"""
+
+
+def _edge_rows(rings: list) -> str:
+    """The edges of rings as rows of a VALUES list."""
+    edges = [(a, b) for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+    return ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in edges)
+
+
+_FIELD = [
+    [(5.0, 0.5), (30.0, 0.5), (30.0, 8.0), (20.0, 3.0), (5.0, 8.0)],
+    [(8.0, 1.0), (12.0, 1.0), (12.0, 3.0), (8.0, 3.0)],
+]
+
+_POLYGON_JOIN = f"""
+      SELECT poly_id, count(*) AS n, max(gps_time) AS t_max, min(y) AS y_min
+      FROM (
+        SELECT poly_id, p.r, any_value(p.gps_time) AS gps_time, any_value(p.y) AS y
+        FROM (SELECT s_suppkey AS poly_id, px, py, size, px + a*size AS x1, py + b*size AS y1, px + c*size AS x2, py + d*size AS y2
+              FROM (SELECT s_suppkey, (s_suppkey % 50)::DOUBLE AS px, s_suppkey % 21 / 2.0::DOUBLE AS py,
+                           (1 + s_suppkey % 5) / 4.0::DOUBLE AS size FROM supplier),
+                   (VALUES {_edge_rows([OUTLINE, HOLE])}) e(a, b, c, d)) g
+        JOIN (SELECT row_number() OVER () AS r, gps_time, x, y FROM pts) p
+          ON p.x BETWEEN px - size AND px + size AND p.y BETWEEN py - size AND py + size
+        GROUP BY poly_id, p.r
+        HAVING count(*) FILTER ({_CROSSES.replace(" y)", " p.y)").replace("x <", "p.x <").replace("(y-", "(p.y-")}) % 2 = 1
+            OR bool_or({_TOUCHES.replace("(y-", "(p.y-").replace("(x-", "(p.x-").replace("AND x ", "AND p.x ").replace("AND y ", "AND p.y ")}))
+      GROUP BY 1"""
+
+_SCALES = """
+      SELECT lvl, s*round(x/s) AS cx, s*round(y/s) AS cy, s*round(z/s) AS cz, 0::BIGINT AS chunk, count(*) AS n,
+             min(gps_time) AS t_min, max(gps_time) AS t_max, min(y) AS y_min, max(y) AS y_max
+      FROM (SELECT *, CASE WHEN n1 >= 5 THEN 0 WHEN n2 >= 5 THEN 1 ELSE 2 END AS lvl,
+                   CASE WHEN n1 >= 5 THEN 0.25::DOUBLE WHEN n2 >= 5 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS s
+            FROM (SELECT *, count(*) OVER (PARTITION BY n1 >= 5, round(x/0.5::DOUBLE), round(y/0.5::DOUBLE),
+                                           round(z/0.5::DOUBLE)) AS n2
+                  FROM (SELECT *, count(*) OVER (PARTITION BY round(x/0.25::DOUBLE), round(y/0.25::DOUBLE),
+                                                 round(z/0.25::DOUBLE)) AS n1 FROM pts)))
+      GROUP BY ALL"""
+
+_WINDOW_JOIN = """
+      SELECT win_id, count(*) AS n, max(x) AS x_max
+      FROM (SELECT c_custkey AS win_id, lo, lo + 86400 * if(c_custkey % 100 = 0, 700, c_custkey % 5) AS hi
+            FROM (SELECT c_custkey, 788918400 + c_custkey % 500 * 432000 AS lo FROM customer)) w
+      JOIN pts p ON p.gps_time >= w.lo AND p.gps_time < w.hi GROUP BY 1"""
+
 _QUERIES = {
     "ply_read": f"SELECT {_FILE_POINTS} FROM pts",
     "ply_selective_read": "SELECT num_echo, gps_time FROM pts",
@@ -257,16 +315,18 @@ _QUERIES = {
       SELECT tbin, chunk, count(*) AS n, min(gps_time) AS t_min, max(gps_time) AS t_max
       FROM (SELECT round(gps_time/86400) AS tbin, gps_time,
                    {_chunk("round(gps_time/86400)")} AS chunk FROM pts) GROUP BY 1, 2""",
-    "area_join": """
-      SELECT a.area_id, count(*) AS n
-      FROM (VALUES (1, 25.0, 5.0, 2.0), (2, 10.0, 1.0, 1.5), (3, 40.0, 4.0, 3.0)) a(area_id, cx, cy, r)
-      JOIN pts p ON (p.x-a.cx::DOUBLE)*(p.x-a.cx::DOUBLE) + (p.y-a.cy::DOUBLE)*(p.y-a.cy::DOUBLE)
-                 <= a.r::DOUBLE*a.r::DOUBLE
-      GROUP BY 1""",
-    "time_window_join": """
-      SELECT w.win_id, count(*) AS n
-      FROM (VALUES (1, 883612800, 915148800), (2, 915148800, 915753600), (3, 0, 1)) w(win_id, lo, hi)
-      JOIN pts p ON p.gps_time >= w.lo AND p.gps_time < w.hi GROUP BY 1""",
+    "area_join": _AREA_JOIN,
+    "area_join_shuffled": _AREA_JOIN,
+    "polygon_join": _POLYGON_JOIN,
+    "multiscale_levels": _SCALES,
+    "retrieve_manifest": f"SELECT gps_time, x, y, z FROM pts WHERE {_IN_DISC}",
+    "retrieve_polygon": f"""
+      SELECT gps_time, x, y FROM (SELECT row_number() OVER () AS r, * FROM pts),
+             (VALUES {_edge_rows(_FIELD)}) e(x1, y1, x2, y2)
+      GROUP BY r, gps_time, x, y
+      HAVING count(*) FILTER ({_CROSSES}) % 2 = 1 OR bool_or({_TOUCHES})""",
+    "time_window_join": _WINDOW_JOIN,
+    "time_window_join_shuffled": _WINDOW_JOIN,
     "stream_load": """
       SELECT round(x) AS cx, round(y) AS cy, round(z) AS cz, count(*) AS n,
              min(gps_time) AS t_min, max(gps_time) AS t_max FROM pts GROUP BY 1, 2, 3""",

@@ -51,3 +51,42 @@ def windows(spark: SparkSession) -> DataFrame:
         """SELECT * FROM VALUES (1, 883612800D, 915148800D), (2, 915148800D, 915753600D),
            (3, 0D, 1D) AS windows(win_id, lo, hi)"""
     )
+
+
+def part_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A disc for each part: most are small, a few cover much of the cloud, some are points."""
+    key = F.col("p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        key.alias("area_id"),
+        F.col("p_size").cast("double").alias("cx"),
+        (key % 1000 / F.lit(100.0)).alias("cy"),
+        F.when(key % 400 == 0, F.lit(3.0)).otherwise(key % 7 / F.lit(50.0)).alias("r"),
+    )
+
+
+#: Corners of each supplier's polygon, in units of its size around its middle: an outline with a notch, and a hole.
+OUTLINE = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (0.0, 0.0), (-1.0, 1.0)]
+HOLE = [(-0.5, -0.75), (0.5, -0.75), (0.5, -0.25), (-0.5, -0.25)]
+
+
+def supplier_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concave polygon with a hole for each supplier, of five sizes; many have corners on points."""
+    key = F.col("s_suppkey")
+    x, y, size = (key % 50).cast("double"), (key % 21) / F.lit(2.0), (1 + key % 5) / F.lit(4.0)
+
+    def ring(corners):
+        return F.array(*[F.struct((x + F.lit(a) * size).alias("x"), (y + F.lit(b) * size).alias("y")) for a, b in corners])
+
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        key.alias("poly_id"), F.array(ring(OUTLINE), ring(HOLE)).alias("rings")
+    )
+
+
+def customer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A time window for each customer: days, nested in a few windows of years; some are empty."""
+    key = F.col("c_custkey")
+    lo = F.lit(788918400) + key % 500 * 432000
+    days = F.when(key % 100 == 0, F.lit(700)).otherwise(key % 5)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        key.alias("win_id"), lo.cast("double").alias("lo"), (lo + days * 86400).cast("double").alias("hi")
+    )

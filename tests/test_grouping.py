@@ -244,3 +244,28 @@ def test_building_shuffles_points_once(cloud, capsys, max_points, place):
     plan = capsys.readouterr().out
     # The fixture's own repartition is one more.
     assert plan.count("- Exchange ") == 2
+
+
+def test_stretches_refine_heavy_cells(spark, monkeypatch):
+    """A place with most weight in one coarse cell is still cut evenly, in order, cell by cell."""
+    monkeypatch.setattr(grouping, "PLACE_CELLS", 200)
+    rng = random.Random(12)
+    at = [rng.randrange(1 << 40) for _ in range(3000)] + [(7 << 30) + rng.randrange(1 << 12) for _ in range(6000)]
+    at += [(7 << 30) + 99] * 3000 + [-1] * 200
+    df = spark.createDataFrame([(a, 1, i) for i, a in enumerate(at)], "_at long, _n long, i long").repartition(3)
+    stretches = grouping.Stretches(df.select("_at", "_n"), 24)
+    assert len(stretches.levels) > 2
+    sent = stretches.send(df, F.col("i")).select("_at", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r._at for r in sent) == sorted(at)
+    sizes = Counter(r.p for r in sent)
+    share = len(at) / 24
+    assert len(sizes) >= 22 and max(sizes.values()) < 2 * share
+    # Tasks follow each other along the place; they share nothing but the one heavy spot.
+    ends = sorted((min(r._at for r in sent if r.p == p), max(r._at for r in sent if r.p == p)) for p in sizes)
+    overlaps = [(a, b) for a, b in zip(ends, ends[1:]) if a[1] >= b[0]]
+    assert all(a[1] == b[0] == (7 << 30) + 99 or b[0] == (7 << 30) + 99 for a, b in overlaps)
+
+
+def test_nothing_to_lay_out(spark):
+    none = spark.createDataFrame([], "_at long, _n long")
+    assert grouping.Stretches(none).send(none, F.lit(0)).collect() == []

@@ -131,6 +131,56 @@ def test_layouts_keep_rows_and_order_files(spark, cubes):
     assert all(a.hi <= b.lo for a, b in zip(spans, spans[1:], strict=False))
 
 
+@pytest.mark.parametrize("how", [layout.cluster_by_space, layout.cluster_by_range])
+def test_layouts_move_arrays_once(cubes, cloud, capsys, how):
+    how(cubes, files=3).explain()
+    plan = capsys.readouterr().out
+    # The other exchanges are broadcasts of the stretches.
+    assert plan.count("- Exchange ") == 1 and "rangepartitioning" not in plan
+    assert sorted(how(cubes, files=3).collect()) == sorted(cubes.collect())
+
+
+def test_manifest_prunes_files(spark, cubes, rows, tmp_path):
+    path = str(tmp_path / "a table")
+    layout.write_patches(layout.cluster_by_space(cubes, files=8), path)
+    disc, late = Disc(1.0, 2.0, 1.5), Span("gps_time", 48.0, 49.0)
+    assert len(layout.read_where(spark, path, disc).inputFiles()) == 8  # no manifest yet
+    manifest = layout.write_manifest(spark, path)
+    assert manifest.agg(F.sum("n")).first()[0] == len(rows) and manifest.count() == 8
+    expected = sorted(retrieve(cubes, disc, late, dims=["x", "y"]).collect())
+    few = layout.read_where(spark, path, disc, late)
+    assert few.columns == cubes.columns and 0 < len(few.inputFiles()) < 6
+    assert sorted(retrieve(few, disc, late, dims=["x", "y"]).collect()) == expected
+    assert layout.read_where(spark, path, Disc(1e6, 0.0, 1.0)).count() == 0
+    assert layout.read_where(spark, path, Span("echo", 1, 2)).count() == cubes.count()
+    # What is added later is read as well, until the manifest is written again.
+    layout.write_patches(cubes.where("x_min > 900"), path, "append")
+    layout.write_patches(cubes, path, "append")
+    twice = retrieve(layout.read_where(spark, path, disc, late), disc, late, dims=["x", "y"]).collect()
+    assert sorted(twice) == sorted(2 * expected)
+    layout.write_manifest(spark, path)
+    twice = retrieve(layout.read_where(spark, path, disc, late), disc, late, dims=["x", "y"]).collect()
+    assert sorted(twice) == sorted(2 * expected)
+
+
+def test_manifest_of_a_tiled_table(spark, cubes, tmp_path):
+    path = str(tmp_path / "tiled")
+    layout.write_patches(cubes, path, tiles={"x": 4, "y": 4})
+    layout.write_manifest(spark, path)
+    box = Box(-2.0, 3.0, 0.0, 1.5)
+    got = layout.read_where(spark, path, box)
+    assert len(got.inputFiles()) < len(layout.read_patches(spark, path).inputFiles())
+    assert sorted(retrieve(got, box, dims=["x"]).collect()) == sorted(retrieve(cubes, box, dims=["x"]).collect())
+
+
+def test_tiles_have_few_files(spark, cubes, tmp_path):
+    path = str(tmp_path / "tiled")
+    layout.write_patches(cubes.repartition(16), path, tiles={"x": 8, "y": 8})
+    files = layout.read_patches(spark, path).select(F.input_file_name().alias("f")).distinct().count()
+    tiles = layout.read_patches(spark, path).select("x_tile_8_lo", "x_tile_8_hi", "y_tile_8_lo", "y_tile_8_hi").distinct().count()
+    assert files <= 2 * tiles
+
+
 def test_morton(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (-1.0, -1.0)], "x double, y double")
     numbers = [r.z for r in df.select(morton(F.col("x"), F.col("y"), 1.0).alias("z")).collect()]
@@ -212,6 +262,60 @@ def test_joins_have_no_nested_loop(spark, cubes, capsys):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_pairs_are_joined_without_arrays(spark, cubes, capsys, monkeypatch):
+    """Up to the pairs, the scan reads keys and ranges; then one scan fetches arrays, pruned by hulls."""
+    plans = []
+    real = joins.stage
+
+    def seen(df, label):
+        if label == "area-pairs":
+            capsys.readouterr()
+            df.explain()
+            plans.append(capsys.readouterr().out)
+        return real(df, label)
+
+    monkeypatch.setattr(joins, "stage", seen)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "20000")
+    _, table = discs(spark, 60, 2.0)
+    for rows in (200_000, 0):
+        points = joins.area_points(cubes, table, ["echo"], broadcast_rows=rows)
+        assert len(plans) == 1 and "array<" not in plans.pop()
+        points.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("array<int>") == 1
+        pushed = plan.split("PushedFilters")[1].split("ReadSchema")[0]
+        assert "x_min" in pushed and "Or(" in pushed
+        assert ("Exchange hashpartitioning" in plan) == (rows == 0)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_hulls_cover_all_areas_and_are_few(spark):
+    rng = random.Random(8)
+    rows = [(x := rng.gauss(0, 5), x + rng.random(), y := rng.gauss(0, 5), y + rng.random()) for _ in range(500)]
+    rows += [(1e9, 1e9 + 1, 0.0, 1.0), (-1e3, 1e3, -1e3, 1e3), (float("-inf"), 0.0, 0.0, 1.0)]
+    frame = spark.createDataFrame(rows + [(None, 1.0, 0.0, 1.0), (2.0, 1.0, 0.0, 1.0)], "x0 double, x1 double, y0 double, y1 double")
+    boxes = joins.hulls(frame, [("x0", "x1"), ("y0", "y1")])
+    assert 1 < len(boxes) <= 2 * joins.HULLS + 3
+    for x0, x1, y0, y1 in rows:
+        assert any(a <= x0 and x1 <= b and c <= y0 and y1 <= d for (a, b), (c, d) in boxes)
+    # The outliers leave the others' hulls small.
+    assert sum(b - a < 30 and d - c < 30 for (a, b), (c, d) in boxes) >= len(boxes) / 3
+    spans = joins.hulls(frame.where("x1 - x0 < 2"), [("x0", "x1")])
+    assert all(a[0][1] < b[0][0] for a, b in zip(spans, spans[1:])) and len(spans) >= 2
+    assert joins.hulls(frame.where("false"), [("x0", "x1")]) == []
+
+
+def test_equal_areas_and_patches_of_one_key(spark, cloud, rows):
+    """Areas asked for twice are answered twice; patches that share a key are told apart by their points."""
+    parts = [grouping.build_patches(cloud.where(f"echo % 2 = {i}"), keys.cell(4)) for i in (0, 1)]
+    twice = parts[0].unionByName(parts[1])
+    areas = spark.createDataFrame([(1, 0.0, 0.0, 3.0)] * 2 + [(2, 0.0, 0.0, 3.0), (3, 1.0, 1.0, -1.0), (None, 5.0, 5.0, 2.0)], "area_id int, cx double, cy double, r double")
+    got = sorted(map(str, map(tuple, joins.area_points(twice, areas, ["gps_time", "x"]).collect())))
+    near = [(p[0], p[1]) for p in rows if p[1] ** 2 + p[2] ** 2 <= 9]
+    far = [(p[0], p[1]) for p in rows if (p[1] - 5) ** 2 + (p[2] - 5) ** 2 <= 4]
+    assert got == sorted(map(str, [(i, *p) for i in (1, 1, 2) for p in near] + [(None, *p) for p in far]))
+
+
 def test_blocked_join_on_heavy_keys(spark):
     left = spark.createDataFrame([(i % 3 and 1 or i, i) for i in range(300)], "k int, a int")
     right = spark.createDataFrame([(i % 2 and 1 or i, i) for i in range(100)], "k int, b int")
