@@ -22,6 +22,8 @@ SKETCH = 24
 CONTAINMENT = 0.8
 #: Rows of templates that may be broadcast.
 MOST_TEMPLATES = 50_000
+#: Band values that texts are looked through for before windows are formed.
+LISTED_BANDS = 20_000
 #: Per class: most shingles of a template, shingles of a window, stride. A window is as long as
 #: the longest template and a stride together, less one. Longer templates are cut.
 CLASSES = ((8, 16, 8), (32, 48, 16), (128, 192, 64))
@@ -116,10 +118,15 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     keys = pieces.select(
         "template_id", "piece", "class", "shingles", F.explode(F.slice(F.array_sort("shingles"), 1, SKETCH)).alias("band")
     )
-    # One pass over the texts for all classes.
-    windows = hashed.where("_hashes is not null").select(
-        "doc_id", F.inline(F.concat(*[windows_of(kind) for kind in kinds]))
-    )
+    # One pass over the texts for all classes. A window that meets a template holds one of its band values, so
+    # texts and windows without any are left out before anything is sorted. (Beyond LISTED_BANDS the join does it.)
+    formed = F.concat(*[windows_of(kind) for kind in kinds])
+    values = [r[0] for r in keys.select("band").distinct().limit(LISTED_BANDS + 1).collect()]
+    if len(values) <= LISTED_BANDS:
+        listed = F.lit(values)
+        formed = F.filter(formed, lambda w: F.arrays_overlap(w["window"], listed))
+        formed = F.when(F.arrays_overlap("_hashes", listed), formed)
+    windows = hashed.select("doc_id", F.inline(formed))
     bands = windows.select(
         "doc_id", "class", "window", F.explode(F.slice(F.array_sort(F.array_distinct("window")), 1, SKETCH)).alias("band")
     )

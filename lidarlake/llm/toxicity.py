@@ -35,20 +35,26 @@ LEAST_DOCUMENTS = 3
 TRUST = 0.97
 _WORD = re.compile(r"\w+")
 _BEGINNINGS = (3, 4, 5, 6)
+#: Words that a task remembers the terms of.
+_KNOWN_WORDS = 100_000
 
 
 def _hash(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term) >> 1
 
 
-class _Terms(dict):
+def _terms_of(word: str) -> list[int]:
     """A word's terms as hashes: the word, and its beginnings marked as such."""
+    return [_hash(t) for t in (word, *[word[:n] + "\n" for n in _BEGINNINGS if len(word) >= n])]
+
+
+class _Terms(dict):
+    """The same, remembering a bounded number of words."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
+        if len(self) >= _KNOWN_WORDS:
             self.clear()
-        own = [word, *[word[:n] + "\n" for n in _BEGINNINGS if len(word) >= n]]
-        value = self[word] = tuple(map(_hash, own))
+        value = self[word] = tuple(_terms_of(word))
         return value
 
 
@@ -56,10 +62,18 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def capitals(text: str) -> int:
+    """Characters of the whole text that change when it is lower-cased."""
+    lower = text.lower()
+    if len(lower) != len(text):  # a few letters become two
+        return sum(c != c.lower() for c in text)
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (text, lower)]
+    return int(np.count_nonzero(codes[0] != codes[1]))
+
+
 def _pattern_votes(text: str, hits: int, words: int) -> list[float]:
     """Pattern voters: shouting, exclamation, several terms, terms often for the length."""
-    letters = max(1, len(text))
-    upper = sum(1 for c in text[::7] if c.isupper()) * 7 / letters
+    upper = capitals(text) / max(1, len(text))
     return [
         float(upper > 0.3),
         float(text.count("!") > words / 20 + 1),
@@ -79,7 +93,7 @@ class Model:
     terms: dict[int, int]
     weights: np.ndarray
 
-    def features(self, text: str | None, known: dict[str, list[int]], pieces: _Terms) -> np.ndarray:
+    def features(self, text: str | None, known: dict) -> np.ndarray:
         text = text or ""
         counts = Counter(_words(text))
         row = np.zeros(len(self.terms) + PATTERNS + 2)
@@ -87,9 +101,10 @@ class Model:
         for word, n in counts.items():
             at = known.get(word)
             if at is None:
-                at = [self.terms[h] for h in pieces[word] if h in self.terms]
-                if len(known) < 400_000:
-                    known[word] = at
+                at = [self.terms[h] for h in _terms_of(word) if h in self.terms]
+                if len(known) >= _KNOWN_WORDS:
+                    known.clear()
+                known[word] = at or ()
             if at:
                 hits += n
                 row[at] = 1
@@ -99,11 +114,11 @@ class Model:
         row[-1] = 1
         return row
 
-    def scores(self, texts: list[str | None], known: dict, pieces: _Terms) -> np.ndarray:
+    def scores(self, texts: pa.Array, known: dict) -> np.ndarray:
         out = np.empty(len(texts))
-        for lo in range(0, len(texts), 1000):
-            rows = np.array([self.features(t, known, pieces) for t in texts[lo : lo + 1000]])
-            out[lo : lo + 1000] = 1 / (1 + np.exp(-np.clip(rows @ self.weights, -30, 30)))
+        for lo in range(0, len(texts), 500):
+            rows = np.array([self.features(t, known) for t in texts.slice(lo, 500).to_pylist()])
+            out[lo : lo + 500] = 1 / (1 + np.exp(-np.clip(rows @ self.weights, -30, 30)))
         return out
 
 
@@ -225,9 +240,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        pieces = _Terms()
         for batch in batches:
-            rows = [blank.features(t, known, pieces) for t in batch.column(0).to_pylist()]
+            rows = [blank.features(t, known) for t in batch.column(0).to_pylist()]
             packed = [r[:-2].astype(np.uint8).tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(packed, pa.binary()), pa.array([r[-2] for r in rows], pa.float64()), batch.column(1)],
@@ -246,21 +260,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(terms, linear(rows, posterior))
 
 
-def score(docs: DataFrame, model: Model, kept: list[Column] | None = None) -> DataFrame:
-    """``docs``' chosen columns (doc_id if none are named) and ``score``, for every row.
+def score(docs: DataFrame, model: Model, kept: list[Column] | None = None, text: bool = False) -> DataFrame:
+    """``docs``' chosen columns (doc_id if none are named) as ``rest`` and ``score``, for every row.
 
-    A null or empty text has no votes and gets the score of silence. Rows that repeat get
+    With ``text``, there is a column ``text`` too: a text is then sent through Python once and not again in
+    ``rest``. A null or empty text has no votes and gets the score of silence. Rows that repeat get
     equal scores. Only the text is looked at.
     """
-    kept = kept or [F.col("doc_id")]
-    source = docs.select(F.col("text").cast("string").alias("text"), F.struct(*kept).alias("rest"))
+    kept = kept if kept is not None else [F.col("doc_id")]
+    # A struct needs a field.
+    rest = F.struct(*(kept or [F.lit(0).alias("nothing")])).alias("rest")
+    source = docs.select(F.col("text").cast("string").alias("text"), rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        pieces = _Terms()
         for batch in batches:
-            values = model.scores(batch.column(0).to_pylist(), known, pieces)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values)], names=["rest", "score"])
+            values = pa.array(model.scores(batch.column(0), known))
+            columns = {"text": batch.column(0)} if text else {}
+            yield pa.RecordBatch.from_pydict(columns | {"rest": batch.column(1), "score": values})
 
-    schema = source.select("rest").schema.add("score", "double")
+    schema = source.select(*(["text"] if text else []), "rest").schema.add("score", "double")
     return source.mapInArrow(run, schema)

@@ -74,6 +74,21 @@ def test_label_model_shares_a_voice_among_copies():
     assert np.mean((often > 0.5) == truth) > 0.94
 
 
+def test_shouting_is_told_by_all_letters():
+    assert toxicity.capitals("Hello there") == 1 and toxicity.capitals("hELLO T") == 5
+    assert toxicity.capitals("İX ß É é 1") == 3 and toxicity.capitals("") == 0
+    assert toxicity._pattern_votes("Hello there", 0, 2)[0] == 0 and toxicity._pattern_votes("hELLO T", 0, 2)[0] == 1
+
+
+def test_texts_go_through_scoring_once(labelled):
+    docs, labels, _ = labelled
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model, [F.col("doc_id")], text=True)
+    assert got.columns == ["text", "rest", "score"]
+    plain = toxicity.score(docs, model, [F.col("doc_id"), F.col("text")]).select("rest.text", "rest.doc_id", "score")
+    assert sorted(map(str, got.select("text", "rest.doc_id", "score").collect())) == sorted(map(str, plain.collect()))
+
+
 def test_preferences_are_of_either_label():
     good, bad = quality.preferences(np.array([1, 0, 1, 0, 0]))
     assert set(good.tolist()) <= {0, 2} and set(bad.tolist()) <= {1, 3, 4} and len(good) == len(bad) > 0
