@@ -18,8 +18,9 @@ from lidarlake.session import stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives less than 0.7; it learns from this stage's labelled rows."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, [F.col(c) for c in docs.columns])
-    return scored.where("score < 0.7").select(*[F.col("rest").getField(c).alias(c) for c in docs.columns])
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    scored = toxicity.score(docs, model, others, text=True).where("score < 0.7")
+    return scored.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
