@@ -189,12 +189,12 @@ def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
         return pa.table({"split": split, "pair": keys, "n": np.concatenate(counts).astype(np.int64)})
 
     def tell_suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
-        kinds = {"group": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "n": pa.int64(), "deep": pa.bool_()}
+        kinds = {"group": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "n": pa.int64()}
         parts = [pa.table({c: pa.array([], t) for c, t in kinds.items()})]
 
-        def add(group, lang: str, phrases: list[bytes], counts: np.ndarray, deep) -> None:
+        def add(group, lang: str, phrases: list[bytes], counts: np.ndarray) -> None:
             texts = pa.array(phrases, pa.binary()).cast(pa.string())
-            columns = [pa.array(group), pa.array([lang] * len(phrases), pa.string()), texts, pa.array(counts.astype(np.int64)), pa.array(deep)]
+            columns = [pa.array(group), pa.array([lang] * len(phrases), pa.string()), texts, pa.array(counts.astype(np.int64))]
             parts.append(pa.table(columns, names=list(kinds)))
 
         if not table.num_rows:
@@ -206,28 +206,33 @@ def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
         for lang in set(mine["lang"].to_pylist()):
             own = mine.filter(pc.equal(mine["lang"], lang))
             n = own.num_rows
-            add(np.arange(n) % groups, lang, [w.encode() for w in own["word"].to_pylist()], own["total"].to_numpy(), np.zeros(n, bool))
+            add(np.arange(n) % groups, lang, [w.encode() for w in own["word"].to_pylist()], own["total"].to_numpy())
         keys = pairs["pair"].to_numpy() if pairs.num_rows else np.empty(0, np.int64)
         totals = pc.fill_null(pairs["total"], 0).to_numpy() if pairs.num_rows else keys
         large = pairs["large"].to_numpy(zero_copy_only=False).astype(bool) if pairs.num_rows else np.empty(0, bool)
         for lang, chains in _chains(table, known):
-            here = np.isin(keys, chains.keys)
-            good, hashes, total, heavy = chains.ranks(keys[here]), keys[here], totals[here], large[here]
+            here = np.flatnonzero(np.isin(keys, chains.keys))
+            good = chains.ranks(keys[here])
+            # Phrases that begin alike stay side by side.
+            order = np.argsort(good)
+            good, here = good[order], here[order]
+            hashes, total, heavy = keys[here], totals[here], large[here]
             phrases = [chains.phrase(at, 2) for at in chains.first[good[total > 0]].tolist()]
-            add(np.arange(len(phrases)) % groups, lang, phrases, total[total > 0], np.zeros(len(phrases), bool))
+            add(np.arange(len(phrases)) % groups, lang, phrases, total[total > 0])
             phrases, counts, prefix = chains.suffixes(good)
             group = hashes[prefix] % groups
-            deep = heavy[prefix]
-            for i in np.flatnonzero(deep).tolist():
-                group[i] = xxhash.xxh3_64_intdigest(phrases[i]) % groups
-            add(group, lang, phrases, counts, deep)
+            # A prefix above the budget is extended to the whole suffix; the groups of these are negative.
+            for i in np.flatnonzero(heavy[prefix]).tolist():
+                group[i] = -1 - xxhash.xxh3_64_intdigest(phrases[i]) % groups
+            add(group, lang, phrases, counts)
         return pa.concat_tables(parts)
 
     def subtree(table: pa.Table) -> pa.Table:
         """Totals of a group's nodes that may be frequent. A node whose leaves are in several groups tells its part."""
         totals: dict[tuple[str, str], int] = {}
         shared = set()
-        for lang, phrase, n, deep in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "n", "deep"))):
+        deep = table["group"][0].as_py() < 0
+        for lang, phrase, n in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "n"))):
             node = (lang, phrase)
             totals[node] = totals.get(node, 0) + n
             if deep:
@@ -271,7 +276,7 @@ def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
         pairs.select("*", none.cast("long").alias("key"), none.cast("string").alias("lang"), none.cast("string").alias("word"))
     )
     suffixes = source.groupBy("split").cogroup(both.groupBy("split")).applyInArrow(
-        tell_suffixes, "group long, lang string, phrase string, n long, deep boolean"
+        tell_suffixes, "group long, lang string, phrase string, n long"
     )
     nodes = suffixes.groupBy("group").applyInArrow(subtree, "lang string, phrase string, f long")
     return nodes.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)

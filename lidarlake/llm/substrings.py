@@ -22,7 +22,8 @@ from lidarlake.llm.common import Rolling, WordHashes, repeated, signed, splits,
 
 #: Words of an anchor. Shorter anchors are fewer, but more of them repeat by chance.
 ANCHOR = 8
-_PLACE = np.uint64((1 << 24) - 1)
+# Places fill 40 bits, which no split exceeds; the hash keeps the rest, and equal ones are told apart by place.
+_PLACE = np.uint64((1 << 40) - 1)
 
 
 class _Windows:
