@@ -125,18 +125,19 @@ def _outside(df: DataFrame, dim: str, lo: float | None, hi: float | None) -> Col
 
 def validate(df: DataFrame, bounds: Bounds) -> DataFrame:
     """Per dimension: values out of range, NaN and null, in one pass. NaN is in range."""
-    rows = []
-    for dim, (lo, hi) in bounds.items():
-        nans = F.count_if(F.isnan(dim)) if _floating(df, dim) else F.lit(0).cast("long")
-        rows.append(
-            F.struct(
-                F.lit(dim).alias("dim"),
-                F.count_if(_outside(df, dim, lo, hi)).alias("out_of_range"),
-                nans.alias("nans"),
-                F.count_if(F.col(dim).isNull()).alias("nulls"),
-            )
-        )
-    return df.agg(F.array(*rows).alias("_dims")).select(F.inline("_dims"))
+    rows = [
+        F.struct(F.lit(dim).alias("dim"), *[F.col(f"_{i}.{c}").alias(c) for c in ("out_of_range", "nans", "nulls")])
+        for i, dim in enumerate(bounds)
+    ]
+    judged = [judgement(df, dim, lo, hi).alias(f"_{i}") for i, (dim, (lo, hi)) in enumerate(bounds.items())]
+    return df.agg(*judged).select(F.inline(F.array(*rows)))
+
+
+def judgement(df: DataFrame, dim: str, lo: float | None, hi: float | None) -> Column:
+    """The aggregate ``out_of_range, nans, nulls`` of a dimension."""
+    nans = F.count_if(F.isnan(dim)) if _floating(df, dim) else F.lit(0).cast("long")
+    outside = F.count_if(_outside(df, dim, lo, hi)).alias("out_of_range")
+    return F.struct(outside, nans.alias("nans"), F.count_if(F.col(dim).isNull()).alias("nulls"))
 
 
 def misfit(df: DataFrame, bounds: Bounds) -> Column:

@@ -62,6 +62,50 @@ def ply_selective_read(spark, sf_dir):
     return spark.read.format("ply").schema("num_echo int, gps_time double").load(folder)
 
 
+def ply_ascii_read(spark, sf_dir):
+    """ASCII files, each in several ranges."""
+    folder = stored.encoded_folder(spark, sf_dir, "ascii")
+    reader = spark.read.format("ply").option("splitLines", "true").option("splitBytes", str(1 << 18))
+    return reader.load(folder)
+
+
+def ply_big_endian_read(spark, sf_dir):
+    return spark.read.format("ply").load(stored.encoded_folder(spark, sf_dir, "binary_big_endian"))
+
+
+def ply_list_read(spark, sf_dir):
+    """Records with lists, read in many stretches by an index of where they begin."""
+    folder = stored.list_folder(spark, sf_dir)
+    path = stored.once(
+        spark, sf_dir, "ply-index", lambda path: ply.record_index(spark, folder, "patch", 20).write.parquet(path)
+    )
+    schema = "cx double, cy double, cz double, n int, gps_time array<double>, x array<double>, num_echo array<int>"
+    found = ply.read_indexed(spark.read.parquet(path), schema, "patch")
+    return found.select("cx", "cy", "cz", "n", F.inline(F.arrays_zip("gps_time", "x", "num_echo")))
+
+
+def ply_list_stream_read(spark, sf_dir):
+    """The same files without an index, of which only two lists are wanted."""
+    reader = spark.read.format("ply").option("element", "patch")
+    found = reader.schema("x array<double>, num_echo array<int>").load(stored.list_folder(spark, sf_dir))
+    return found.select(F.inline(F.arrays_zip("x", "num_echo")))
+
+
+def ply_mixed_read(spark, sf_dir):
+    """Files of two makers, read without loss by the schema that holds both."""
+    folder = stored.mixed_folder(spark, sf_dir)
+    return spark.read.format("ply").schema(ply.common_schema(spark, folder)).option("missing", "null").load(folder)
+
+
+def ply_property_types(spark, sf_dir):
+    """What these files' headers disagree on."""
+    told = ply.property_types(spark, stored.mixed_folder(spark, sf_dir))
+    return told.select(
+        "property", "position", F.concat_ws(",", "stored_types").alias("stored"), "spark_type",
+        (F.col("missing") > 0).alias("lacking"), "conflict",
+    )
+
+
 def ply_headers(spark, sf_dir):
     heads = ply.ply_headers(spark, stored.ply_folder(spark, sf_dir))
     return heads.groupBy("element", "property", "property_position", "type").agg(
@@ -75,6 +119,13 @@ def text_points(spark, sf_dir):
     return text.read_points_text(spark, folder, columns)
 
 
+def text_points_c(spark, sf_dir):
+    """Points written with C's digits and read back: doubles keep sixteen."""
+    cloud = points(spark, sf_dir).select("gps_time", "x", "y", "z", "num_echo")
+    path = stored.once(spark, sf_dir, "text-c", lambda path: text.write_points_text(cloud, path, style="c"))
+    return text.read_points_text(spark, path, cloud.dtypes)
+
+
 def attach_schema(spark, sf_dir):
     unnamed = points(spark, sf_dir).select("gps_time", "x", "y", "z", "echo_range", "num_echo")
     columns = [
@@ -102,15 +153,9 @@ def shards_with_nulls(spark, sf_dir):
 
 
 def schema_registry(spark, sf_dir):
-    """The registered dimensions that the cloud has, and how its values fit them."""
-    dims = registry.dims_table(registry.formats_table(spark, [schemas.DEMO, schemas.VELODYNE]))
-    cloud = points(spark, sf_dir)
-    bounds = pt.type_bounds(registry.point_schema(dims, 3))
-    fit = pt.validate(cloud, {d: b for d, b in bounds.items() if d in cloud.columns})
-    named = dims.where(F.col("pcid") == 3).withColumnRenamed("name", "dim")
-    return named.join(F.broadcast(fit), "dim").select(
-        "position", "dim", "interpretation", "scale", "offset", "out_of_range", "nulls"
-    )
+    """Every dimension of every registered schema, and how the cloud's values fit it."""
+    dims = registry.dims_table(registry.formats_table(spark, [schemas.DEMO, schemas.RIEGL, schemas.VELODYNE]))
+    return registry.conformance(points(spark, sf_dir), dims).drop("srid", "compression")
 
 
 def load_shards(spark, sf_dir):
@@ -209,7 +254,7 @@ def georeference(spark, sf_dir):
 
 def validate_types(spark, sf_dir):
     bounds = {"fiber": (0, 64), "num_echo": (-128, 127)}
-    return pt.validate(points(spark, sf_dir), bounds).select("dim", "out_of_range", "nulls")
+    return pt.validate(points(spark, sf_dir), bounds)
 
 
 def row_ids(spark, sf_dir):
@@ -619,8 +664,15 @@ _ALL: list[Query] = [
     ply_read,
     import_ply,
     ply_selective_read,
+    ply_ascii_read,
+    ply_big_endian_read,
+    ply_list_read,
+    ply_list_stream_read,
+    ply_mixed_read,
+    ply_property_types,
     ply_headers,
     text_points,
+    text_points_c,
     attach_schema,
     shard_selection,
     shards_with_nulls,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lidarlake.operators.grouping import MAX_POINTS
 from lidarlake.plans.views import HOLE, OUTLINE
+from lidarlake.sources.schemas import DEMO, RIEGL, VELODYNE
 
 # A patch is a (group, chunk): chunks number the points of a group in their order.
 _POINT_ORDER = "gps_time, x, y, z, num_echo, fiber, echo_range, source_file"
@@ -80,20 +81,34 @@ _HEADERS = " UNION ALL ".join(
     )
 )
 
-_REGISTRY = " UNION ALL ".join(
-    f"SELECT {position} AS position, '{dim}' AS dim, '{kind}' AS interpretation, "
-    f"{scale}::DOUBLE AS scale, {offset}::DOUBLE AS \"offset\", "
-    f"count(*) FILTER ({dim} < {lo} OR {dim} > {hi}) AS out_of_range, "
-    f"count(*) FILTER ({dim} IS NULL) AS nulls FROM pts"
-    for position, dim, kind, scale, offset, lo, hi in [
-        (1, "gps_time", "double", "1e-8", 0, "-1.7976931348623157e308", "1.7976931348623157e308"),
-        (2, "echo_range", "UnsignedInteger", 1, 0, 0, 65535),
-        (6, "fiber", "UnsignedInteger", 1, 0, 0, 255),
-        (10, "x", "double", "0.001", 649000, "-1.7976931348623157e308", "1.7976931348623157e308"),
-        (11, "y", "double", "0.001", 6840000, "-1.7976931348623157e308", "1.7976931348623157e308"),
-        (12, "z", "double", "0.001", 0, "-1.7976931348623157e308", "1.7976931348623157e308"),
-    ]
-)
+
+
+def _registry() -> str:
+    """Every registered dimension; a range for those that the cloud has."""
+    columns = {"gps_time", "x", "y", "z", "num_echo", "fiber", "echo_range", "source_file"}
+    rows = []
+    for schema in (DEMO, RIEGL, VELODYNE):
+        for d in schema.dimensions:
+            size = {"double": 8, "float": 4}.get(d.interpretation, d.size)
+            bits = 8 * d.size
+            if d.interpretation in ("double", "float"):
+                most = "1.7976931348623157e308" if size == 8 else "3.4028234663852886e38"
+                lo, hi = f"-{most}", most
+            else:
+                low, high = (0, 2**bits - 1) if d.interpretation.lower().startswith("u") else (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1)
+                lo, hi = low * d.scale + d.offset, high * d.scale + d.offset
+            dim = d.name.lower()
+            there = dim in columns
+            outside = f"count(*) FILTER ({dim} < {lo}::DOUBLE OR {dim} > {hi}::DOUBLE)" if there else "NULL::BIGINT"
+            rows.append(
+                f"SELECT {schema.pcid} AS pcid, '{schema.name}' AS schema_name, {d.position} AS position, {d.size} AS size, '{d.name}' AS name, "
+                f"'{d.interpretation}' AS interpretation, {d.scale}::DOUBLE AS scale, {d.offset}::DOUBLE AS \"offset\", "
+                f"'{d.description.replace(chr(39), chr(39) * 2)}' AS description, {outside} AS out_of_range, "
+                f"{0 if there else 'NULL'}::BIGINT AS nans, {f'count(*) FILTER ({dim} IS NULL)' if there else 'NULL::BIGINT'} AS nulls, "
+                f"{there} AS present, {size == d.size} AS size_fits{' FROM pts' if there else ''}"
+            )
+    return " UNION ALL ".join(rows)
+
 
 _MULTI = """(SELECT *, count(*) OVER (PARTITION BY round(x), round(y), round(z)) AS n1 FROM ev)"""
 _MULTI_KEY = """if(n1>=2, round(x), 5*round(x/5)) AS cx, if(n1>=2, round(y), 5*round(y/5)) AS cy,
@@ -159,6 +174,23 @@ _WINDOW_JOIN = """
 _QUERIES = {
     "ply_read": f"SELECT {_FILE_POINTS} FROM pts",
     "ply_selective_read": "SELECT num_echo, gps_time FROM pts",
+    "ply_ascii_read": f"SELECT {_FILE_POINTS} FROM pts",
+    "ply_big_endian_read": f"SELECT {_FILE_POINTS} FROM pts",
+    "ply_list_read": """
+      SELECT cx, cy, cz, (count(*) OVER (PARTITION BY cx, cy, cz, chunk))::INT AS n, gps_time, x, num_echo FROM cubed""",
+    "ply_list_stream_read": "SELECT x, num_echo FROM pts",
+    "ply_mixed_read": """
+      SELECT gps_time, x, num_echo, fiber::INT AS fiber, CASE WHEN num_echo % 2 = 1 THEN echo_range END AS echo_range
+      FROM pts""",
+    "ply_property_types": """
+      SELECT property, position, stored, spark_type, property = 'echo_range' AS lacking,
+             property NOT IN ('gps_time', 'num_echo') AS conflict
+      FROM (VALUES ('gps_time', 1, 'float64', 'double'), ('x', 2, 'float32,float64', 'double'), ('num_echo', 3, 'int32', 'int'),
+                   ('fiber', 4, 'int16,int32', 'int'), ('echo_range', 5, 'float64', 'double')) v(property, position, stored, spark_type)
+      WHERE EXISTS (SELECT 1 FROM pts)""",
+    "text_points_c": """
+      SELECT gps_time, printf('%.16g', x)::DOUBLE AS x, printf('%.16g', y)::DOUBLE AS y, printf('%.16g', z)::DOUBLE AS z,
+             num_echo FROM pts""",
     "ply_headers": _HEADERS,
     "text_points": f"SELECT {_FILE_POINTS} FROM pts",
     "attach_schema": """
@@ -171,7 +203,7 @@ _QUERIES = {
       GROUP BY 1""",
     "shards_with_nulls": """
       SELECT nullif(source_file, 'RF') AS source_file, count(*) AS n FROM pts GROUP BY 1""",
-    "schema_registry": _REGISTRY,
+    "schema_registry": _registry(),
     "load_shards": """
       SELECT source_file, round(x) AS cx, round(y) AS cy, round(z) AS cz, count(*) AS n,
              min(gps_time) AS t_min, max(gps_time) AS t_max FROM pts GROUP BY 1, 2, 3, 4""",
@@ -197,10 +229,10 @@ _QUERIES = {
       SELECT num_echo, fiber, gps_time, 649000 + 0.01*round((x-649000)/0.01) AS xq FROM pts""",
     "georeference": "SELECT gps_time, x + 649000 AS x_abs, y + 6840000 AS y_abs FROM pts",
     "validate_types": """
-      SELECT 'fiber' AS dim, count(*) FILTER (fiber > 64 OR fiber < 0) AS out_of_range,
+      SELECT 'fiber' AS dim, count(*) FILTER (fiber > 64 OR fiber < 0) AS out_of_range, 0::BIGINT AS nans,
              count(*) FILTER (fiber IS NULL) AS nulls FROM pts
       UNION ALL
-      SELECT 'num_echo', count(*) FILTER (num_echo > 127 OR num_echo < -128),
+      SELECT 'num_echo', count(*) FILTER (num_echo > 127 OR num_echo < -128), 0,
              count(*) FILTER (num_echo IS NULL) FROM pts""",
     "row_ids": """
       SELECT row_number() OVER (ORDER BY cx, cy, cz, chunk) AS gid, cx, cy, cz, chunk FROM vox""",

@@ -72,6 +72,45 @@ def ply_folder(spark: SparkSession, sf_dir: str) -> str:
     return once(spark, sf_dir, "ply", write)
 
 
+def encoded_folder(spark: SparkSession, sf_dir: str, encoding: str) -> str:
+    """The cloud as PLY files of another encoding."""
+    ply.register(spark)
+
+    def write(path: str) -> None:
+        cloud = file_points(spark, sf_dir)
+        cloud.write.format("ply").option("encoding", encoding).mode("append").save(path)
+
+    return once(spark, sf_dir, f"ply-{encoding}", write)
+
+
+def mixed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The cloud as PLY files of two makers: one keeps float32 and 16 bits where the other has more, and no range."""
+    ply.register(spark)
+
+    def write(path: str) -> None:
+        cloud = file_points(spark, sf_dir).select("gps_time", "x", "num_echo", "fiber", "echo_range")
+        first = cloud.where("num_echo % 2 = 1")
+        second = cloud.where("num_echo % 2 = 0").select(
+            "gps_time", F.col("x").cast("float"), "num_echo", F.col("fiber").cast("smallint")
+        )
+        for part in (first, second):
+            part.write.format("ply").mode("append").save(path)
+
+    return once(spark, sf_dir, "ply-mixed", write)
+
+
+def list_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Cubes as PLY records with lists: one record per patch."""
+    ply.register(spark)
+
+    def write(path: str) -> None:
+        cubes = cube_patches(spark, sf_dir)
+        rows = cubes.select("cx", "cy", "cz", F.col("n").cast("int").alias("n"), "gps_time", "x", "num_echo")
+        rows.write.format("ply").option("element", "patch").option("encoding", "binary_big_endian").mode("append").save(path)
+
+    return once(spark, sf_dir, "ply-lists", write)
+
+
 def text_folder(spark: SparkSession, sf_dir: str) -> str:
     """The cloud as a folder of point text."""
     return once(

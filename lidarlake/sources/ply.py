@@ -5,6 +5,8 @@ The driver only lists names and sizes; each task opens its own file, reads the h
 and decodes its byte range in bulk. Elements with records of fixed length are cut into
 as many ranges as their size asks for. ASCII bodies and elements with list properties
 have no fixed record length: one task streams through such a file, block by block.
+For large files with lists, ``record_index`` notes where records begin, and ``read_indexed``
+decodes them in as many tasks as there are notes. ``property_types`` compares the headers of all files.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
+import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -254,7 +257,9 @@ class PlyDataSource(DataSource):
     """Options: ``element`` (vertex), ``splitBytes``, ``sourceFile`` (false), ``mode``.
 
     ``mode`` rules ASCII values that do not fit their type: FAILFAST stops,
-    PERMISSIVE reads null and goes on with the next value. With ``splitLines`` an ASCII
+    PERMISSIVE reads null and goes on with the next value. A file that stores float64 where the schema has
+    float32 stops, as digits would be lost, unless ``narrow`` is true; a file without a property
+    stops unless ``missing`` is "null". With ``splitLines`` an ASCII
     body is cut into ranges as well: say so for files that hold one element without
     lists and one instance per line. The last range of a file counts its lines, and stops if
     they are not as many as the header says. ``load`` takes several paths, patterns, and
@@ -299,6 +304,8 @@ class PlyReader(DataSourceReader):
         self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
         self.split_lines = options.get("splitlines", options.get("splitLines", "false")).lower() == "true"
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.fill = options.get("missing", "error").lower() == "null"
+        self.narrow = options.get("narrow", "false").lower() == "true"
         self.arrow = to_arrow_schema(schema)
 
     def partitions(self) -> list[FileRanges]:
@@ -325,8 +332,13 @@ class PlyReader(DataSourceReader):
             element = header.element(self.element)
             known = {p.name for p in element.properties} | {"source_file"}
             missing = [n for n in self.arrow.names if n not in known]
-            if missing:
+            if missing and not self.fill:
                 raise PlyError(f"{part.path}: no property {', '.join(missing)}")
+            for p in element.properties:
+                if p.name in self.arrow.names and _TYPES[p.type][0] == "f8" and not self.narrow:
+                    field = self.arrow.field(p.name).type
+                    if pa.types.is_float32(field.value_type if p.is_list and pa.types.is_list(field) else field):
+                        raise PlyError(f"{part.path}: {p.name} is stored as float64 and would lose digits; see property_types")
             offset = header.fixed_offset(self.element)
             if offset is not None:
                 yield from self._fixed(part, file, header, element, offset)
@@ -382,7 +394,9 @@ class PlyReader(DataSourceReader):
         rows = len(next(iter(columns.values()))) if columns else 0
         arrays = []
         for field in self.arrow:
-            if field.name not in columns:
+            if field.name not in columns and field.name != "source_file":
+                arrays.append(pa.nulls(rows, field.type))
+            elif field.name not in columns:
                 arrays.append(pa.array([path] * rows, type=field.type))
             elif isinstance(columns[field.name], pa.Array):
                 arrays.append(columns[field.name].cast(field.type))
@@ -429,68 +443,105 @@ def _count_lines(file: pa.NativeFile, body: int, size: int) -> int:
 
 
 class _Bytes:
-    """A file read forward in blocks."""
+    """A file read forward in blocks; ``held`` begins at byte ``offset``."""
 
     def __init__(self, file: pa.NativeFile, start: int, path: str):
         file.seek(start)
-        self._file, self._path = file, path
-        self._data, self._at = b"", 0
+        self._file, self.path = file, path
+        self.held, self.offset = b"", start
 
-    def take(self, size: int) -> bytes:
-        if self._at + size > len(self._data):
-            rest = self._data[self._at :]
-            self._data = rest + self._file.read(max(size - len(rest), _BLOCK_BYTES))
-            self._at = 0
-            if len(self._data) < size:
-                raise PlyError(f"{self._path}: file ends before all values")
-        self._at += size
-        return self._data[self._at - size : self._at]
+    def more(self) -> None:
+        block = self._file.read(_BLOCK_BYTES)
+        if not block:
+            raise PlyError(f"{self.path}: file ends before all values")
+        self.held += block
+
+    def drop(self, size: int) -> None:
+        self.held = self.held[size:]
+        self.offset += size
+
+
+def _kinds(header: Header, element: Element) -> list[tuple[Property, np.dtype, np.dtype | None]]:
+    """Each property with the numpy kinds of its values and of its list length."""
+    kind = lambda name: np.dtype(header.order + _TYPES[name][0])
+    return [(p, kind(p.type), kind(p.length_type) if p.is_list else None) for p in element.properties]
+
+
+def _walk(held: bytes, rows: int, header: Header, element: Element) -> tuple[list[int], int]:
+    """Where each of at most ``rows`` whole records begins, and where the last ends. Only list lengths are read."""
+    steps, skip = [], 0
+    for _, kind, length in _kinds(header, element):
+        if length is None:
+            skip += kind.itemsize
+        else:
+            unpack = struct.Struct((">" if header.order == ">" else "<") + length.char).unpack_from
+            steps.append((skip, unpack, length.itemsize, kind.itemsize))
+            skip = 0
+    starts, at, end = [], 0, len(held)
+    for _ in range(rows):
+        here = at
+        for before, unpack, size, item in steps:
+            at += before
+            if at + size > end:
+                return starts, here
+            at += size + max(int(unpack(held, at)[0]), 0) * item
+        at += skip
+        if at > end:
+            return starts, here
+        starts.append(here)
+    return starts, at
+
+
+def _gather(held: bytes, starts: list[int], header: Header, element: Element, wanted: set) -> dict:
+    """The wanted columns of the records at ``starts``, by bulk copies."""
+    raw = np.frombuffer(held, np.uint8)
+    at = np.array(starts, np.int64)
+    columns = {}
+
+    def values(places: np.ndarray, kind: np.dtype) -> np.ndarray:
+        found = raw[places[:, None] + np.arange(kind.itemsize)]
+        return np.ascontiguousarray(found).view(kind)[:, 0] if len(places) else np.empty(0, kind)
+
+    for p, kind, length in _kinds(header, element):
+        if length is None:
+            if p.name in wanted:
+                columns[p.name] = values(at, kind)
+            at = at + kind.itemsize
+            continue
+        sizes = np.maximum(values(at, length).astype(np.int64), 0)
+        at = at + length.itemsize
+        if p.name in wanted:
+            ends = np.cumsum(np.append(0, sizes))
+            places = np.repeat(at - ends[:-1] * kind.itemsize, sizes) + np.arange(ends[-1]) * kind.itemsize
+            flat = values(places, kind).astype(kind.newbyteorder("="))
+            columns[p.name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        at = at + sizes * kind.itemsize
+    return columns
 
 
 def _variable_columns(file, header, element, wanted, permissive) -> Iterator[dict]:
     """Batches of a binary element that has lists, or comes after one that has."""
     data = _Bytes(file, header.length, header.path)
     for earlier in header.before(element.name):
-        for _ in _records(data, header, earlier, set()):
+        for _ in _stretches(data, header, earlier):
             pass
-    yield from _records(data, header, element, wanted)
+    for starts in _stretches(data, header, element):
+        columns = _gather(data.held, starts, header, element, wanted)
+        if columns:
+            yield columns
 
 
-def _records(data: _Bytes, header: Header, element: Element, wanted: set) -> Iterator[dict]:
-    kinds = [
-        (p, np.dtype(header.order + _TYPES[p.type][0]))
-        if not p.is_list
-        else (p, np.dtype(header.order + _TYPES[p.type][0]), np.dtype(header.order + _TYPES[p.length_type][0]))
-        for p in element.properties
-    ]
+def _stretches(data: _Bytes, header: Header, element: Element, rows: int = _BATCH_ROWS) -> Iterator[list[int]]:
+    """The records of an element in stretches of about ``rows``, as places in ``data.held``."""
     done = 0
     while done < element.count:
-        rows = min(_BATCH_ROWS, element.count - done)
-        scalars = {p.name: [] for p in element.properties if p.name in wanted and not p.is_list}
-        lists = {p.name: [] for p in element.properties if p.name in wanted and p.is_list}
-        for _ in range(rows):
-            for p, kind, *length_kind in kinds:
-                if not p.is_list:
-                    raw = data.take(kind.itemsize)
-                    if p.name in wanted:
-                        scalars[p.name].append(raw)
-                    continue
-                size = int(np.frombuffer(data.take(length_kind[0].itemsize), length_kind[0])[0])
-                raw = data.take(size * kind.itemsize) if size > 0 else b""
-                if p.name in wanted:
-                    lists[p.name].append(raw)
-        columns = {}
-        for p, kind, *_ in kinds:
-            if p.name in scalars:
-                columns[p.name] = np.frombuffer(b"".join(scalars[p.name]), kind)
-            elif p.name in lists:
-                raws = lists[p.name]
-                ends = np.cumsum([0, *[len(r) // kind.itemsize for r in raws]])
-                flat = np.frombuffer(b"".join(raws), kind).astype(kind.newbyteorder("="))
-                columns[p.name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-        done += rows
-        if columns:
-            yield columns
+        starts, used = _walk(data.held, min(rows, element.count - done), header, element)
+        if len(starts) < min(rows, element.count - done) and len(data.held) < 4 * _BLOCK_BYTES or not starts:
+            data.more()
+            continue
+        yield starts
+        data.drop(used)
+        done += len(starts)
 
 
 class _Words:
@@ -629,6 +680,111 @@ def ply_headers(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(inventory, _HEADER_TYPE)
 
 
+def property_types(spark: SparkSession, path: str, element: str = "vertex") -> DataFrame:
+    """What all headers under ``path`` say of each property of an element, and the type that holds them all.
+
+    ``property, position, is_list, files, missing, stored_types, spark_type, conflict``: ``missing`` counts the files
+    whose element lacks it; ``spark_type`` is the least type that every stored value fits without loss,
+    null where some files have a list and others a number. ``conflict`` says that files differ.
+    Headers are read in tasks.
+    """
+    heads = ply_headers(spark, path).where((F.col("element") == element) & F.col("property").isNotNull())
+    # Whole numbers need 1, 2, 4 or 8 bytes as Spark types; a float32 holds those of 2 bytes, a float64 of 4.
+    bytes_ = {"ByteType": 1, "ShortType": 2, "IntegerType": 4, "LongType": 8}
+    size, is_float = F.lit(0), F.lit(False)
+    for name, (kind, spark_type) in _TYPES.items():
+        here = F.col("type") == name
+        size = F.when(here, bytes_.get(type(spark_type).__name__, int(kind[1:]))).otherwise(size)
+        is_float = F.when(here, kind[0] == "f").otherwise(is_float)
+    found = heads.withColumn("_size", size).withColumn("_float", is_float).groupBy("property").agg(
+        F.min("property_position").alias("position"),
+        F.bool_or(F.col("length_type").isNotNull()).alias("is_list"),
+        F.bool_and(F.col("length_type").isNotNull()).alias("_lists"),
+        F.count_distinct("path").alias("files"),
+        F.array_sort(F.collect_set("type")).alias("stored_types"),
+        F.max(F.when(F.col("_float"), F.col("_size")).otherwise(0)).alias("_float"),
+        F.max(F.when(~F.col("_float"), F.col("_size")).otherwise(0)).alias("_int"),
+        F.count_distinct("_size", "_float").alias("_kinds"),
+    )
+    all_ = heads.agg(F.count_distinct("path").alias("all"), F.lit(1).alias("_one"))
+    whole = F.when(F.col("_int") == 1, "tinyint").when(F.col("_int") == 2, "smallint").when(F.col("_int") == 4, "int")
+    scalar = F.when(F.col("_float") == 0, whole.otherwise("bigint")).when(
+        (F.col("_float") == 4) & (F.col("_int") <= 2), "float"
+    ).otherwise("double")
+    kind = F.when(~F.col("is_list"), scalar).when(F.col("_lists"), F.concat(F.lit("array<"), scalar, F.lit(">")))
+    missing = F.col("all") - F.col("files")
+    return found.withColumn("_one", F.lit(1)).join(F.broadcast(all_), "_one").select(
+        "property", "position", "is_list", "files", missing.alias("missing"), "stored_types", kind.alias("spark_type"),
+        (kind.isNull() | (F.col("_kinds") > 1) | (missing > 0)).alias("conflict"),
+    )
+
+
+def common_schema(spark: SparkSession, path: str, element: str = "vertex") -> T.StructType:
+    """The schema by which all files under ``path`` can be read without loss, with option ``missing="null"``."""
+    rows = property_types(spark, path, element).orderBy("position", "property").collect()
+    torn = [r.property for r in rows if r.spark_type is None]
+    if torn:
+        raise PlyError(f"{path}: a list in some files and a number in others: {', '.join(torn)}")
+    return T.StructType([T.StructField(r.property, T._parse_datatype_string(r.spark_type)) for r in rows])
+
+
+_INDEX_TYPE = "path string, record long, byte long, end long, records int"
+
+
+def record_index(spark: SparkSession, path: str, element: str = "vertex", every: int = 100_000) -> DataFrame:
+    """Where records begin in binary files with lists: one row per stretch of about ``every`` records.
+
+    A first pass, one task per file, that reads list lengths and decodes nothing. Store the result beside the files; with
+    it any number of later reads are split over tasks.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(path).select("path")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _INDEX_TYPE.split(", ")]
+        for batch in batches:
+            for name in batch["path"]:
+                rows, done = [], 0
+                with _open(name) as file:
+                    header = read_header(name, file)
+                    if header.is_ascii:
+                        raise PlyError(f"{name}: an index is for binary files")
+                    data = _Bytes(file, header.length, name)
+                    for earlier in header.before(element):
+                        for _ in _stretches(data, header, earlier):
+                            pass
+                    kind = header.element(element)
+                    for starts in _stretches(data, header, kind, every):
+                        used = _walk(data.held[starts[-1] :], 1, header, kind)[1]
+                        rows.append((name, done, data.offset, data.offset + starts[-1] + used, len(starts)))
+                        done += len(starts)
+                yield pd.DataFrame(rows, columns=names)
+
+    # A file to a task: the files are not read by Spark, so their sizes tell it nothing.
+    return files.repartition(max(1, files.count())).mapInPandas(walk, _INDEX_TYPE)
+
+
+def read_indexed(index: DataFrame, schema: T.StructType | str, element: str = "vertex") -> DataFrame:
+    """The records that an index names, each stretch decoded on its own wherever Spark puts its row."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    wanted = to_arrow_schema(schema)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = PlyReader("", schema, {"element": element})
+        for batch in batches:
+            for row in batch.to_pylist():
+                with _open(row["path"]) as file:
+                    header = read_header(row["path"], file)
+                    held = file.read_at(row["end"] - row["byte"], row["byte"])
+                kind = header.element(element)
+                starts, used = _walk(held, row["records"], header, kind)
+                if len(starts) < row["records"] or used != len(held):
+                    raise PlyError(f"{row['path']}: not the file that was indexed")
+                yield reader._batch(_gather(held, starts, header, kind, set(wanted.names)), row["path"])
+
+    stretches = max(1, index.count())
+    return index.repartition(stretches, "path", "byte").mapInArrow(decode, schema)
+
+
 def shard_files(path: str, shards: int, shard: int) -> list[str]:
     """The files whose place in the sorted list leaves ``shard`` modulo ``shards``."""
     return [name for i, (name, _) in enumerate(_list_files(path)) if i % shards == shard]

@@ -8,6 +8,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lidarlake.operators.points import judgement, type_bounds
 from lidarlake.sources.schemas import Dimension, PointSchema
 
 # The namespace and element names of a schema document.
@@ -98,3 +99,32 @@ def size_mismatches(dims: DataFrame) -> DataFrame:
         F.col("interpretation") == "float", 4
     )
     return dims.where(F.col("size") != needed).withColumn("expected_size", needed)
+
+
+def conformance(points: DataFrame, dims: DataFrame) -> DataFrame:
+    """How a cloud fits every registered schema at once: all rows of ``dims``, judged.
+
+    ``present`` says whether the cloud has a column of that name, in any case. Then ``out_of_range``, ``nans`` and ``nulls`` count
+    its values against the interpretation, all in one pass over the cloud, and are null otherwise. ``size_fits``
+    tells whether the size in bytes is that of the interpretation; the latter decides.
+    """
+    listed = dims.orderBy("pcid", "position").collect()
+    columns = {c.lower(): c for c in points.columns}
+    tests = []
+    for pcid in sorted({r.pcid for r in listed}):
+        bounds = type_bounds(point_schema(dims, pcid))
+        tests += [(pcid, d, columns[d.lower()], b) for d, b in bounds.items() if d.lower() in columns]
+    # Equal tests of several schemas are made once.
+    asked = {(column, bound): f"t{i}" for i, (column, bound) in enumerate(dict.fromkeys((c, b) for _, _, c, b in tests))}
+    judged = [judgement(points, column, *bound).alias(name) for (column, bound), name in asked.items()]
+    kind = "pcid int, name string, out_of_range long, nans long, nulls long"
+    found = []
+    if tests:
+        row = points.agg(*judged).first()
+        found = [(pcid, d, *row[asked[column, bound]]) for pcid, d, column, bound in tests]
+    fit = dims.sparkSession.createDataFrame(found, kind)
+    wrong = size_mismatches(dims).select("pcid", "name", F.lit(False).alias("_fits"))
+    rows = dims.join(F.broadcast(fit), ["pcid", "name"], "left").join(wrong, ["pcid", "name"], "left")
+    return rows.withColumn("present", F.col("nulls").isNotNull()).withColumn(
+        "size_fits", F.coalesce("_fits", F.lit(True))
+    ).drop("_fits")

@@ -34,15 +34,15 @@ def _schema(pcid: int, name: str, rows: list[tuple]) -> PointSchema:
     return PointSchema(pcid, name, dims)
 
 
-# Size in bytes, name, interpretation, scale, offset of each dimension.
+# Size in bytes, name, interpretation, scale, offset of each dimension. Descriptions are our own.
 DEMO = _schema(
     1,
     "demo",
     [
-        (4, "X", "int32_t", 0.01, 0),
-        (4, "Y", "int32_t", 0.01, 0),
-        (4, "Z", "int32_t", 0.01, 0),
-        (2, "Intensity", "uint16_t", 1, 0),
+        (4, "X", "int32_t", 0.01, 0, "east, in steps"),
+        (4, "Y", "int32_t", 0.01, 0, "north, in steps"),
+        (4, "Z", "int32_t", 0.01, 0, "height, in steps"),
+        (2, "Intensity", "uint16_t", 1, 0, "strength of the echo"),
     ],
 )
 
@@ -50,28 +50,28 @@ RIEGL = _schema(
     2,
     "riegl",
     [
-        (8, "GPS_time", "double", 0.000001, 0),
-        (4, "x_sensor", "float", 0.001, 0),
-        (4, "y_sensor", "float", 0.001, 0),
-        (4, "z_sensor", "float", 0.001, 0),
-        (4, "x_origin_sensor", "float", 0.00001, 0),
-        (4, "y_origin_sensor", "float", 0.00001, 0),
-        (4, "z_origin_sensor", "float", 0.00001, 0),
-        (5, "x", "double", 0.001, 649000),
-        (5, "y", "double", 0.001, 6840000),
-        (5, "z", "float", 0.001, 0),
-        (5, "x_origin", "float", 0.0001, 649000),
-        (5, "y_origin", "float", 0.0001, 6840000),
-        (5, "z_origin", "float", 0.0001, 0),
-        (4, "echo_range", "float", 0.001, 0),
-        (4, "theta", "float", 0.0001, 0),
-        (4, "phi", "float", 0.000001, 0),
-        (1, "num_echo", "int", 1, 0),
-        (1, "nb_of_echo", "int", 1, 0),
-        (4, "amplitude", "float", 0.0001, 0),
-        (4, "reflectance", "float", 0.0001, 0),
-        (2, "deviation", "int", 1, 0),
-        (1, "background_radiation", "int", 1, 0),
+        (8, "GPS_time", "double", 0.000001, 0, "seconds of acquisition"),
+        (4, "x_sensor", "float", 0.001, 0, "along the sensor's first axis"),
+        (4, "y_sensor", "float", 0.001, 0, "along the sensor's second axis"),
+        (4, "z_sensor", "float", 0.001, 0, "along the sensor's third axis"),
+        (4, "x_origin_sensor", "float", 0.00001, 0, "laser's origin, sensor's first axis"),
+        (4, "y_origin_sensor", "float", 0.00001, 0, "laser's origin, sensor's second axis"),
+        (4, "z_origin_sensor", "float", 0.00001, 0, "laser's origin, sensor's third axis"),
+        (5, "x", "double", 0.001, 649000, "east, in the world's frame"),
+        (5, "y", "double", 0.001, 6840000, "north, in the world's frame"),
+        (5, "z", "float", 0.001, 0, "height, in the world's frame"),
+        (5, "x_origin", "float", 0.0001, 649000, "laser's origin, east"),
+        (5, "y_origin", "float", 0.0001, 6840000, "laser's origin, north"),
+        (5, "z_origin", "float", 0.0001, 0, "laser's origin, height"),
+        (4, "echo_range", "float", 0.001, 0, "distance from the laser"),
+        (4, "theta", "float", 0.0001, 0, "first angle of the beam"),
+        (4, "phi", "float", 0.000001, 0, "second angle of the beam"),
+        (1, "num_echo", "int", 1, 0, "which echo of its pulse"),
+        (1, "nb_of_echo", "int", 1, 0, "echoes of the pulse"),
+        (4, "amplitude", "float", 0.0001, 0, "height of the echo's peak"),
+        (4, "reflectance", "float", 0.0001, 0, "amplitude, corrected for distance"),
+        (2, "deviation", "int", 1, 0, "how far the echo's shape is from the pulse's"),
+        (1, "background_radiation", "int", 1, 0, "light without the laser"),
     ],
 )
 
@@ -79,21 +79,21 @@ VELODYNE = _schema(
     3,
     "velodyne",
     [
-        (8, "gps_time", "double", 0.00000001, 0),
-        (2, "echo_range", "UnsignedInteger", 1, 0),
-        (1, "intensity", "UnsignedInteger", 1, 0),
-        (2, "theta", "UnsignedInteger", 1, 0),
-        (2, "block_id", "UnsignedInteger", 1, 0),
-        (1, "fiber", "UnsignedInteger", 1, 0),
-        (4, "x_laser", "float", 0.001, 0),
-        (4, "y_laser", "float", 0.001, 0),
-        (4, "z_laser", "float", 0.001, 0),
-        (5, "x", "double", 0.001, 649000),
-        (5, "y", "double", 0.001, 6840000),
-        (5, "z", "double", 0.001, 0),
-        (5, "x_centre_laser", "double", 0.001, 649000),
-        (5, "y_centre_laser", "double", 0.001, 6840000),
-        (5, "z_centre_laser", "double", 0.001, 0),
+        (8, "gps_time", "double", 0.00000001, 0, "seconds of acquisition"),
+        (2, "echo_range", "UnsignedInteger", 1, 0, "distance from the laser"),
+        (1, "intensity", "UnsignedInteger", 1, 0, "strength of the echo"),
+        (2, "theta", "UnsignedInteger", 1, 0, "first angle of the beam"),
+        (2, "block_id", "UnsignedInteger", 1, 0, "block of lasers"),
+        (1, "fiber", "UnsignedInteger", 1, 0, "laser within its block"),
+        (4, "x_laser", "float", 0.001, 0, "along the laser's first axis"),
+        (4, "y_laser", "float", 0.001, 0, "along the laser's second axis"),
+        (4, "z_laser", "float", 0.001, 0, "along the laser's third axis"),
+        (5, "x", "double", 0.001, 649000, "east, in the world's frame"),
+        (5, "y", "double", 0.001, 6840000, "north, in the world's frame"),
+        (5, "z", "double", 0.001, 0, "height, in the world's frame"),
+        (5, "x_centre_laser", "double", 0.001, 649000, "laser's centre, east"),
+        (5, "y_centre_laser", "double", 0.001, 6840000, "laser's centre, north"),
+        (5, "z_centre_laser", "double", 0.001, 0, "laser's centre, height"),
     ],
 )
 

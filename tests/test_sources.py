@@ -19,15 +19,30 @@ from lidarlake.streaming.time_patches import time_bins
 
 NAN, INF = float("nan"), float("inf")
 
-# (name, kind) of each property of the 22-value point.
+# Name and kind of each property of the 22-value point, in file order.
 WIDE = [
     ("GPS_time", "f8"),
-    *[(n, "f4") for n in "x_sensor y_sensor z_sensor".split()],
-    *[(f"{n}_origin_sensor", "f4") for n in "xyz"],
-    *[(n, "f4") for n in "x y z x_origin y_origin z_origin range theta phi".split()],
+    ("x_sensor", "f4"),
+    ("y_sensor", "f4"),
+    ("z_sensor", "f4"),
+    ("x_origin_sensor", "f4"),
+    ("y_origin_sensor", "f4"),
+    ("z_origin_sensor", "f4"),
+    ("x", "f4"),
+    ("y", "f4"),
+    ("z", "f4"),
+    ("x_origin", "f4"),
+    ("y_origin", "f4"),
+    ("z_origin", "f4"),
+    ("range", "f4"),
+    ("theta", "f4"),
+    ("phi", "f4"),
     ("num_echo", "u1"),
     ("nb_of_echo", "u1"),
-    *[(n, "f4") for n in "amplitude reflectance deviation background_radiation".split()],
+    ("amplitude", "f4"),
+    ("reflectance", "f4"),
+    ("deviation", "f4"),
+    ("background_radiation", "f4"),
 ]
 NAMES = {"f8": "float64", "f4": "float32", "u1": "uint8", "u2": "uint16", "i4": "int32"}
 
