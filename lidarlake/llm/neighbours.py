@@ -3,9 +3,11 @@
 Vectors get one more component, so that all have the same norm and the largest inner product
 is the least distance. PLACES Gaussian projections of a pair at distance d lie at a
 distance whose square is d squared times a chi-square variable. Each block of
-vectors is a kd-tree over its projections. A query takes the tree's leaves by
-their projected distance and verifies their vectors exactly, until a vector nearer than
-the k-th best would project this far away with a chance of MISS at most.
+vectors is a kd-tree over its projections. For a query the tree's leaves are opened by the distance of their
+boxes, and their vectors verified exactly by their own projected distance, the nearest first, until
+a vector as near as the k-th best would project as far as the next one with a chance of MISS at most.
+MISS is thus the share of neighbours at the k-th distance that may be missed in a block; nearer ones are
+missed less.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PLACES = 8
-MISS = 0.01
-LEAF = 32
+PLACES = 32
+MISS = 0.06
+LEAF = 64
+#: Vectors that are verified before the test is made again.
+STEP = 64
 #: Vectors of a tree, and queries that visit it in one call.
 BLOCK = 8192
 QUERIES = 4096
@@ -69,6 +73,59 @@ def _projections(size: int) -> np.ndarray:
     return np.random.default_rng(size).standard_normal((size, PLACES))
 
 
+class Block:
+    """Vectors, all different, with a kd-tree over their projections."""
+
+    def __init__(self, vectors: np.ndarray, norm2: float):
+        size = vectors.shape[1]
+        self.norm2 = norm2
+        self.axes = _projections(size + 1)
+        last = np.sqrt(np.maximum(0, norm2 - (vectors * vectors).sum(1)))
+        points = np.column_stack([vectors, last]) @ self.axes
+        self.tree = Tree(points)
+        self.order = self.tree.order
+        self.vectors = np.ascontiguousarray(vectors[self.order])
+        self.points = np.ascontiguousarray(points[self.order])
+
+    def near(self, question: np.ndarray, k: int, point: float) -> tuple[np.ndarray, int]:
+        """Rows that may be among the k + 1 largest products found, and how many were verified."""
+        where = question @ self.axes[: len(question)]
+        base = self.norm2 + float(question @ question)
+        apart = self.tree.apart(where)
+        leaves = np.argsort(apart, kind="stable")
+        told = np.full(len(self.vectors), -np.inf)
+        rows, away = np.empty(0, np.int64), np.empty(0)  # of opened leaves, not verified yet, nearest first
+        opened, step, verified, best, done = 0, 4, 0, np.empty(0), False
+        while not done and (opened < len(leaves) or len(rows)):
+            if opened < len(leaves):
+                more = np.concatenate([np.arange(*self.tree.cuts[i]) for i in leaves[opened : opened + step]])
+                off = self.points[more] - where
+                rows, away = np.append(rows, more), np.append(away, (off * off).sum(1))
+                by = np.argsort(away, kind="stable")
+                rows, away = rows[by], away[by]
+                opened += step
+                step *= 2
+            # Nearer than any leaf that is still closed.
+            sure = np.searchsorted(away, apart[leaves[opened]], "right") if opened < len(leaves) else len(rows)
+            at = 0
+            while at < sure:
+                # Squared distance of the k-th best, of which the query itself may be one.
+                if len(best) > k and away[at] >= point * max(0.0, base - 2 * best[0]):
+                    done = True
+                    break
+                now = rows[at : min(at + STEP, sure)]
+                told[now] = self.vectors[now] @ question
+                verified += len(now)
+                at += len(now)
+                best = np.append(best, told[now])
+                if len(best) > k + 1:
+                    best = np.partition(best, len(best) - k - 1)[len(best) - k - 1 :]
+            rows, away = rows[at:], away[at:]
+        worst = best.min() if len(best) > k else -np.inf
+        slack = 1e-9 * (1 + abs(worst)) if worst > -np.inf else 0.0
+        return np.flatnonzero((told > -np.inf) & (told >= worst - slack)), verified
+
+
 def _search(k: int, norm2: float):
     point = chi_square_point(MISS)
     empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -90,36 +147,13 @@ def _search(k: int, norm2: float):
         by = np.argsort(group, kind="stable")
         starts = np.searchsorted(group[by], np.arange(len(first) + 1))
         members = [np.unique(ids[by[a:b]])[: k + 1] for a, b in zip(starts, starts[1:])]
-        vectors = vectors[first]
-        size = vectors.shape[1]
-        axes = _projections(size + 1)
-        last = np.sqrt(np.maximum(0, norm2 - (vectors * vectors).sum(1)))
-        tree = Tree(np.column_stack([vectors, last]) @ axes)
-        vectors = np.ascontiguousarray(vectors[tree.order])
-        members = [members[i] for i in tree.order]
+        block = Block(vectors[first], norm2)
+        members = [members[i] for i in block.order]
         asked, questions = rows_of(queries)
-        near = questions @ axes[:size]
         out_q, out_v, out_s = [], [], []
-        for own, question, where in zip(asked.tolist(), questions, near):
-            q2 = float(question @ question)
-            apart = tree.apart(where)
-            leaves = np.argsort(apart, kind="stable")
-            told = np.full(len(vectors), -np.inf)
-            at, step, worst = 0, 4, -np.inf
-            while at < len(leaves):
-                # Squared distance of the k-th best, of which the query itself may be one.
-                if worst > -np.inf and apart[leaves[at]] >= point * max(0.0, norm2 + q2 - 2 * worst):
-                    break
-                rows = np.concatenate([np.arange(*tree.cuts[i]) for i in leaves[at : at + step]])
-                told[rows] = vectors[rows] @ question
-                at += step
-                step *= 2
-                seen = told[told > -np.inf]
-                if len(seen) > k:
-                    worst = np.partition(seen, len(seen) - k - 1)[len(seen) - k - 1]
-            slack = 1e-9 * (1 + abs(worst)) if worst > -np.inf else 0.0
-            rows = np.flatnonzero(told >= worst - slack) if worst > -np.inf else np.flatnonzero(told > -np.inf)
-            exact = (vectors[rows] * question).sum(1)  # in one order of summing, whatever the block
+        for own, question in zip(asked.tolist(), questions):
+            rows, _ = block.near(question, k, point)
+            exact = (block.vectors[rows] * question).sum(1)  # in one order of summing, whatever the block
             found = sorted((-s, v) for r, s in zip(rows.tolist(), exact.tolist()) for v in members[r].tolist() if v != own)[:k]
             out_q += [own] * len(found)
             out_v += [v for _, v in found]

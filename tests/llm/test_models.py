@@ -122,6 +122,45 @@ def test_nearest(spark):
     assert hits >= 0.95 * 20 * len(got)
 
 
+@pytest.mark.parametrize("folder", ["sf0.1", "sf0.01"])
+def test_the_chi_square_test_stops_the_search(spark, folder):
+    """Recall against brute force, and the share of vectors that are verified for it."""
+    given = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").orderBy("vec_id").toArrow()
+    ids, vectors = given["vec_id"].to_numpy(), np.array(given["embedding"].to_pylist(), float)
+    block = neighbours.Block(vectors, float((vectors * vectors).sum(1).max()))
+    point = neighbours.chi_square_point(neighbours.MISS, neighbours.PLACES)
+    hits = verified = 0
+    asked = np.flatnonzero(ids % 20 == 0)
+    for i in asked:
+        rows, tested = block.near(vectors[i], 20, point)
+        verified += tested
+        scores = vectors @ vectors[i]
+        scores[i] = -np.inf
+        found = sorted((r for r in block.order[rows] if r != i), key=lambda r: -scores[r])[:20]
+        hits += len(set(found) & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.92 * 20 * len(asked)
+    assert verified <= (0.5 if folder == "sf0.1" else 0.7) * len(asked) * len(vectors)
+
+
+def test_blocks_lose_no_neighbour_but_by_chance(spark, monkeypatch):
+    """The query over its whole table, in several blocks: recall of the result itself."""
+    from lidarlake.llm import queries
+
+    monkeypatch.setattr(neighbours, "BLOCK", 700)
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toArrow()
+    ids, vectors = given["vec_id"].to_numpy(), np.array(given["embedding"].to_pylist(), float)
+    got = {}
+    for r in queries.op6_nearest_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0} and all(sorted(g) == list(range(1, 21)) for g in got.values())
+    hits = 0
+    for q, found in got.items():
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len(set(found.values()) & set(ids[np.argsort(-scores)[:20]].tolist()))
+    assert hits >= 0.92 * 20 * len(got)
+
+
 def test_nearest_of_few(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = neighbours.nearest(frame, frame.where("vec_id = 0")).collect()
