@@ -12,21 +12,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lidarlake.operators.grouping import Stretches
+from lidarlake.session import stage
+
 #: Payload bytes of a shard, and compressed bytes at which a file is rolled.
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 16 << 20
-#: Steps of the id range in which shard bounds are looked for.
-STEPS = 65_536
 DATE = "2000-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lidarlake:warc")
 _MANIFEST = "file string, records long, bytes long, sha1 string"
@@ -162,24 +163,15 @@ def _writer(folder: str, roll: int):
     return run
 
 
-def _bounds(pages: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """Least id, width of a step, and the steps at which a new shard begins."""
-    least, most = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if least is None:
-        return 0, 1, []
-    width = max(1, -(-(most - least + 1) // STEPS))
-    step = F.floor((F.col("page_id") - least) / width).cast("long")
-    sizes = pages.where("page_id is not null").groupBy(step.alias("step")).agg(
-        F.sum(F.octet_length(F.coalesce("html", F.lit("")))).alias("n"), F.count(F.lit(1)).alias("rows")
-    )
-    starts, held = [], 0
-    for at, n, rows in sorted(sizes.collect()):  # STEPS rows at most
-        n += 500 * rows
-        if held and held + n > shard_bytes:
-            starts.append(at)
-            held = 0
-        held += n
-    return least, width, starts
+def _stretches(pages: DataFrame, shard_bytes: int) -> tuple[Stretches, Column]:
+    """Stretches of the ids of about ``shard_bytes`` each, however the ids are spread, and the place of a row."""
+    least = pages.agg(F.min("page_id")).first()[0] or 0
+    place = F.coalesce("page_id", F.lit(least))
+    weight = F.octet_length(F.coalesce("html", F.lit(""))) + 500
+    # Looked at several times; the payloads are not.
+    sizes = stage(pages.groupBy(place.alias("_at")).agg(F.sum(weight).alias("_n")), "warc-sizes")
+    whole = sizes.agg(F.sum("_n")).first()[0] or 0
+    return Stretches(sizes, max(1, math.ceil(whole / shard_bytes))), place
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -209,22 +201,17 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_by
         .drop("copies")
     )
     keepers = narrow.select("page_id", "keeper_of").distinct().join(groups, "keeper_of")
-    least, width, starts = _bounds(pages, shard_bytes)
-    step = F.floor((F.col("page_id") - least) / width).cast("long")
-    shards = pages.sparkSession.createDataFrame(  # STEPS rows
-        [(s, bisect_right(starts, s)) for s in range(STEPS)], "_step long, shard int"
-    )
+    stretches, place = _stretches(pages, shard_bytes)
     both = pages.select(
         "page_id", "url", "html", F.lit(None).cast("string").alias("keeper_of"), F.lit(None).cast("long").alias("keeper")
     ).unionByName(
         keepers.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "keeper_of", "keeper")
     )
+    # All rows of an id stay together: the first of them answers for the others.
     dealt = (
-        both.withColumn("_step", step)
-        .join(F.broadcast(shards), "_step", "left")
-        .withColumn("shard", F.coalesce("shard", F.lit(0)))
-        .drop("_step")
-        .repartition(len(starts) + 1, "shard")
+        stretches.send(both.withColumn("_at", place), F.lit(0))
+        .withColumnRenamed("_part", "shard")
+        .drop("_at")
         .sortWithinPartitions("shard", F.asc_nulls_first("page_id"), F.col("keeper_of").isNull(), "url", "html")
     )
     listed = dealt.mapInArrow(_writer(folder, roll_bytes), _MANIFEST)

@@ -214,6 +214,20 @@ def test_archives_round_trip(spark, pages, tmp_path, least):
     assert outputs[0] == outputs[1]  # the same bytes, however the input was dealt
 
 
+def test_one_far_id_leaves_shards_even(spark, tmp_path):
+    frame = spark.range(2000).select(
+        F.when(F.col("id") == 7, F.lit(1 << 60)).otherwise(F.col("id")).alias("page_id"), F.lit("u").alias("url"),
+        F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 900)).alias("html"),
+    )
+    stretches, place = warc._stretches(frame, 100_000)
+    dealt = stretches.send(frame.withColumn("_at", place), F.lit(0))
+    sizes = [r["count"] for r in dealt.groupBy("_part").count().collect()]
+    assert len(sizes) >= 25 and max(sizes) < 2 * 2000 / len(sizes)
+    folder = f"file://{tmp_path}/far"
+    warc.write_archives(frame, folder, shard_bytes=100_000)
+    assert sorted(r.page_id for r in warc.read_archives(spark, folder).collect()) == sorted(r.page_id for r in frame.collect())
+
+
 def test_archives_of_nothing(spark, pages, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert warc.write_archives(pages[1].where("false"), folder).collect() == []
