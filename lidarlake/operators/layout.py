@@ -14,6 +14,7 @@ from lidarlake.functions.zorder import morton
 from lidarlake.operators.grouping import Stretches
 from lidarlake.operators.patch import explode_patches, patch_keys, stat_prefix, tile_of, tile_size
 from lidarlake.operators.retrieve import Criterion, candidates, matching_points
+from lidarlake.session import stage
 from lidarlake.sources.files import path_exists
 
 
@@ -51,7 +52,9 @@ def _laid_along(patches: DataFrame, place: Column, order: Sequence[str], files:
     The stretches are found from places and sizes alone; arrays move once. Rows without a place come first.
     """
     placed = patches.withColumn("_at", F.coalesce(place, F.lit(-1).cast("long")))
-    stretches = Stretches(placed.select("_at", F.col("n").alias("_n")), files)
+    # Looked at several times; building the patches again for that would be dear.
+    sizes = stage(placed.groupBy("_at").agg(F.sum("n").alias("_n")), "places")
+    stretches = Stretches(sizes, files)
     keys = patch_keys(patches)
     sent = stretches.send(placed, F.xxhash64(*keys))
     order = list(dict.fromkeys(c for c in ["_at", *order, *keys] if c in placed.columns))
