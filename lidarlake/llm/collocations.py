@@ -92,16 +92,16 @@ def _tell_words(table: pa.Table) -> pa.Table:
 
 
 class _Numbers(dict):
-    """Word to its number if it is frequent, else -1; numbers go by first appearance."""
+    """Word to its number, -1 if it is not known to be frequent; numbers go by first appearance."""
 
-    def __init__(self, lang: str, known: set[int]):
+    def __init__(self, lang: str, known: set[int] | None):
         self.seed = zlib.crc32(lang.encode() + b"\0")
         self.known = known
         self.words: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
         number = -1
-        if word != _END and zlib.crc32(word, self.seed) in self.known:
+        if word != _END and (self.known is None or zlib.crc32(word, self.seed) in self.known):
             number = len(self.words)
             self.words.append(word)
         self[word] = number
@@ -109,9 +109,9 @@ class _Numbers(dict):
 
 
 class _Chains:
-    """A language's texts within a split, as numbers of frequent words; all else is a gap (-1)."""
+    """A language's texts within a split, as numbers of frequent words (all if none are named); all else is a gap (-1)."""
 
-    def __init__(self, lang: str, texts: list[bytes], known: set[int]):
+    def __init__(self, lang: str, texts: list[bytes], known: set[int] | None):
         numbers = _Numbers(lang, known)
         parts = [np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)) for found in tokens(texts)]
         self.words = words = numbers.words
@@ -159,10 +159,9 @@ class _Chains:
         return [self.phrase(at, n) for at, n in zip(first.tolist(), size.tolist())], counts, chain[first]
 
 
-def _chains(table: pa.Table, known: pa.Table) -> Iterator[tuple[str, _Chains]]:
-    keys = set(known["key"].to_pylist())
+def _chains(table: pa.Table, known: set[int] | None) -> Iterator[tuple[str, _Chains]]:
     for lang, texts in _by_language(table).items():
-        yield lang, _Chains(lang, texts, keys)
+        yield lang, _Chains(lang, texts, known)
 
 
 def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
@@ -181,7 +180,7 @@ def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
     def tell_pairs(table: pa.Table, known: pa.Table) -> pa.Table:
         keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if table.num_rows:
-            for _, chains in _chains(table, known):
+            for _, chains in _chains(table, set(known["key"].to_pylist())):
                 keys.append(chains.keys)
                 counts.append(chains.counts)
         keys = np.concatenate(keys)
@@ -199,10 +198,9 @@ def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
 
         if not table.num_rows:
             return parts[0]
-        is_word = pc.is_valid(told["key"])
-        known, pairs = told.filter(is_word), told.filter(pc.invert(is_word))
+        is_word = pc.is_valid(told["word"])
+        mine, pairs = told.filter(is_word), told.filter(pc.invert(is_word))
         # Of a word or pair, one split tells the total; they are complete and go to any group.
-        mine = known.filter(pc.is_valid(known["total"]))
         for lang in set(mine["lang"].to_pylist()):
             own = mine.filter(pc.equal(mine["lang"], lang))
             n = own.num_rows
@@ -210,7 +208,8 @@ def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
         keys = pairs["pair"].to_numpy() if pairs.num_rows else np.empty(0, np.int64)
         totals = pc.fill_null(pairs["total"], 0).to_numpy() if pairs.num_rows else keys
         large = pairs["large"].to_numpy(zero_copy_only=False).astype(bool) if pairs.num_rows else np.empty(0, bool)
-        for lang, chains in _chains(table, known):
+        # Frequent pairs are known by themselves, so words need not be.
+        for lang, chains in _chains(table, None):
             here = np.flatnonzero(np.isin(keys, chains.keys))
             good = chains.ranks(keys[here])
             # Phrases that begin alike stay side by side.
@@ -272,8 +271,9 @@ def counted(docs: DataFrame, least: int, budget: int = LEAVES) -> DataFrame:
     pairs = source.groupBy("split").cogroup(words.groupBy("split")).applyInArrow(tell_pairs, "split int, pair long, n long")
     pairs = frequent(pairs, "pair")
     none = F.lit(None)
-    both = words.select("*", none.cast("long").alias("pair"), none.cast("boolean").alias("large")).unionByName(
-        pairs.select("*", none.cast("long").alias("key"), none.cast("string").alias("lang"), none.cast("string").alias("word"))
+    owned = words.where("total is not null").select("split", "lang", "word", "total")
+    both = owned.select("*", none.cast("long").alias("pair"), none.cast("boolean").alias("large")).unionByName(
+        pairs.select("*", none.cast("string").alias("lang"), none.cast("string").alias("word"))
     )
     suffixes = source.groupBy("split").cogroup(both.groupBy("split")).applyInArrow(
         tell_suffixes, "group long, lang string, phrase string, n long"
