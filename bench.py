@@ -78,6 +78,10 @@ def main() -> None:
         "retrieve_space_time": lambda: drain(retrieve.retrieve(cubes, disc, year, dims=dims)),
         "area_join": lambda: drain(joins.area_points(cubes, areas(spark), dims)),
         "time_window_join": lambda: drain(joins.window_points(weeks, windows(spark), dims)),
+        "area_join_parts": lambda: drain(catalogue.area_join(spark, SF_DIR)),
+        "polygon_join": lambda: drain(catalogue.polygon_join(spark, SF_DIR)),
+        "multiscale_levels": lambda: drain(catalogue.multiscale_levels(spark, SF_DIR)),
+        "ply_list_read": lambda: drain(catalogue.ply_list_read(spark, SF_DIR)),
         "patch_summary": lambda: drain(report.patch_summary(cubes)),
         "row_ids": lambda: drain(catalogue.row_ids(spark, SF_DIR)),
         "ply_read": lambda: drain(catalogue.ply_read(spark, SF_DIR)),

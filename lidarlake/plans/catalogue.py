@@ -63,10 +63,8 @@ def ply_selective_read(spark, sf_dir):
 
 
 def ply_ascii_read(spark, sf_dir):
-    """ASCII files, each in several ranges."""
-    folder = stored.encoded_folder(spark, sf_dir, "ascii")
-    reader = spark.read.format("ply").option("splitLines", "true").option("splitBytes", str(1 << 18))
-    return reader.load(folder)
+    """ASCII files, each counted and then read in several ranges."""
+    return ply.read_lines(spark, stored.encoded_folder(spark, sf_dir, "ascii"), split_bytes=1 << 18)
 
 
 def ply_big_endian_read(spark, sf_dir):

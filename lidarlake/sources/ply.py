@@ -262,7 +262,7 @@ class PlyDataSource(DataSource):
     stops unless ``missing`` is "null". With ``splitLines`` an ASCII
     body is cut into ranges as well: say so for files that hold one element without
     lists and one instance per line. The last range of a file counts its lines, and stops if
-    they are not as many as the header says. ``load`` takes several paths, patterns, and
+    they are not as many as the header says; ``counted`` says that ``check_lines`` has done so. ``load`` takes several paths, patterns, and
     folders with folders below.
     """
 
@@ -304,6 +304,7 @@ class PlyReader(DataSourceReader):
         self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
         self.split_lines = options.get("splitlines", options.get("splitLines", "false")).lower() == "true"
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.counted = options.get("counted", "false").lower() == "true"
         self.fill = options.get("missing", "error").lower() == "null"
         self.narrow = options.get("narrow", "false").lower() == "true"
         self.arrow = to_arrow_schema(schema)
@@ -385,7 +386,7 @@ class PlyReader(DataSourceReader):
             }
             if words:
                 yield self._batch(columns, part.path)
-        if part.end >= part.size:
+        if part.end >= part.size and not self.counted:
             lines = _count_lines(file, header.length, part.size)
             if lines != element.count:
                 raise PlyError(f"{part.path}: {lines} lines of {element.name}, the header says {element.count}")
@@ -785,6 +786,51 @@ def read_indexed(index: DataFrame, schema: T.StructType | str, element: str = "v
     return index.repartition(stretches, "path", "byte").mapInArrow(decode, schema)
 
 
+def check_lines(spark: SparkSession, path: str | Sequence[str], element: str = "vertex", split_bytes: int = 64 << 20) -> DataFrame:
+    """``path, lines, expected`` of the ASCII files whose lines are not as many as their header says.
+
+    Each range of a file is counted in a task of its own and the counts are added up, so no task reads a
+    whole file. Files that pass can be loaded with ``splitLines`` and ``counted``.
+    """
+    pieces = [
+        (name, start, min(start + split_bytes, size), size)
+        for name, size in _list_files(path)
+        for start in range(0, max(size, 1), split_bytes)
+    ]
+    ranges = spark.createDataFrame(pieces, "path string, start long, end long, size long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part in batch.to_pylist():
+                with _open(part["path"]) as file:
+                    header = read_header(part["path"], file)
+                    if not header.is_ascii:
+                        continue
+                    lines = 0
+                    if part["end"] > header.length:
+                        start = max(part["start"], header.length)
+                        for block in _line_blocks(file, start, part["end"], header.length):
+                            lines += sum(1 for line in block.split(b"\n") if line.strip())
+                rows.append((part["path"], lines, header.element(element).count))
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["path", "lines", "expected"])
+
+    counted = ranges.repartition(max(1, len(pieces)), "path", "start").mapInArrow(count, "path string, lines long, expected long")
+    summed = counted.groupBy("path").agg(F.sum("lines").alias("lines"), F.max("expected").alias("expected"))
+    return summed.where("lines <> expected")
+
+
+def read_lines(spark: SparkSession, path: str | Sequence[str], element: str = "vertex", split_bytes: int = 64 << 20) -> DataFrame:
+    """ASCII files of one element and one instance per line, in ranges: counted first, then read, each byte twice."""
+    wrong = check_lines(spark, path, element, split_bytes).first()
+    if wrong:
+        raise PlyError(f"{wrong.path}: {wrong.lines} lines of {element}, the header says {wrong.expected}")
+    reader = spark.read.format("ply").option("element", element).option("splitLines", "true").option("counted", "true")
+    return reader.option("splitBytes", str(split_bytes)).load(path)
+
+
 def shard_files(path: str, shards: int, shard: int) -> list[str]:
     """The files whose place in the sorted list leaves ``shard`` modulo ``shards``."""
     return [name for i, (name, _) in enumerate(_list_files(path)) if i % shards == shard]

@@ -83,6 +83,27 @@ def test_an_index_of_a_cut_file(spark, tmp_path):
             read()
 
 
+def test_lines_are_counted_in_ranges(spark, tmp_path):
+    path = tmp_path / "lines"
+    rows = [(i, i / 7) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "a int, b double")
+    frame.repartition(2).write.format("ply").option("encoding", "ascii").mode("append").save(str(path))
+    assert ply.check_lines(spark, str(path), split_bytes=1000).collect() == []
+    got = ply.read_lines(spark, str(path), split_bytes=1000)
+    assert got.rdd.getNumPartitions() > 20 and sorted(map(tuple, got.collect())) == rows
+    file = sorted(p for p in path.iterdir() if p.suffix == ".ply")[0]
+    whole = file.read_bytes()
+    cut = whole[: whole.rindex(b"\n", 0, len(whole) - 1) + 1]
+    for broken, lines in ((cut, -1), (whole + b"5 6.0\n", 1), (whole + b"\n \n", 0), (whole.rstrip(b"\n"), 0)):
+        file.write_bytes(broken)
+        for size in (100, 777, 10**9):
+            wrong = ply.check_lines(spark, str(path), split_bytes=size).collect()
+            assert [(r.lines - r.expected) for r in wrong] == ([lines] if lines else [])
+    file.write_bytes(cut)
+    with pytest.raises(ply.PlyError, match="the header says"):
+        ply.read_lines(spark, str(path), split_bytes=500)
+
+
 def make(spark, path, rows, kind):
     spark.createDataFrame(rows, kind).coalesce(1).write.format("ply").mode("append").save(path)
 
