@@ -173,7 +173,8 @@ def _choose(frequent, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
-        for batch in batches:
+        # A set has hundreds of keys: few sets at a time.
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             nodes, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(2)
             flat = lists.flatten().to_numpy()
