@@ -15,8 +15,14 @@ from lidarlake.llm.common import table
 from lidarlake.session import stage
 
 
+def _texts_in_small_batches(spark: SparkSession) -> None:
+    """Rows are whole texts, some of them long: fewer than Spark's 10,000 go to a Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives less than 0.7; it learns from this stage's labelled rows."""
+    _texts_in_small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     others = [F.col(c) for c in docs.columns if c != "text"]
     scored = toxicity.score(docs, model, others, text=True).where("score < 0.7")
@@ -35,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat a kept document's id and text count as one. Documents without words are
     linked with nothing and stay, each row of them if the doc_id is missing.
     """
+    _texts_in_small_batches(spark)
     keyed = _keyed(docs)
     linked = jaccard.jaccard_join(keyed.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100)
     linked = linked.select(F.col("doc_id").alias("_row"), "component_id", (F.col("n_shingles") == 0).alias("_empty")).distinct()
@@ -52,6 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A text that loses nothing stays as it is; ``n_chars`` follows a text that changes.
     """
+    _texts_in_small_batches(spark)
     others = [c for c in docs.columns if c != "text"]
     cut = substrings.remove_repeats(docs, window=35, carried=others, whole=True)
     # Renamed by place: a carried name may be one of the results'.
@@ -65,6 +73,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, nor one with up to a fifth of its words edited."""
+    _texts_in_small_batches(spark)
     keyed = _keyed(docs)
     texts = keyed.select(F.col("_row").alias("doc_id"), "text")
     found = decontaminate.contaminated(texts, table(spark, sf_dir, "benchmark"))
@@ -74,6 +83,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the mix takes words of, each with ``taken``, the number of words taken of it."""
+    _texts_in_small_batches(spark)
     others = [c for c in docs.columns if c != "taken"]
     mixed = mixing.mix(docs, carried=others).where("taken > 0")
     return mixed.select(*[F.col("rest").getField(c).alias(c) for c in others], "taken")
