@@ -6,8 +6,10 @@ Words are runs of bytes other than 0x20 and 0x09 to 0x0D, which is just what
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,23 @@ def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes
     return [t or b"" for t in column.to_pylist()]
 
 
+def release() -> None:
+    """Give free memory back to the system. Python workers live on after a task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other systems have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives its memory back when it is done."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        release()
+
+    return run
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values; one to one."""
     values = values ^ (values >> np.uint64(32))

@@ -33,6 +33,7 @@ from lidarlake.llm.common import (
     WordHashes,
     components,
     mix,
+    released,
     signed,
     sorted_groups,
     texts_of,
@@ -373,7 +374,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stage(
-        docs.mapInArrow(_sketch(k, num, den), _SKETCHED),
+        docs.mapInArrow(released(_sketch(k, num, den)), _SKETCHED),
         "jaccard-sketches",
     )
     classes = sketched.where("node is not null").groupBy("node").agg(
@@ -382,7 +383,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     frequent = (
         sketched.where("keys is not null")
         .select("keys")
-        .mapInArrow(_frequent, "key long, n long")
+        .mapInArrow(released(_frequent), "key long, n long")
         .groupBy("key")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "key")
@@ -393,7 +394,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     listed = docs.sparkSession.sparkContext.broadcast((frequent["key"].to_numpy(), frequent["n"].to_numpy()))
     chained = stage(
         classes.select("node", "n_shingles", "keys")
-        .mapInArrow(_choose(listed, num, den), "key long, node long")
+        .mapInArrow(released(_choose(listed, num, den)), "key long, node long")
         .repartitionByRange("key", "node")
         .sortWithinPartitions("key", "node")
         .mapInArrow(_chain, _CHAIN),
@@ -426,7 +427,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
         .select("cluster", "band", "i", "j", "block", "node", "n_shingles", "lower", "sketch")
         .repartition("cluster", "band", "i", "j")
         .sortWithinPartitions("cluster", "band", "i", "j")
-        .mapInArrow(_refine(num, den), "a long, b long")
+        .mapInArrow(released(_refine(num, den)), "a long, b long")
     )
     members = _with_centres(components(close, "jaccard-close"))
     known = sketched.where("node is not null").groupBy("node").agg(
@@ -444,7 +445,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
         .repartition("cluster", "i", "j")
         .sortWithinPartitions("cluster", "i", "j")
     )
-    linked = stage(pairs.mapInArrow(_verify(k, num, den), "a long, b long"), "jaccard-links")
+    linked = stage(pairs.mapInArrow(released(_verify(k, num, den)), "a long, b long"), "jaccard-links")
     found = components(linked, "jaccard-components")
     found = _with_centres(found).withColumnRenamed("cluster", "component")
     named = known.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

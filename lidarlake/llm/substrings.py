@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lidarlake.llm.common import Rolling, WordHashes, repeated, signed, splits, texts_of, within
+from lidarlake.llm.common import Rolling, WordHashes, release, repeated, signed, splits, texts_of, within
 
 #: Words of an anchor. Shorter anchors are fewer, but more of them repeat by chance.
 ANCHOR = 8
@@ -30,6 +30,7 @@ class _Windows:
     """The windows of a split's texts, laid end to end."""
 
     def __init__(self, table: pa.Table, window: int):
+        release()  # of the split before
         hashes = WordHashes()
         self.words = [t.split() for t in texts_of(table)]
         lengths = np.array([len(w) for w in self.words], np.int64)

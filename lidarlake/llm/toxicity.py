@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lidarlake.llm.common import released
 from lidarlake.session import stage
 
 #: Labelled rows that training sees at most: those with the least hash of doc_id.
@@ -280,4 +281,4 @@ def score(docs: DataFrame, model: Model, kept: list[Column] | None = None, text:
             yield pa.RecordBatch.from_pydict(columns | {"rest": batch.column(1), "score": values})
 
     schema = source.select(*(["text"] if text else []), "rest").schema.add("score", "double")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
