@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 PLACES = 32
 MISS = 0.06
 LEAF = 64
-#: Vectors that are verified before the test is made again.
+#: Vectors, and share of a block's, that are verified before the test is made again.
 STEP = 64
+STEPS = 32
 #: Vectors of a tree, and queries that visit it in one call.
 BLOCK = 8192
 QUERIES = 4096
@@ -86,6 +87,7 @@ class Block:
         self.order = self.tree.order
         self.vectors = np.ascontiguousarray(vectors[self.order])
         self.points = np.ascontiguousarray(points[self.order])
+        self.squares = (self.points * self.points).sum(1)
 
     def near(self, question: np.ndarray, k: int, point: float) -> tuple[np.ndarray, int]:
         """Rows that may be among the k + 1 largest products found, and how many were verified."""
@@ -94,15 +96,16 @@ class Block:
         apart = self.tree.apart(where)
         leaves = np.argsort(apart, kind="stable")
         told = np.full(len(self.vectors), -np.inf)
+        projected = self.squares - 2 * (self.points @ where) + float(where @ where)
         rows, away = np.empty(0, np.int64), np.empty(0)  # of opened leaves, not verified yet, nearest first
-        opened, step, verified, best, done = 0, 4, 0, np.empty(0), False
+        opened, step, verified, best, done = 0, max(4, len(leaves) // 4), 0, np.empty(0), False
+        stride = max(STEP, len(self.vectors) // STEPS)
         while not done and (opened < len(leaves) or len(rows)):
             if opened < len(leaves):
                 more = np.concatenate([np.arange(*self.tree.cuts[i]) for i in leaves[opened : opened + step]])
-                off = self.points[more] - where
-                rows, away = np.append(rows, more), np.append(away, (off * off).sum(1))
-                by = np.argsort(away, kind="stable")
-                rows, away = rows[by], away[by]
+                rows = np.append(rows, more)
+                rows = rows[np.argsort(projected[rows], kind="stable")]
+                away = projected[rows]
                 opened += step
                 step *= 2
             # Nearer than any leaf that is still closed.
@@ -113,7 +116,7 @@ class Block:
                 if len(best) > k and away[at] >= point * max(0.0, base - 2 * best[0]):
                     done = True
                     break
-                now = rows[at : min(at + STEP, sure)]
+                now = rows[at : min(at + stride, sure)]
                 told[now] = self.vectors[now] @ question
                 verified += len(now)
                 at += len(now)
