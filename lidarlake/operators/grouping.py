@@ -5,8 +5,10 @@ Patches with their points need the points of a group in one place, so they are
 built under two limits. ``max_points`` is the size of a patch: a larger group gives
 several patches, numbered by ``chunk`` along the point order. ``split_rows`` is the
 number of rows one task may have to sort for one group: larger groups take the way
-of ``operators.ids`` and are cut over many tasks. Neither changes which points are
-kept, and the second does not change the result at all.
+of ``operators.ids`` and are cut over many tasks. A run of theirs has ``split_rows`` rows, or
+more where that would make more runs than Spark has shuffle partitions, but never more than
+``SPLIT_ROWS`` by plan. Neither changes which points are kept, and the second does not change
+the result at all.
 """
 
 from __future__ import annotations
@@ -83,6 +85,15 @@ def heavy_groups(
     return largest, stage(sizes.where(over).select(*renamed, "_n"), "heavy"), count
 
 
+def run_count(rows: int, split_rows: int, partitions: int) -> int:
+    """Runs that the ``rows`` of all heavy groups are cut into.
+
+    Runs of ``split_rows`` rows where these are few; a run is a task, so where there would be more than
+    shuffle partitions, runs grow, up to SPLIT_ROWS.
+    """
+    return min(1 + rows // split_rows, max(partitions, 1 + rows // SPLIT_ROWS))
+
+
 def split_heavy(
     keyed: DataFrame, names: Sequence[str], heavy: DataFrame, count: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -238,7 +249,8 @@ def _chunked(
     branches = []
     if heavy is not None:
         ordinary, large = split_heavy(keyed, names, heavy, count)
-        many = 1 + heavy.agg(F.sum("_n")).first()[0] // split_rows
+        partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        many = run_count(heavy.agg(F.sum("_n")).first()[0], split_rows, partitions)
         runs = sorted_runs(large, [*names, *order], many, distinct_order=False)
         numbered = number_runs(runs, names, "_rn", many + count).withColumn("chunk", chunk).drop("_rn")
         branches.append(spread.send(numbered, [*names, "chunk"]))

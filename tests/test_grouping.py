@@ -269,3 +269,25 @@ def test_stretches_refine_heavy_cells(spark, monkeypatch):
 def test_nothing_to_lay_out(spark):
     none = spark.createDataFrame([], "_at long, _n long")
     assert grouping.Stretches(none).send(none, F.lit(0)).collect() == []
+
+
+def test_runs_are_not_more_than_tasks(spark):
+    """A run is a task: a small limit on many rows must not make one per few rows."""
+    assert grouping.run_count(100, 40, 8) == 3
+    assert grouping.run_count(3_600_000, 20, 8) == 8
+    assert grouping.run_count(36_000_000, 200, 8) == 37  # of a million rows at most
+    assert grouping.run_count(36_000_000, 2_000_000, 8) == 19
+
+
+def test_many_heavy_groups_in_few_runs(spark, monkeypatch):
+    made = []
+    real = grouping.sorted_runs
+    monkeypatch.setattr(grouping, "sorted_runs", lambda df, order, runs, **more: made.append(runs) or real(df, order, runs, **more))
+    df = spark.range(4000).selectExpr("id % 40 AS echo", "double(id % 7) AS gps_time", "double(id) AS x")
+    capped, _ = grouping.capped_points(df, keys.attribute("echo", "echo"), 10, split_rows=20)
+    found = {(r.echo, r.chunk): r.xs for r in capped.groupBy("echo", "chunk").agg(F.collect_set("x").alias("xs")).collect()}
+    for echo in range(40):
+        members = sorted(((i % 7, float(i)) for i in range(echo, 4000, 40)))
+        for chunk in range(10):
+            assert set(found[(echo, chunk)]) == {x for _, x in members[10 * chunk : 10 * chunk + 10]}
+    assert made == [8]
