@@ -84,16 +84,20 @@ def encoded_folder(spark: SparkSession, sf_dir: str, encoding: str) -> str:
 
 
 def mixed_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The cloud as PLY files of two makers: one keeps float32 and 16 bits where the other has more, and no range."""
+    """The cloud as PLY files of two makers: one keeps float32 and 16 bits where the other has more, and no range.
+
+    Points whose fiber needs more than its 16 bits it keeps in files with 32.
+    """
     ply.register(spark)
 
     def write(path: str) -> None:
         cloud = file_points(spark, sf_dir).select("gps_time", "x", "num_echo", "fiber", "echo_range")
         first = cloud.where("num_echo % 2 = 1")
-        second = cloud.where("num_echo % 2 = 0").select(
-            "gps_time", F.col("x").cast("float"), "num_echo", F.col("fiber").cast("smallint")
-        )
-        for part in (first, second):
+        second = cloud.where("num_echo % 2 = 0").select("gps_time", F.col("x").cast("float"), "num_echo", "fiber")
+        # A missing fiber stays with the narrow ones, where the sink refuses it.
+        wide = F.coalesce(~F.col("fiber").between(-(1 << 15), (1 << 15) - 1), F.lit(False))
+        narrow = second.where(~wide).withColumn("fiber", F.col("fiber").cast("smallint"))
+        for part in (first, narrow, second.where(wide)):
             part.write.format("ply").mode("append").save(path)
 
     return once(spark, sf_dir, "ply-mixed", write)

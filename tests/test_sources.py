@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lidarlake.functions import keys
@@ -510,3 +511,26 @@ def test_stream_of_time_bins(spark, tmp_path):
     batch = grouping.group_stats(points.where("gps_time < 1e6"), keys.time_bin(100), stats=("x",))
     got = spark.read.parquet(str(tmp_path / "out")).select(batch.columns)
     assert sorted(got.collect()) == sorted(batch.collect())
+
+
+def test_mixed_files_hold_fibers_beyond_16_bits(spark, tmp_path):
+    """The maker of 16-bit files keeps points with larger numbers too, and both queries still agree with the cloud."""
+    from lidarlake.plans import catalogue
+
+    rows = [
+        (fiber, n, float(n + 1), 1000.0 * n, 0.05, 0.01 * n, "A", "F", datetime(1998, 1, 1 + n))
+        for fiber in (0, 7, 32767, 32768, 59_999, 2_000_000)
+        for n in (1, 2, 3, 4)
+    ]
+    kind = (
+        "l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    )
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "lineitem.parquet"))
+    read = catalogue.ply_mixed_read(spark, str(tmp_path)).select("fiber", "num_echo", "x", "echo_range").collect()
+    assert sorted(map(str, read)) == sorted(
+        str(Row(fiber=r[0], num_echo=r[1], x=r[2], echo_range=r[5] if r[1] % 2 else None)) for r in rows
+    )
+    told = {r.property: r for r in catalogue.ply_property_types(spark, str(tmp_path)).collect()}
+    assert (told["fiber"].stored, told["fiber"].spark_type) == ("int16,int32", "int")
+    assert told["echo_range"].lacking and not told["fiber"].lacking
