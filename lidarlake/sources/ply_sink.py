@@ -26,6 +26,10 @@ _SCALARS = {
     "float": ("float32", "f4"),
     "double": ("float64", "f8"),
 }
+# Records of one file are held until they are counted, and are laid out a piece at a time: both are bounded by
+# bytes too, as records with lists may be of any size.
+_FILE_BYTES = 64 * 1024 * 1024
+_PIECE_BYTES = 2 * 1024 * 1024
 _FORMATS = {"binary_little_endian": "<", "binary_big_endian": ">", "ascii": "="}
 
 
@@ -61,21 +65,34 @@ class PlySink(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
         fs, inner = file_system(self.path)
         fs.create_dir(inner, recursive=True)
-        names, held, rows = [], [], 0
+        names, held, rows, size = [], [], 0, 0
         for batch in iterator:
             start = 0
             while start < batch.num_rows:
-                piece = batch.slice(start, self.limit - rows)
+                piece = self._piece(batch, start, self.limit - rows)
                 held.append(self._records(piece))
                 rows += piece.num_rows
+                size += len(held[-1])
                 start += piece.num_rows
-                if rows == self.limit:
+                if rows == self.limit or size >= _FILE_BYTES:
                     names.append(self._file(fs, inner, held, rows))
-                    held, rows = [], 0
+                    held, rows, size = [], 0, 0
         if rows:
             names.append(self._file(fs, inner, held, rows))
         return WrittenFiles(names)
 
+    def _piece(self, batch: pa.RecordBatch, start: int, most: int) -> pa.RecordBatch:
+        """At most ``most`` records from ``start`` on, whose lists take no more than _PIECE_BYTES, or a single one."""
+        most = min(most, batch.num_rows - start)
+        width = np.zeros(most, np.int64)
+        for name, kind in self.kinds:
+            itemsize = np.dtype(kind).itemsize
+            if name in self.lists:
+                width += 4 + itemsize * np.diff(batch.column(name).slice(start, most).offsets.to_numpy())
+            else:
+                width += itemsize
+        return batch.slice(start, max(1, int(np.searchsorted(np.cumsum(width), _PIECE_BYTES, side="right"))))
+
     def _records(self, batch: pa.RecordBatch) -> bytes:
         columns = {}
         for name, kind in self.kinds:

@@ -5,6 +5,7 @@ import struct
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -534,3 +535,25 @@ def test_mixed_files_hold_fibers_beyond_16_bits(spark, tmp_path):
     told = {r.property: r for r in catalogue.ply_property_types(spark, str(tmp_path)).collect()}
     assert (told["fiber"].stored, told["fiber"].spark_type) == ("int16,int32", "int")
     assert told["echo_range"].lacking and not told["fiber"].lacking
+
+
+def test_sink_is_bounded_by_bytes(tmp_path, monkeypatch):
+    """A batch of long lists is laid out in small pieces, and files end by bytes as well as by records."""
+    from pyspark.sql import types as T
+
+    from lidarlake.sources import ply_sink
+
+    monkeypatch.setattr(ply_sink, "_PIECE_BYTES", 4000)
+    monkeypatch.setattr(ply_sink, "_FILE_BYTES", 20_000)
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    lists = [[float(i)] * (2000 if i == 7 else i % 50) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int32()), pa.array(lists, pa.list_(pa.float64()))], names=["n", "x"])
+    sink = ply_sink.PlySink(str(tmp_path), schema, False, {"element": "patch"})
+    pieces, real = [], sink._records
+    monkeypatch.setattr(sink, "_records", lambda piece: pieces.append((piece.num_rows, len(out := real(piece)))) or out)
+    sink.commit([sink.write(iter([batch.slice(0, 100), batch.slice(100)]))])
+    assert all(size <= 4000 or rows == 1 for rows, size in pieces) and sum(rows for rows, _ in pieces) == 300
+    assert len(list(tmp_path.glob("*.ply"))) > 3
+    reader = ply.PlyReader(str(tmp_path), schema, {"element": "patch"})
+    read = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    assert sorted((r["n"], r["x"]) for r in read) == list(enumerate(lists))
