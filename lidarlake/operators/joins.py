@@ -15,7 +15,7 @@ together cover all that is asked for.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ HULLS = 16
 _FAR = (1e1, 1e3, 1e6)
 
 Sides = Sequence[tuple[str, str]]
+#: Column of a total to ("min" or "max", dimension).
+Totals = Mapping[str, tuple[str, str]]
 Boxes = list[list[tuple[float, float]]]
 
 
@@ -271,6 +273,46 @@ def _asked_points(
     return explode_patches(repeated, dims, [*asked, *keep])
 
 
+def _window_totals(
+    patches: DataFrame,
+    spans: DataFrame,
+    totals: Totals,
+    broadcast_rows: int = BROADCAST_ROWS,
+    split_rows: int = SPLIT_ROWS,
+) -> DataFrame:
+    """``_id``, ``n`` and the totals of the points in each window; windows without points have no row."""
+    sides, ends = [("t_min", "t_max")], [("_t0", "_t1")]
+    spans = spans.groupBy(*spans.columns).agg(F.count(F.lit(1)).alias("_times"))
+    near = patches.where(in_hulls(hulls(spans, ends), sides))
+    dims = list(dict.fromkeys(["gps_time", *[d for _, d in totals.values()]]))
+    ends_of = {"min": F.array_min, "max": F.array_max}
+    # A time that is missing or NaN is in no range of its patch, so such a patch is never taken whole.
+    unsure = F.exists("gps_time", lambda t: t.isNull() | F.isnan(t))
+    sums = {f"_s_{name}": ends_of[kind](dim) for name, (kind, dim) in totals.items()}
+    summed = near.select("t_min", "t_max", F.size("gps_time").cast("long").alias("n"), unsure.alias("_unsure"),
+                         *[c.alias(n) for n, c in sums.items()], *dims)
+    # Told apart by a number of their own: a table may hold patches of one key.
+    known = stage(summed.withColumn("_patch", F.monotonically_increasing_id()), "window-patches")
+    narrow = known.drop(*dims)
+    pairs = box_join(narrow, sides, spans, ends, broadcast_rows, split_rows)
+    # The join knows closed windows; these are open at the end, and may be empty.
+    pairs = pairs.where((F.col("t_min") < F.col("_hi")) & (F.col("_lo") < F.col("_hi")))
+    whole = ~F.col("_unsure") & (F.col("t_min") >= F.col("_lo")) & (F.col("t_max") < F.col("_hi"))
+    sorted_out = pairs.withColumn("_whole", whole)
+    merge = {"min": F.min, "max": F.max}
+    merged = [merge[kind](f"_s_{name}").alias(f"_s_{name}") for name, (kind, _) in totals.items()]
+    taken = sorted_out.where("_whole").groupBy("_id").agg(F.sum(F.col("n") * F.col("_times")).alias("n"), *merged)
+    cut = stage(sorted_out.where("NOT _whole").select("_patch", "_id", "_lo", "_hi", "_times"), "window-cuts")
+    few = cut.count() <= broadcast_rows
+    opened = known.select("_patch", *dims).join(F.broadcast(cut) if few else cut.hint("merge"), "_patch")
+    points = explode_patches(opened, dims, ["_id", "_lo", "_hi", "_times"])
+    inside = points.where((F.col("gps_time") >= F.col("_lo")) & (F.col("gps_time") < F.col("_hi")))
+    of_points = [merge[kind](dim).alias(f"_s_{name}") for name, (kind, dim) in totals.items()]
+    counted = inside.groupBy("_id").agg(F.sum("_times").alias("n"), *of_points)
+    both = taken.unionByName(counted).groupBy("_id").agg(F.sum("n").alias("n"), *merged)
+    return both.select("_id", "n", *[F.col(f"_s_{name}").alias(name) for name in totals])
+
+
 def area_points(
     patches: DataFrame,
     areas: DataFrame,
@@ -306,14 +348,24 @@ def window_points(
     dims: Sequence[str],
     keep: Sequence[str] = (),
     window_id: str = "win_id",
+    totals: Totals | None = None,
     **limits,
 ) -> DataFrame:
-    """Points in each time window ``[lo, hi)`` of ``windows(win_id, lo, hi)``."""
+    """Points in each time window ``[lo, hi)`` of ``windows(win_id, lo, hi)``: one row per pair.
+
+    With ``totals``, one row per window that holds points: ``n`` and the smallest or largest value of some
+    dimensions of ``dims``, by the name of their column, as ``{"x_max": ("max", "x")}``. Each patch is then summed up
+    once, and a window that holds it whole takes these sums; only patches that an end of the window cuts are opened.
+    """
     lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
     spans = windows.select(
         F.col(window_id).alias("_id"), lo.alias("_lo"), hi.alias("_hi"), lo.alias("_t0"), hi.alias("_t1")
     )
     needed = list(dict.fromkeys([*dims, "gps_time"]))
+    if totals is not None:
+        if keep or not {d for _, d in totals.values()} <= set(dims):
+            raise ValueError("totals are of dims, and keep nothing else")
+        return _window_totals(patches, spans, totals, **limits).withColumnRenamed("_id", window_id)
     points = _asked_points(patches, [("t_min", "t_max")], spans, [("_t0", "_t1")], needed, keep, **limits)
     inside = (F.col("gps_time") >= F.col("_lo")) & (F.col("gps_time") < F.col("_hi"))
     return points.where(inside).select(F.col("_id").alias(window_id), *keep, *dims)

@@ -412,3 +412,30 @@ def test_layout_keeps_points_without_a_place(spark):
     for key, place in ((keys.cubic_metre(), keys.along_curve()), (keys.period(1), keys.along_time())):
         built = grouping.build_patches(df, key, place=place)
         assert sorted(r.echo[0] for r in built.collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0, "split_rows": 5}])
+def test_window_totals_equal_those_of_the_pairs(spark, limits, monkeypatch):
+    """Patches wholly in a window are not opened for it; the totals are those of the pairs."""
+    rng = random.Random(6)
+    nan = float("nan")
+    rows = [(float(rng.randint(0, 400)), rng.uniform(-5, 5)) for _ in range(4000)]
+    rows += [(3.0, nan), (7.0, None), (nan, 99.0), (None, 98.0), (200.0, -0.0)]
+    cloud = spark.createDataFrame(rows, "gps_time double, x double")
+    weeks = grouping.build_patches(cloud, keys.time_bin(50_000), max_points=16, stats=("gps_time",))
+    weeks = weeks.unionByName(weeks.where("tbin < 3"))  # patches that share a key
+    spans = [(i, s := rng.uniform(-50, 450), s + rng.choice([0.5, 20, 300])) for i in range(40)]
+    spans += [(50 + i, float(10 * i), float(10 * i + 50 * (i % 3))) for i in range(20)]
+    spans += [(90, 7.0, 7.0), (91, 9.0, 8.0), (92, None, 3.0), (93, 900.0, 970.0), (94, 0.0, float("inf")), (95, 0.0, nan)]
+    spans += [(50, 100.0, 200.0), (50, 100.0, 200.0), (None, 20.0, 90.0)]
+    table = spark.createDataFrame(spans, "win_id int, lo double, hi double")
+    staged, real = {}, joins.stage
+    monkeypatch.setattr(joins, "stage", lambda df, label: staged.setdefault(label, real(df, label)))
+    pairs = joins.window_points(weeks, table, ["gps_time", "x"])
+    expected = pairs.groupBy("win_id").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("most"), F.min("x").alias("least"))
+    expected = sorted(map(str, expected.collect()))
+    met = sum(r["_times"] for r in staged.pop("area-pairs").collect())
+    wanted = {"most": ("max", "x"), "least": ("min", "x")}
+    got = joins.window_points(weeks, table, ["gps_time", "x"], totals=wanted, **limits)
+    assert sorted(map(str, got.collect())) == expected
+    assert 0 < staged["window-cuts"].count() < met / 3
