@@ -15,13 +15,14 @@ together cover all that is asked for.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lidarlake.operators.grouping import HEAVY_LIMIT, SPLIT_ROWS
 from lidarlake.operators.patch import explode_patches, patch_keys
+from lidarlake.operators.totals import Discs, Totals, shape_totals
 from lidarlake.session import stage
 
 # Cell edges run from 2^-20 to 2^62.
@@ -36,8 +37,6 @@ HULLS = 16
 _FAR = (1e1, 1e3, 1e6)
 
 Sides = Sequence[tuple[str, str]]
-#: Column of a total to ("min" or "max", dimension).
-Totals = Mapping[str, tuple[str, str]]
 Boxes = list[list[tuple[float, float]]]
 
 
@@ -313,15 +312,41 @@ def _window_totals(
     return both.select("_id", "n", *[F.col(f"_s_{name}").alias(name) for name in totals])
 
 
+def _check_totals(totals: Totals, dims: Sequence[str], keep: Sequence[str]) -> None:
+    if keep or not {d for _, d in totals.values()} <= set(dims):
+        raise ValueError("totals are of dims, and keep nothing else")
+
+
+def _disc_totals(
+    patches: DataFrame,
+    patch_sides: Sides,
+    discs: DataFrame,
+    ends: Sides,
+    totals: Totals,
+    broadcast_rows: int = BROADCAST_ROWS,
+    split_rows: int = SPLIT_ROWS,
+) -> DataFrame:
+    """``_id``, ``n`` and the totals of the points in each disc; discs without points have no row."""
+    near = patches.where(in_hulls(hulls(discs, ends), patch_sides))
+    proper = _proper(discs, ends).groupBy("_id", "_cx", "_cy", "_r").agg(F.count(F.lit(1)).alias("_times"))
+    shapes = proper.select("_id", "_times", F.array("_cx", "_cy", "_r").alias("_shape"))
+    return shape_totals(near, shapes, Discs, totals, split_rows)
+
+
 def area_points(
     patches: DataFrame,
     areas: DataFrame,
     dims: Sequence[str],
     keep: Sequence[str] = (),
     area_id: str = "area_id",
+    totals: Totals | None = None,
     **limits,
 ) -> DataFrame:
-    """Points within each disc of ``areas(area_id, cx, cy, r)``: one row per pair."""
+    """Points within each disc of ``areas(area_id, cx, cy, r)``: one row per pair.
+
+    With ``totals``, one row per area that holds points: ``n`` and the smallest or largest value of some dimensions of
+    ``dims``, as with ``window_points``. Areas are then never broadcast, and no pair of an area and a point is made.
+    """
     cx, cy, r = F.col("cx").cast("double"), F.col("cy").cast("double"), F.col("r").cast("double")
     reach = r + F.lit(1e-9) * (F.abs(cx) + F.abs(cy) + r)
     discs = areas.where(r >= 0).select(
@@ -336,7 +361,12 @@ def area_points(
     )
     needed = list(dict.fromkeys([*dims, "x", "y"]))
     patch_sides = [("x_min", "x_max"), ("y_min", "y_max")]
-    points = _asked_points(patches, patch_sides, discs, [("_x0", "_x1"), ("_y0", "_y1")], needed, keep, **limits)
+    ends = [("_x0", "_x1"), ("_y0", "_y1")]
+    if totals is not None:
+        _check_totals(totals, dims, keep)
+        found = _disc_totals(patches, patch_sides, discs, ends, totals, **limits)
+        return found.withColumnRenamed("_id", area_id)
+    points = _asked_points(patches, patch_sides, discs, ends, needed, keep, **limits)
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
     inside = dx * dx + dy * dy <= F.col("_r") * F.col("_r")
     return points.where(inside).select(F.col("_id").alias(area_id), *keep, *dims)
@@ -363,8 +393,7 @@ def window_points(
     )
     needed = list(dict.fromkeys([*dims, "gps_time"]))
     if totals is not None:
-        if keep or not {d for _, d in totals.values()} <= set(dims):
-            raise ValueError("totals are of dims, and keep nothing else")
+        _check_totals(totals, dims, keep)
         return _window_totals(patches, spans, totals, **limits).withColumnRenamed("_id", window_id)
     points = _asked_points(patches, [("t_min", "t_max")], spans, [("_t0", "_t1")], needed, keep, **limits)
     inside = (F.col("gps_time") >= F.col("_lo")) & (F.col("gps_time") < F.col("_hi"))

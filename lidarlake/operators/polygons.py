@@ -14,8 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lidarlake.operators.joins import BROADCAST_ROWS, SPLIT_ROWS, box_join, hulls, in_hulls
+from lidarlake.operators.joins import BROADCAST_ROWS, SPLIT_ROWS, _check_totals, box_join, hulls, in_hulls
 from lidarlake.operators.patch import patch_keys
+from lidarlake.operators.totals import Polygons, Totals, shape_totals
 from lidarlake.session import stage
 
 #: Edges of the largest polygon: they travel with it as one array.
@@ -68,6 +69,7 @@ def polygon_points(
     poly_id: str = "poly_id",
     broadcast_rows: int = BROADCAST_ROWS,
     split_rows: int = SPLIT_ROWS,
+    totals: Totals | None = None,
 ) -> DataFrame:
     """Points within each polygon of ``polygons(poly_id, rings)``: one row per pair.
 
@@ -75,6 +77,10 @@ def polygon_points(
     closed without repeating a vertex. A point inside an odd number of rings, or on an edge, belongs. A
     polygon without edges, or with a vertex that is missing or not finite, holds nothing; polygons given
     twice are answered twice.
+
+    With ``totals``, one row per polygon that holds points: ``n`` and the smallest or largest value of some dimensions
+    of ``dims``, by the name of their column, as ``{"t_max": ("max", "gps_time")}``. No pair of a polygon and a point
+    is then made, and points are tested only beside edges.
     """
     edges = _edges("rings")
     shape = polygons.groupBy(F.col(poly_id).alias("_id"), F.col("rings")).agg(F.count(F.lit(1)).alias("_times"))
@@ -95,6 +101,11 @@ def polygon_points(
         F.array_max(F.transform("_edges", lambda e: e.y1)).alias("_y1"),
     )
     near = patches.where(in_hulls(hulls(box, _BOX), _SIDES))
+    if totals is not None:
+        _check_totals(totals, dims, keep)
+        flat = F.flatten(F.transform("_edges", lambda e: F.array(e.x1, e.y1, e.x2, e.y2)))
+        shapes = shape.select("_id", "_times", flat.alias("_shape"))
+        return shape_totals(near, shapes, Polygons, totals, split_rows).withColumnRenamed("_id", poly_id)
     names = patch_keys(patches)
     narrow = near.select(*dict.fromkeys([*names, *[c for side in _SIDES for c in side]]))
     pairs = box_join(narrow, _SIDES, box, _BOX, broadcast_rows, split_rows).drop(*[c for side in _BOX for c in side])
