@@ -7,7 +7,7 @@ following from their sizes; of D + 1 slices of a sketch at least one is then equ
 Documents meet on equal slices within a size band and are verified on the real sets.
 
 The slices that many documents share say little, so each set leaves out its most frequent ones,
-as many as there are slices beyond what pigeonhole asks for; the rarest slice of a pair is
+as many as there are slices beyond what pigeonhole asks for at its own size; the rarest slice of a pair is
 then left out by neither.
 
 Equal sets are one class from the start. Classes that share a slice form clusters,
@@ -90,6 +90,18 @@ def _layout(band: int, num: int, den: int) -> tuple[int, int]:
     return apart + 1 + spare, spare
 
 
+def _spare(size: int, band: int, num: int, den: int) -> int:
+    """Slices that a set of this size may leave out of those for pairs whose smaller set is in ``band``.
+
+    The set's own size, not the band's largest, tells how far apart its pairs are: as the smaller of two its
+    partner has size * den / num shingles at most, as the larger it has a partner of the band. Two
+    linked sets share all but that many slices, which is more than either of them leaves out.
+    """
+    hi = _bounds(band)[1]
+    both = size + floor(size * den / num) if size <= hi else size + hi
+    return _layout(band, num, den)[0] - 1 - floor(both * (den - num) / (den + num))
+
+
 def slices(shingles: np.ndarray, band: int, num: int, den: int) -> np.ndarray:
     """The keys of a set's slices; the low bits of a key tell how many bits are odd."""
     parts, _ = _layout(band, num, den)
@@ -168,8 +180,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _choose(frequent, num: int, den: int):
     """Leave out each set's spare slices: those of one odd bit or none, then the most frequent.
 
-    That order is the same for all sets. Two sets that link share more slices than the spare ones, so
-    the last of these in the order is left out by neither.
+    That order is the same for all sets. Two sets that link share more slices than either leaves out, so
+    the first of these in the order is left out by neither.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +200,8 @@ def _choose(frequent, num: int, den: int):
             for size, lo, hi in zip(sizes.tolist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
                 band, at = _band(size), lo
                 while at < hi:  # the slices of the own band, then those of the band below
-                    parts, spare = _layout(band, num, den)
+                    parts, _ = _layout(band, num, den)
+                    spare = _spare(size, band, num, den)
                     if spare:
                         worst = np.lexsort((flat[at : at + parts], rank[at : at + parts]))[-spare:]
                         keep[at + worst] = False
@@ -377,9 +390,6 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
         docs.mapInArrow(released(_sketch(k, num, den)), _SKETCHED),
         "jaccard-sketches",
     )
-    classes = sketched.where("node is not null").groupBy("node").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("keys", True).alias("keys")
-    )
     frequent = (
         sketched.where("keys is not null")
         .select("keys")
@@ -393,7 +403,10 @@ def jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     )
     listed = docs.sparkSession.sparkContext.broadcast((frequent["key"].to_numpy(), frequent["n"].to_numpy()))
     chained = stage(
-        classes.select("node", "n_shingles", "keys")
+        # A class that several batches hold comes several times, which the chain passes over: fewer rows than
+        # a shuffle of all lists of keys would move.
+        sketched.where("keys is not null")
+        .select("node", "n_shingles", "keys")
         .mapInArrow(released(_choose(listed, num, den)), "key long, node long")
         .repartitionByRange("key", "node")
         .sortWithinPartitions("key", "node")

@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import types
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,36 @@ def test_jaccard_join(docs, rows, k, num):
     expected = Counter((r[0], len(s), names.get(root(i)) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets)))
     assert Counter(map(tuple, jaccard.jaccard_join(docs, k, num).collect())) == expected
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (7, 10)])
+def test_jaccard_sets_leave_out_all_that_their_own_size_allows(num, den):
+    """Each set keeps one slice more than its pairs may differ in, and linked pairs still share a slice."""
+    rng = np.random.default_rng(41)
+    met = 0
+    for size in [1, 2, 3, 5, 9, 17, 30, 57, 58, 76, 77, 115, 130, 171, 172, 300, 385, 386, 500]:
+        for more in {0, (size * den // num - size) // 2, size * den // num - size}:
+            values = rng.integers(0, 2**63, size + more + size).astype(np.uint64)
+            # As far apart as a link allows.
+            shared = -(-(size + size + more) * num // (num + den))
+            if shared > size:
+                continue
+            x, y = np.unique(values[:size]), np.unique(np.append(values[:shared], values[size + more :][: size + more - shared]))
+            band = jaccard._band(size)
+            rows = []
+            for s in (x, y):
+                of = jaccard._band(len(s))
+                keys = [jaccard.slices(s, b, num, den) for b in (of, of - 1) if b == of or (of and len(s) * num <= jaccard._bounds(b)[1] * den)]
+                rows.append((len(s), common.signed(np.concatenate(keys))))
+            known = np.unique(np.append(rng.choice(rows[0][1], len(rows[0][1]) // 2), rows[1][1][::3]))
+            frequent = types.SimpleNamespace(value=(known, rng.integers(2, 99, len(known))))
+            batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([n for n, _ in rows]), pa.array([k.tolist() for _, k in rows], pa.list_(pa.int64()))], names=["node", "n", "keys"])
+            kept = next(jaccard._choose(frequent, num, den)(iter([batch]))).to_pylist()
+            mine, theirs = ([r["key"] for r in kept if r["node"] == i] for i in (0, 1))
+            assert set(mine) & set(theirs)
+            met += 1
+            own = set(common.signed(jaccard.slices(x, band, num, den)).tolist())
+            assert sum(k in own for k in mine) == 1 + (size + size * den // num) * (den - num) // (den + num)
+    assert met > 20
+
 
 def test_jaccard_join_of_nothing(empty):
     assert jaccard.jaccard_join(empty).collect() == []
