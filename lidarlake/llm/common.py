@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from lidarlake.session import stage
 #: Text of one split: what one Python call holds at a time.
 SPLIT_BYTES = 8 << 20
 _PART_BYTES = 24 << 20
+#: Text whose words a Python call holds at a time.
+PIECE_BYTES = 1 << 20
 _CACHED_WORDS = 400_000
 _HELD_EDGES = 1_000_000
 
@@ -54,6 +57,19 @@ def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes
     return [t or b"" for t in column.to_pylist()]
 
 
+def pieces(table: pa.Table, name: str = "text") -> Iterator[pa.Table]:
+    """A table cut into runs of rows with about PIECE_BYTES of text; a longer text is a piece of its own."""
+    sizes = pc.fill_null(pc.binary_length(table[name]), 0).to_numpy()
+    lo = size = 0
+    for hi, n in enumerate(sizes.tolist()):
+        if size and size + n > PIECE_BYTES:
+            yield table.slice(lo, hi - lo)
+            lo, size = hi, 0
+        size += n
+    if lo < table.num_rows:
+        yield table.slice(lo)
+
+
 def release() -> None:
     """Give free memory back to the system. Python workers live on after a task, and would keep it."""
     pa.default_memory_pool().release_unused()

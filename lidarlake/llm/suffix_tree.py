@@ -20,9 +20,7 @@ others add to.
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import mix, signed, splits, texts_of, within
+from lidarlake.llm.common import mix, pieces, release, signed, splits, texts_of, within
 from lidarlake.session import stage
 
 #: Bytes of the longest context; with the next symbol a run must fit in 63 bits.
@@ -40,8 +38,10 @@ LEAST_SHARE = 1e-6
 LEAST_COUNT = 8
 #: Bits of likelihood that a state must gain for each distinct symbol that follows it.
 GAIN = 6.0
-#: Texts are counted and scored in pieces of about so many bytes.
+#: Texts are counted, and scored, in pieces of about so many bytes.
 _PIECE = 512 << 10
+_SCORED = 128 << 10
+_NONE = np.uint64(2**64 - 1)
 _PAD = b"\x00" * DEPTH
 _MASKS = [np.uint64((1 << 8 * (k + 1)) - 1) for k in range(DEPTH + 1)]
 
@@ -103,22 +103,24 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lookup:
-    """Numbers to values. Two hashed tables, and a sorted one for what fits in neither."""
+    """Numbers to values. Three hashed tables, and a sorted one for what fits in none.
+
+    What is not in its empty slot is in no later table either.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.tables = []
-        bits = max(4, int(2 * len(keys)).bit_length())
-        for _ in range(2):
+        for skip in np.arange(0, 63, 21, np.uint64):  # each table goes by other bits
+            bits = max(4, int(2 * len(keys)).bit_length())
             shift = np.uint64(64 - bits)
-            slot = (mix(keys) >> shift).astype(np.int64)
-            at = np.full(1 << bits, np.uint64(2**64 - 1))
+            slot = (mix(keys) << skip >> shift).astype(np.int64)
+            at = np.full(1 << bits, _NONE)
             held = np.zeros(1 << bits, np.float32)
             at[slot] = keys
             won = at[slot] == keys
             held[slot[won]] = values[won]
-            self.tables.append((shift, at, held))
+            self.tables.append((skip, shift, at, held))
             keys, values = keys[~won], values[~won]
-            bits = max(4, int(8 * len(keys)).bit_length())
         order = np.argsort(keys)
         self.rest, self.left = keys[order], values[order]
 
@@ -126,17 +128,18 @@ class Lookup:
         """Which keys are known, and the values of those."""
         known = np.zeros(len(keys), bool)
         values = np.zeros(len(keys), np.float32)
-        todo = np.arange(len(keys))
-        scrambled = mix(keys)
-        for shift, at, held in self.tables:
-            slot = (scrambled[todo] >> shift).astype(np.int64)
-            hit = at[slot] == keys[todo]
+        todo, own, scrambled = np.arange(len(keys)), keys, mix(keys)
+        for skip, shift, at, held in self.tables:
+            slot = (scrambled << skip >> shift).astype(np.int64)
+            there = at[slot]
+            hit = there == own
             values[todo[hit]] = held[slot[hit]]
             known[todo[hit]] = True
-            todo = todo[~hit]
+            on = np.flatnonzero(~hit & (there != _NONE))
+            todo, own, scrambled = todo[on], own[on], scrambled[on]
         if len(self.rest):
-            hit = within(keys[todo], self.rest)
-            values[todo[hit]] = self.left[np.searchsorted(self.rest, keys[todo[hit]])]
+            hit = within(own, self.rest)
+            values[todo[hit]] = self.left[np.searchsorted(self.rest, own[hit])]
             known[todo[hit]] = True
         return known, values
 
@@ -151,13 +154,16 @@ class Tree:
 
     def __init__(self, told: list, back: list):
         self.told, self.back = told, back
-        self.name = uuid.uuid4().hex
         self.frequent = (np.empty(0, np.uint64), np.empty(0, np.float32))
+        self.told_at: list[Lookup] = []
 
     def ready(self) -> None:
-        self.told_at = [Lookup(*t) for t in self.told]
-        self.back_at = [Lookup(*b) for b in self.back]
-        self.frequent_at = Lookup(*self.frequent)
+        """Lookups in place of the arrays."""
+        if not self.told_at:
+            self.told_at = [Lookup(*t) for t in self.told]
+            self.back_at = [Lookup(*b) for b in self.back]
+            self.frequent_at = Lookup(*self.frequent)
+            self.told = self.back = self.frequent = ()
 
     def walk(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each run's last symbol from the longest state before it."""
@@ -186,7 +192,7 @@ class Tree:
         lo = 0
         while lo < len(texts):
             pieces, size, hi = [], 0, lo
-            while hi < len(texts) and (not pieces or size < _PIECE):
+            while hi < len(texts) and (not pieces or size < _SCORED):
                 pieces.append(symbols(texts[hi]))
                 size += len(pieces[-1])
                 hi += 1
@@ -200,17 +206,11 @@ class Tree:
         return out
 
 
-#: Trees made ready in this Python worker; workers live longer than a task.
-_READY: dict[str, Tree] = {}
-
-
 def _ready(shared) -> Tree:
+    """The tree, ready: once in a Python worker, which keeps a broadcast for as long as its tasks use it."""
     tree = shared.value
-    if tree.name not in _READY:
-        _READY.clear()
-        tree.ready()
-        _READY[tree.name] = tree
-    return _READY[tree.name]
+    tree.ready()
+    return tree
 
 
 def grow(docs: DataFrame) -> Tree:
@@ -275,6 +275,40 @@ def grow(docs: DataFrame) -> Tree:
     return full
 
 
+class _Numbers(dict):
+    """Word to its number, in the order words are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+class _Vocabulary:
+    """A split's texts as numbers of words, and how often each kind is in training texts.
+
+    Words are held for one piece at a time, which is also ``seen`` by a function.
+    """
+
+    def __init__(self, table: pa.Table, train: list[bool], seen: Callable[[list[list[bytes]]], None] | None = None):
+        release()  # of the split before
+        self.number = _Numbers()
+        self.texts: list[np.ndarray] = []
+        self.counts = np.zeros(0, np.int64)
+        for piece in pieces(table):
+            words = [t.lower().split() for t in texts_of(piece)]
+            numbers = [np.fromiter(map(self.number.__getitem__, w), np.int32, len(w)) for w in words]
+            known = [n for n, t in zip(numbers, train[len(self.texts) :]) if t]
+            counts = np.bincount(np.concatenate(known or [np.empty(0, np.int32)]), minlength=len(self.number))
+            counts[: len(self.counts)] += self.counts
+            self.counts = counts
+            self.texts += numbers
+            if seen:
+                seen(words)
+
+    def hashes(self) -> np.ndarray:
+        return signed(np.fromiter(map(xxhash.xxh3_64_intdigest, self.number), np.uint64, len(self.number)))
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Scores of all texts under a tree, and under single words, learnt from those not held out.
 
@@ -290,65 +324,43 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     tree = spark.sparkContext.broadcast(grow(docs.where("not held_out")))
     source = splits(docs, "doc_id", "held_out")
 
-    def vocabulary(table: pa.Table, train: list[bool]) -> tuple[list[list[bytes]], dict[bytes, int], np.ndarray, np.ndarray]:
-        """Words of each text, a number for each kind, their hashes and training counts."""
-        texts = [t.lower().split() for t in texts_of(table)]
-        seen: Counter = Counter()
-        for words, known in zip(texts, train):
-            if known:
-                seen.update(words)
-        for words, known in zip(texts, train):
-            if not known:
-                for w in words:
-                    seen.setdefault(w, 0)
-        number = dict(zip(seen, range(len(seen))))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
-        return texts, number, signed(hashes), np.fromiter(seen.values(), np.int64, len(seen))
-
     def trained(table: pa.Table) -> list[bool]:
         return [not r["held_out"] for r in table["rest"].to_pylist()]
 
     def tell(table: pa.Table) -> pa.Table:
-        _, _, hashes, counts = vocabulary(table, trained(table))
+        own = _Vocabulary(table, trained(table))
+        hashes = own.hashes()
         split = np.full(len(hashes), table["split"][0].as_py(), np.int32)
-        return pa.table({"split": pa.array(split), "word": pa.array(hashes), "n": pa.array(counts)})
+        return pa.table({"split": pa.array(split), "word": pa.array(hashes), "n": pa.array(own.counts)})
 
     def weigh(table: pa.Table, known: pa.Table) -> pa.Table:
-        train = trained(table)
-        texts, number, hashes, counts = vocabulary(table, train)
-        own = counts > 0  # words whose kind this split counts
+        scores = []
+        own = _Vocabulary(table, trained(table), lambda words: scores.append(_ready(tree).of_texts(words)))
+        hashes, counts = own.hashes(), own.counts
+        mine = counts > 0  # words whose kind this split counts
+        trains = int(counts.sum())
         if known.num_rows:
             told = known["word"].to_numpy()
             order = np.argsort(told)
             told = told[order]
             hit = within(hashes, told)
             at = np.searchsorted(told, hashes[hit])
-            counts = counts.copy()
-            own[hit] = known["own"].to_numpy(zero_copy_only=False)[order][at]
-            trains = int(counts.sum())
+            mine[hit] = known["own"].to_numpy(zero_copy_only=False)[order][at]
             counts[hit] = known["total"].to_numpy()[order][at]
-        else:
-            trains = int(counts.sum())
         logs = np.log10(counts + 0.1)
-        tokens, heard, sums = [], [], []
-        for words in texts:
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            tokens.append(len(words) + 1)
-            heard.append(int(np.count_nonzero(counts[at])))
-            sums.append(float(logs[at].sum()))
-        rows = len(texts)
+        rows = table.num_rows
         first = np.zeros(rows, np.int64)
-        kinds, words_ = first.copy(), first.copy()
-        kinds[0], words_[0] = int(own.sum()), trains
+        kinds, words = first.copy(), first.copy()
+        kinds[0], words[0] = int(mine.sum()), trains
         return pa.table(
             {
                 "rest": table["rest"],
-                "n_tokens": pa.array(tokens, pa.int64()),
-                "heard": pa.array(heard, pa.int64()),
-                "logs": pa.array(sums, pa.float64()),
-                "score": pa.array(_ready(tree).of_texts(texts)),
+                "n_tokens": pa.array([len(at) + 1 for at in own.texts], pa.int64()),
+                "heard": pa.array([int(np.count_nonzero(counts[at])) for at in own.texts], pa.int64()),
+                "logs": pa.array([float(logs[at].sum()) for at in own.texts], pa.float64()),
+                "score": pa.array(np.concatenate(scores)),
                 "kinds": pa.array(kinds),
-                "words": pa.array(words_),
+                "words": pa.array(words),
             }
         )
 

@@ -160,6 +160,17 @@ def test_remove_repeats_carries_clashing_names_and_whole_texts(docs, rows, empty
     assert substrings.remove_repeats(empty).collect() == []
 
 
+def test_pieces_cover_a_table():
+    texts = ["a" * n for n in (3, 0, 9, 30, 0, 0, 5, 5, 1)] + [None, "b"]
+    table = pa.table({"n": range(len(texts)), "text": pa.chunked_array([texts[:4], texts[4:]], pa.string())})
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(common, "PIECE_BYTES", 10)
+        got = [[(r["n"], r["text"]) for r in p.to_pylist()] for p in common.pieces(table)]
+        assert list(common.pieces(table.slice(0, 0))) == []
+    assert [r for p in got for r in p] == list(enumerate(texts))
+    assert all(len(p) == 1 or sum(len(t or "") for _, t in p if (t or "") != "a" * 30) <= 10 for p in got) and len(got) >= 5
+
+
 def distance(a, b):
     """Least word edits between a and any stretch of b."""
     row = [0] * (len(b) + 1)
@@ -387,6 +398,33 @@ def test_lookup_finds_all_keys():
     assert known[:-1].all() and not known[-1] and (got[:-1] == values).all()
 
 
+def test_lookups_are_small():
+    """59 bytes a key before; a worker has one for each depth of the tree."""
+    keys = np.unique(np.random.default_rng(3).integers(0, 2**56, 854_000).astype(np.uint64))
+    lookup = suffix_tree.Lookup(keys, np.ones(len(keys), np.float32))
+    arrays = [a for t in lookup.tables for a in t if isinstance(a, np.ndarray)] + [lookup.rest, lookup.left]
+    assert sum(a.nbytes for a in arrays) <= 45 * len(keys)
+    known, _ = lookup.find(keys)
+    assert known.all() and not lookup.find(keys + np.uint64(2**57))[0].any()
+
+
+def test_a_vocabulary_is_read_piece_by_piece():
+    """A split's words were all in memory at once; now those of one piece."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"W{x}" for x in rng.integers(0, 4000, 3000)) for _ in range(200)] + [None, ""]
+    train = [i % 3 > 0 for i in range(len(texts))]
+    seen = []
+    table = pa.table({"text": pa.array(texts, pa.string())})
+    own = suffix_tree._Vocabulary(table, train, lambda words: seen.append(sum(len(b" ".join(w)) for w in words)))
+    assert len(seen) > 2 and max(seen) <= common.PIECE_BYTES
+    words = [(t or "").lower().split() for t in texts]
+    expected = Counter({w: 0 for t in words for w in t})
+    expected.update(w for t, known in zip(words, train) if known for w in t)
+    assert {w.decode(): n for w, n in zip(own.number, own.counts.tolist())} == expected
+    names = [w.decode() for w in own.number]
+    assert [[names[i] for i in t] for t in own.texts] == words
+
+
 def test_rolling_hashes_tell_runs_apart():
     values = np.array([5, 7, 5, 7, 9, 5, 7], np.uint64)
     got = common.Rolling(values).runs(2)
