@@ -10,7 +10,7 @@ windows next to each other make up the maximal repeats, whose words go.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lidarlake.llm.common import Rolling, WordHashes, release, repeated, signed, splits, texts_of, within
+from lidarlake.llm.common import Rolling, WordHashes, pieces, release, repeated, signed, splits, texts_of, within
 
 #: Words of an anchor. Shorter anchors are fewer, but more of them repeat by chance.
 ANCHOR = 8
@@ -27,16 +27,16 @@ _PLACE = np.uint64((1 << 40) - 1)
 
 
 class _Windows:
-    """The windows of a split's texts, laid end to end."""
+    """The windows of some texts, laid end to end. Windows and their seeds do not depend on the texts beside their own."""
 
-    def __init__(self, table: pa.Table, window: int):
-        release()  # of the split before
-        hashes = WordHashes()
-        self.words = [t.split() for t in texts_of(table)]
-        lengths = np.array([len(w) for w in self.words], np.int64)
+    def __init__(self, texts: list[bytes], window: int, hashes: WordHashes):
+        self.texts = texts
+        words = [hashes.of(t.split()) for t in texts]
+        lengths = np.array([len(w) for w in words], np.int64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        flat = np.concatenate([hashes.of(w) for w in self.words] or [np.empty(0, np.uint64)])
+        flat = np.concatenate(words or [np.empty(0, np.uint64)])
+        del words
         self.rolling = Rolling(flat)
         self.window = window
         n = max(0, len(flat) - window + 1)
@@ -54,10 +54,10 @@ class _Windows:
         span = window - anchor + 1
         reach = 1
         while reach * 2 <= span:
-            ranked = np.minimum(ranked[: len(ranked) - reach], ranked[reach:])
+            ranked = np.minimum(ranked[: max(0, len(ranked) - reach)], ranked[reach:])
             reach *= 2
         if reach < span:
-            ranked = np.minimum(ranked[: len(ranked) - (span - reach)], ranked[span - reach :])
+            ranked = np.minimum(ranked[: max(0, len(ranked) - (span - reach))], ranked[span - reach :])
         seed = (_PLACE - (ranked[self.at] & _PLACE)).astype(np.int64)
         self.seed = seed
         self.grams = grams
@@ -67,15 +67,23 @@ class _Windows:
         return signed(self.grams[np.unique(self.seed)])
 
     def extended(self, anchors: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose anchor is one of the given ones."""
-        return self.at[within(signed(self.grams[self.seed]), np.sort(anchors))]
+        """Starts of the windows whose anchor is one of the given, sorted ones."""
+        return self.at[within(signed(self.grams[self.seed]), anchors)]
 
     def digests(self, at: np.ndarray) -> np.ndarray:
         return signed(self.rolling.runs(self.window, at))
 
 
-def _counted(split: int, values: np.ndarray) -> pa.Table:
-    values, counts = np.unique(values, return_counts=True)
+def _windows(table: pa.Table, window: int) -> Iterator[_Windows]:
+    """The windows of a split, piece by piece: only texts, numbers told and one piece's words are held."""
+    release()  # of the split before
+    hashes = WordHashes()
+    for piece in pieces(table):
+        yield _Windows(texts_of(piece), window, hashes)
+
+
+def _counted(split: int, values: list[np.ndarray]) -> pa.Table:
+    values, counts = np.unique(np.concatenate(values or [np.empty(0, np.int64)]), return_counts=True)
     return pa.table(
         {"split": pa.array(np.full(len(values), split, np.int32)), "value": pa.array(values), "n": pa.array(counts)}
     )
@@ -107,38 +115,40 @@ def remove_repeats(
     rest = source.schema["rest"].dataType
 
     def seeds(table: pa.Table) -> pa.Table:
-        return _counted(_number(table), _Windows(table, window).anchors())
+        return _counted(_number(table), [own.anchors() for own in _windows(table, window)])
 
     def extend(texts: pa.Table, anchors: pa.Table) -> pa.Table:
         if not texts.num_rows or not anchors.num_rows:
-            return _counted(0, np.empty(0, np.int64))
-        own = _Windows(texts, window)
-        return _counted(_number(texts), own.digests(own.extended(anchors["value"].to_numpy())))
+            return _counted(0, [])
+        known = np.sort(anchors["value"].to_numpy())
+        return _counted(_number(texts), [own.digests(own.extended(known)) for own in _windows(texts, window)])
 
     def cut(texts: pa.Table, digests: pa.Table) -> pa.Table:
-        own = _Windows(texts, window)
-        found = np.empty(0, np.int64)
-        if digests.num_rows:
-            found = own.at[within(own.digests(own.at), np.sort(digests["value"].to_numpy()))]
-        edge = np.zeros(len(own.rolling.sums) + window, np.int32)
-        np.add.at(edge, found, 1)
-        np.add.at(edge, found + window, -1)
-        gone = np.cumsum(edge) > 0
-        kept, removed = [], []
-        before = texts_of(texts) if whole else own.words
-        for words, text, lo, hi in zip(own.words, before, own.starts.tolist(), own.ends.tolist()):
-            away = gone[lo:hi]
-            n = int(np.count_nonzero(away))
-            if n:
-                words = [w for w, x in zip(words, away.tolist()) if not x]
-            removed.append(n)
-            kept.append(text if whole and not n else b" ".join(words))
+        known = np.sort(digests["value"].to_numpy()) if digests.num_rows else np.empty(0, np.int64)
+        counts, removed, kept = [], [], []
+        for own in _windows(texts, window):
+            found = own.at[within(own.digests(own.at), known)]
+            edge = np.zeros(len(own.rolling.sums) + window, np.int32)
+            np.add.at(edge, found, 1)
+            np.add.at(edge, found + window, -1)
+            gone = np.cumsum(edge) > 0
+            left = []
+            for text, lo, hi in zip(own.texts, own.starts.tolist(), own.ends.tolist()):
+                away = gone[lo:hi]
+                n = int(np.count_nonzero(away))
+                if n or not whole:
+                    words = text.split()
+                    text = b" ".join([w for w, x in zip(words, away.tolist()) if not x] if n else words)
+                counts.append(hi - lo)
+                removed.append(n)
+                left.append(text)
+            kept.append(pa.array(left, pa.binary()).cast(pa.string()))
         return pa.table(
             {
                 "rest": texts["rest"],
-                "n_words": pa.array(own.ends - own.starts),
+                "n_words": pa.array(counts, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
-                "kept": pa.array(kept, pa.binary()).cast(pa.string()),
+                "kept": pa.chunked_array(kept, pa.string()),
             }
         )
 

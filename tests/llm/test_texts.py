@@ -160,6 +160,14 @@ def test_remove_repeats_carries_clashing_names_and_whole_texts(docs, rows, empty
     assert substrings.remove_repeats(empty).collect() == []
 
 
+@pytest.mark.parametrize("words", range(50))
+def test_windows_of_few_words(words):
+    """19 words laid end to end were an error, as shifted slices were of unequal length."""
+    text = " ".join(f"w{i}" for i in range(words)).encode()
+    own = substrings._Windows([text, b"", b"one"], 35, common.WordHashes())
+    assert own.at.tolist() == list(range(max(0, words - 34)))
+
+
 def test_pieces_cover_a_table():
     texts = ["a" * n for n in (3, 0, 9, 30, 0, 0, 5, 5, 1)] + [None, "b"]
     table = pa.table({"n": range(len(texts)), "text": pa.chunked_array([texts[:4], texts[4:]], pa.string())})
@@ -171,6 +179,20 @@ def test_pieces_cover_a_table():
     assert all(len(p) == 1 or sum(len(t or "") for _, t in p if (t or "") != "a" * 30) <= 10 for p in got) and len(got) >= 5
 
 
+def test_a_split_is_read_piece_by_piece():
+    """A split's words, hashes and windows were all in memory at once; now those of one piece."""
+    rng = np.random.default_rng(5)
+    texts = [b" ".join(b"w%d" % x for x in rng.integers(0, 5000, 2000)) for _ in range(600)]
+    table = pa.table({"split": pa.array([3] * 600, pa.int32()), "text": pa.array(texts, pa.binary()).cast(pa.string())})
+    held = [sum(len(t) for t in own.texts) for own in substrings._windows(table, 35)]
+    assert sum(held) == sum(map(len, texts)) > 4 * common.PIECE_BYTES and max(held) <= common.PIECE_BYTES
+    # Pieces change no seed: the whole split at once tells the same.
+    at_once = substrings._Windows(texts, 35, common.WordHashes())
+    pieces = list(substrings._windows(table, 35))
+    assert np.array_equal(np.concatenate([p.anchors() for p in pieces]), at_once.anchors())
+    assert np.array_equal(np.concatenate([p.digests(p.at) for p in pieces]), at_once.digests(at_once.at))
+
+
 def distance(a, b):
     """Least word edits between a and any stretch of b."""
     row = [0] * (len(b) + 1)
