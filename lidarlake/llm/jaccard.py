@@ -43,8 +43,9 @@ from lidarlake.session import stage
 
 #: Width of a size band: sizes from one bound up to this many times it.
 BAND = 1.5
-#: Bits of a sketch for each shingle of the band's largest set.
-BITS = 8
+#: Places of a sketch for each shingle of the band's largest set. Only odd places are ever held, so their number
+#: costs nothing, and with this many unrelated sets do not get equal slices by chance.
+BITS = 1 << 32
 #: Slices beyond those that pigeonhole asks for, as a share of these; see ``slices``.
 SPARE = 0.25
 #: Keys known as frequent at most, the most frequent ones. Any number gives the same links.
@@ -178,7 +179,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _choose(frequent, num: int, den: int):
-    """Leave out each set's spare slices: those of one odd bit or none, then the most frequent.
+    """Leave out each set's spare slices: those without odd bits, then the most frequent.
 
     That order is the same for all sets. Two sets that link share more slices than either leaves out, so
     the first of these in the order is left out by neither.
@@ -195,7 +196,7 @@ def _choose(frequent, num: int, den: int):
             often = np.zeros(len(flat), np.int64)
             hit = within(flat, known)
             often[hit] = counts[np.searchsorted(known, flat[hit])]
-            rank = (often << 6) + (_RANK - (flat & _RANK)) + (((flat & _RANK) < 2).astype(np.int64) << 48)
+            rank = (often << 6) + (_RANK - (flat & _RANK)) + (((flat & _RANK) == 0).astype(np.int64) << 48)
             keep = np.ones(len(flat), bool)
             for size, lo, hi in zip(sizes.tolist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
                 band, at = _band(size), lo

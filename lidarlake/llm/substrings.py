@@ -80,6 +80,8 @@ def _windows(table: pa.Table, window: int) -> Iterator[_Windows]:
     hashes = WordHashes()
     for piece in pieces(table):
         yield _Windows(texts_of(piece), window, hashes)
+    hashes.clear()
+    release()  # the worker may wait for long
 
 
 def _counted(split: int, values: list[np.ndarray]) -> pa.Table:

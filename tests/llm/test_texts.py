@@ -111,6 +111,16 @@ def test_jaccard_sets_leave_out_all_that_their_own_size_allows(num, den):
     assert met > 20
 
 
+@pytest.mark.parametrize("num", [80, 90])
+def test_unrelated_sets_share_no_slice_by_chance(num):
+    """Slices of few places were equal in most sets of a band, and such sets made one cluster."""
+    rng, met = np.random.default_rng(3), Counter()
+    for size in rng.integers(210, 290, 1000):
+        keys = jaccard.slices(np.unique(rng.integers(0, 2**64, size, np.uint64)), jaccard._band(250), num, 100)
+        met.update(keys[(keys & np.uint64(jaccard._RANK)) > 0].tolist())  # a slice without odd bits is left out
+    assert max(met.values()) == 1
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard.jaccard_join(empty).collect() == []
 
