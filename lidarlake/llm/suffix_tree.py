@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lidarlake.llm.common import mix, pieces, release, signed, splits, texts_of, within
+from lidarlake.llm.common import pieces, release, signed, splits, texts_of, within
 from lidarlake.session import stage
 
 #: Bytes of the longest context; with the next symbol a run must fit in 63 bits.
@@ -40,9 +40,12 @@ LEAST_COUNT = 8
 GAIN = 6.0
 #: Texts are counted, and scored, in pieces of about so many bytes.
 _PIECE = 512 << 10
-_SCORED = 128 << 10
+_SCORED = 256 << 10
 _NONE = np.uint64(2**64 - 1)
 _PAD = b"\x00" * DEPTH
+#: Odd factors of the hashed tables, and the bits of the one that remembers runs.
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
+_MET_BITS = 19
 _MASKS = [np.uint64((1 << 8 * (k + 1)) - 1) for k in range(DEPTH + 1)]
 
 
@@ -60,6 +63,10 @@ def runs(data: bytes) -> np.ndarray:
     return view.astype(np.uint64) & _MASKS[DEPTH]
 
 
+def _slots(keys: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
+    return (keys * factor >> shift).view(np.int64)
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.concatenate([p[0] for p in parts])
     counts = np.concatenate([p[1] for p in parts])
@@ -110,33 +117,39 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.tables = []
-        for skip in np.arange(0, 63, 21, np.uint64):  # each table goes by other bits
+        for factor in _FACTORS:  # each table goes by other bits
             bits = max(4, int(2 * len(keys)).bit_length())
             shift = np.uint64(64 - bits)
-            slot = (mix(keys) << skip >> shift).astype(np.int64)
+            slot = _slots(keys, factor, shift)
             at = np.full(1 << bits, _NONE)
             held = np.zeros(1 << bits, np.float32)
             at[slot] = keys
             won = at[slot] == keys
             held[slot[won]] = values[won]
-            self.tables.append((skip, shift, at, held))
+            self.tables.append((factor, shift, at, held))
             keys, values = keys[~won], values[~won]
         order = np.argsort(keys)
         self.rest, self.left = keys[order], values[order]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are known, and the values of those."""
-        known = np.zeros(len(keys), bool)
-        values = np.zeros(len(keys), np.float32)
-        todo, own, scrambled = np.arange(len(keys)), keys, mix(keys)
-        for skip, shift, at, held in self.tables:
-            slot = (scrambled << skip >> shift).astype(np.int64)
-            there = at[slot]
+        # Most keys are settled by the first table, in passes over whole arrays.
+        factor, shift, at, held = self.tables[0]
+        slot = _slots(keys, factor, shift)
+        there = at.take(slot)
+        known = there == keys
+        values = held.take(slot)
+        values[~known] = 0
+        todo = np.flatnonzero(~known & (there != _NONE))
+        own = keys[todo]
+        for factor, shift, at, held in self.tables[1:]:
+            slot = _slots(own, factor, shift)
+            there = at.take(slot)
             hit = there == own
             values[todo[hit]] = held[slot[hit]]
             known[todo[hit]] = True
             on = np.flatnonzero(~hit & (there != _NONE))
-            todo, own, scrambled = todo[on], own[on], scrambled[on]
+            todo, own = todo[on], own[on]
         if len(self.rest):
             hit = within(own, self.rest)
             values[todo[hit]] = self.left[np.searchsorted(self.rest, own[hit])]
@@ -163,6 +176,8 @@ class Tree:
             self.told_at = [Lookup(*t) for t in self.told]
             self.back_at = [Lookup(*b) for b in self.back]
             self.frequent_at = Lookup(*self.frequent)
+            # Runs walked lately, one a slot: a rare run of one text is often in its neighbours too.
+            self.met = np.full(1 << _MET_BITS, _NONE), np.zeros(1 << _MET_BITS)
             self.told = self.back = self.frequent = ()
 
     def walk(self, codes: np.ndarray) -> np.ndarray:
@@ -182,8 +197,17 @@ class Tree:
     def scores(self, codes: np.ndarray) -> np.ndarray:
         known, values = self.frequent_at.find(codes)
         out = values.astype(np.float64)
-        rare, back = np.unique(codes[~known], return_inverse=True)
-        out[~known] = self.walk(rare)[back]
+        keys, met = self.met
+        todo = np.flatnonzero(~known)
+        own, shift = codes[todo], np.uint64(64 - _MET_BITS)
+        slot = _slots(own, _FACTORS[0], shift)
+        hit = keys.take(slot) == own
+        out[todo[hit]] = met[slot[hit]]
+        rare, back = np.unique(own[~hit], return_inverse=True)
+        walked = self.walk(rare)
+        out[todo[~hit]] = walked[back]
+        slot = _slots(rare, _FACTORS[0], shift)
+        keys[slot], met[slot] = rare, walked  # of several runs with one slot, the last in both
         return out
 
     def of_texts(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -225,15 +249,19 @@ def grow(docs: DataFrame) -> Tree:
     )
     total = counted.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, LEAST_SHARE * total)
+    # A depth's runs are counted from those of the next one, which are fewer than all.
+    levels = [counted]
+    for k in range(DEPTH - 1, -1, -1):
+        run = F.col("run").bitwiseAND(F.lit(int(_MASKS[k])))
+        levels.insert(0, stage(levels[0].groupBy(run.alias("run")).agg(F.sum("n").alias("n")), f"suffix-runs{k}"))
     told, back = [], []
     # p: log10 probability of the last symbol of each run at the depth before.
     before = None
     for k in range(DEPTH + 1):
-        run = F.col("run").bitwiseAND(F.lit(int(_MASKS[k])))
-        level = counted.groupBy(run.alias("run")).agg(F.sum("n").alias("n"))
         state = Window.partitionBy("state")
         level = (
-            level.withColumn("state", F.shiftright("run", 8))
+            levels[k]
+            .withColumn("state", F.shiftright("run", 8))
             .withColumn("seen", F.sum("n").over(state))
             .withColumn("kinds", F.count(F.lit(1)).over(state))
         )

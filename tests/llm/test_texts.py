@@ -440,6 +440,19 @@ def test_lookups_are_small():
     assert known.all() and not lookup.find(keys + np.uint64(2**57))[0].any()
 
 
+def test_rare_runs_are_walked_once(docs, monkeypatch):
+    """They were walked once in each piece of texts."""
+    tree = suffix_tree.grow(docs)
+    tree.ready()
+    texts = [[b"qzx%d" % (i % 400)] * 40 for i in range(4000)]
+    walked, walk = [], tree.walk
+    monkeypatch.setattr(tree, "walk", lambda codes: walked.append(len(codes)) or walk(codes))
+    got = tree.of_texts(texts)
+    assert len(walked) > 4 and sum(walked[1:]) < walked[0] / 4
+    pieces = [suffix_tree.runs(suffix_tree.symbols(t)) for t in texts[:400]]
+    assert np.allclose(got, [walk(p).sum() for p in pieces] * 10)
+
+
 def test_a_vocabulary_is_read_piece_by_piece():
     """A split's words were all in memory at once; now those of one piece."""
     rng = np.random.default_rng(6)
